@@ -141,11 +141,10 @@ def with_ids(docs: DataFrame, source: str, fields: str, make: Callable[[Codec],
     """docs and fields: make(codec) gives a function from a text's words' ids, in order, to the values of fields."""
     head = {r["word"]: list(r["ids"]) for r in (word_table(docs, source) if table is None else table).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(head)
-    names = [f.split()[0] for f in fields.split(", ")]
+    added = StructType.fromDDL(fields)
+    names = added.fieldNames()
     docs = docs.drop(*names)
-    schema = StructType(list(docs.schema))
-    for f in fields.split(", "):
-        schema = schema.add(*f.split())
+    schema = StructType([*docs.schema, *added])
     at = docs.columns.index("text")
     out = to_arrow_schema(schema)
 

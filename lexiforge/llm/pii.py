@@ -158,6 +158,7 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CO
         score = worth.groupBy("pattern").agg(
             (F.sum(F.col("n") * F.col("worth")) / (F.sum("n") + DOUBT)).alias("score"),
             F.count_if("seed").alias("seeds"),
+            F.count_if(~F.col("seed")).alias("others"),
             F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)).alias("seen"),
         )
         score = materialize(score)
@@ -165,7 +166,9 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CO
         means = graph.where("not seed").join(score, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"))
         worth = graph.join(means, "instance", "left").withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0))))
     total = score.where("substr(pattern, 1, 1) = '='").agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("total"))
-    kept = score.where((F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS)).join(F.broadcast(total))
+    # a pattern without other instances has nothing to discover
+    good = (F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS) & (F.col("others") > 0)
+    kept = score.where(good).join(F.broadcast(total))
     kept = materialize(kept.where(F.col("seen") >= F.col("total") * SHARE).select("pattern", "score"))
     for df in [graph, *old]:
         remove(df)

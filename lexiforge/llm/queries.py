@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, cube_mix, decision_list, embed_dedup, ftrl_quality, jaccard_rtree, langid, pii, sharding, url_reputation
 from .common import table
-from .sql import ORACLES
+from .sql import oracles
 
 #: Tokenizer files are parameters; these are the production ones.
 BPE_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -125,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    return oracles(SHARDS)

@@ -2,4 +2,111 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import sharding, url_reputation
+
+#: Links among vectors, each pair compared; then reachability.
+OP1 = """
+WITH RECURSIVE rows_ AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), v AS (
+  SELECT * FROM rows_ WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
+   AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT r, r AS s FROM rows_ UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.s = links.a
+), least AS (
+  SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN rows_ o ON o.r = reach.s GROUP BY reach.r
+), n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id,
+       coalesce(vec_id = component_id, false) AS kept
+FROM rows_ JOIN least USING (r) LEFT JOIN n USING (r)
+"""
+
+#: Whole shingle sets, all pairs that share a shingle; then reachability.
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh
+  FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), one AS (SELECT a, b FROM pairs WHERE 100 * o >= 75 * (na + nb - o)),
+links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+reach AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT s.doc_id, CAST(len(any_value(s.sh)) AS BIGINT) AS n_shingles, min(reach.r) AS component_id
+FROM s JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id
+"""
+
+
+def op10(shards: list[str]) -> str:
+    """The lookup table as a literal; tests check the table itself against a plain construction."""
+    owner = sharding.fill_table(shards)
+    return f"""
+SELECT doc_id, slot, CAST(list_extract({owner}, slot + 1) AS INTEGER) AS shard FROM (
+  SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) % {len(owner)} AS slot
+  FROM documents)
+"""
+
+
+def op5() -> str:
+    """The same counts, moments, shrinkage and bound, level by level."""
+    two = ", ".join(f"'{s}'" for s in url_reputation.TWO_PART_SUFFIXES)
+    parts = f"""
+    CASE WHEN len(string_split(host, '.')) < 2 THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS two_
+"""
+    levels = f"""
+    CASE WHEN two_ IN ({two}) THEN two_ ELSE string_split(host, '.')[-1] END AS suffix,
+    CASE WHEN two_ IN ({two}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two_ END AS domain
+"""
+    host = f"""
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_reputation.UPPER}', '{url_reputation.LOWER}'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+"""
+    rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest"
+
+    def strength(name: str, units: str, rate: str) -> str:
+        low, high = url_reputation.LEAST_STRENGTH, url_reputation.MOST_STRENGTH
+        return f"""
+{name} AS (SELECT coalesce(least(greatest(CASE WHEN q - n1 > 0 THEN (nn - q) / (q - n1) END, {low}), {high}), {high}) AS k FROM (
+  SELECT sum(pow(bad - n * {rate}, 2)) AS q, sum(n * n * {rate} * (1 - {rate})) AS nn, sum(n * {rate} * (1 - {rate})) AS n1
+  FROM {units} WHERE n > 1))"""
+
+    rules = url_reputation.RULES
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in longest)
+    return rf"""
+WITH p AS (SELECT page_id, url, {host} FROM (SELECT page_id, url, {rest} FROM pages)),
+h AS (SELECT *, {levels} FROM (SELECT *, {parts} FROM p)),
+l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+      WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+o AS (SELECT h.*, l.bad FROM h JOIN l ON TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.html|/)?$', 1), '') AS BIGINT) = l.doc_id),
+hosts AS (SELECT host, domain, suffix, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM o GROUP BY ALL),
+domains AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM domains GROUP BY ALL),
+whole AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS rate FROM suffixes),
+s0 AS (SELECT suffixes.*, whole.rate FROM suffixes, whole), {strength("ks", "s0", "rate")},
+s AS (SELECT suffix, (k * rate + bad) / (k + n) AS s_rate, k + n AS s_n FROM s0, ks),
+d0 AS (SELECT domains.*, s_rate FROM domains JOIN s USING (suffix)), {strength("kd", "d0", "s_rate")},
+d AS (SELECT domain, (k * s_rate + bad) / (k + n) AS d_rate, k + n AS d_n FROM d0, kd),
+h0 AS (SELECT hosts.*, d_rate FROM hosts JOIN d USING (domain)), {strength("kh", "h0", "d_rate")},
+hh AS (SELECT host, (k * d_rate + bad) / (k + n) AS h_rate, k + n AS h_n FROM h0, kh),
+j AS (SELECT h.page_id, h.host, h.path, coalesce(h_rate, d_rate, s_rate, whole.rate) AS r, coalesce(h_n, d_n, s_n, 0) AS t
+      FROM h LEFT JOIN hh USING (host) LEFT JOIN d ON d.domain = h.domain LEFT JOIN s ON s.suffix = h.suffix, whole)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+       CASE {verdict} WHEN host <> '' AND greatest(0, r - {url_reputation.Z} * sqrt(r * (1 - r) / (t + 1))) > {url_reputation.BAD_RATE}
+       THEN 'block' ELSE 'allow' END AS verdict
+FROM j
+"""
+
+
+def oracles(shards: list[str]) -> dict[str, str]:
+    return {"op1_embedding_near_dedup": OP1, "op5_url_filter": op5(), "op8_ngram_jaccard_join": OP8, "op10_sharding": op10(shards)}
