@@ -13,6 +13,7 @@ level leaves is a task of its own, so no group of vectors has to fit one task.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,58 +43,60 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A node's levels: level k is an array of centres (row numbers), and for each row of level k + 1 its parent.
+    """A part's vectors x and nested levels over them, from the root's level down.
 
-    The root holds all rows; centres of level k are more than radius / 2**k apart (greedily chosen), and each row of a
-    level lies within that of its parent. Level radii stop once they are small against t; the rows themselves are the
-    last level. covering[k] holds, for each centre, the largest distance to a row beneath it.
+    levels[k]: row numbers of the centres of level k; the last level is all rows. parent[k]: for each centre of level
+    k + 1 the number of its parent in level k, which lies within the level's radius (greedily chosen, halving from
+    level to level; a radius that merges nothing makes no level). cover[k]: each centre's largest distance to a row
+    beneath it. node[k]: for each row the number of the centre of level k above it.
     """
 
     def __init__(self, x: np.ndarray, t: float) -> None:
-        self.x = x
-        rows = np.arange(len(x))
-        self.levels, self.children, self.cover = [rows], [], [np.zeros(len(x))]
-        self.below = [[np.array([i]) for i in rows]]
+        self.x, rows = x, np.arange(len(x))
+        self.levels, self.parent, self.cover, self.node = [rows], [], [np.zeros(len(x))], [rows]
         radius = t / 4
-        while len(self.levels[0]) > 1 and radius < 2.0:
+        while len(self.levels[0]) > 1 and radius < 4.0:
             low = self.levels[0]
-            parent, centres = self.net(x[low], radius)
+            parent, centres = net(x[low], radius)
+            radius *= 2
             if len(centres) == len(low):
-                radius *= 2
                 continue
-            kids = [np.flatnonzero(parent == c) for c in range(len(centres))]
-            below = [np.concatenate([self.below[0][k] for k in ks]) for ks in kids]
-            top = low[centres]
-            cover = np.array([distances(x[[c]], x[b]).max() for c, b in zip(top, below, strict=True)])
-            self.levels.insert(0, top)
-            self.children.insert(0, kids)
-            self.below.insert(0, below)
-            self.cover.insert(0, cover)
-            radius *= 2
-
-    @staticmethod
-    def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(parent's number of each row, centres): in the rows' order, a row farther than radius from all centres is one."""
-        parent, centres = np.full(len(x), -1), []
-        for at in range(0, len(x), ROWS):
-            block = x[at : at + ROWS]
-            if centres:
-                d = distances(block, x[centres])
-                near = d.argmin(1)
-                hit = d[np.arange(len(block)), near] <= radius
-                parent[at : at + ROWS][hit] = near[hit]
-            open_ = np.flatnonzero(parent[at : at + ROWS] < 0)
-            inner = distances(block[open_], block[open_]) <= radius if len(open_) else None
-            for k, i in enumerate(open_):
-                if parent[at + i] < 0:
-                    free = inner[k] & (parent[at + open_] < 0)
-                    parent[at + open_[free]] = len(centres)
-                    centres.append(at + i)
-        return parent, np.array(centres)
+            node, top = parent[self.node[0]], low[centres]
+            cover = np.zeros(len(top))
+            np.maximum.at(cover, node, np.sqrt(np.maximum(2.0 - 2.0 * (x * x[top[node]]).sum(1), 0.0)))
+            for at, value in zip((self.levels, self.parent, self.cover, self.node), (top, parent, cover, node), strict=True):
+                at.insert(0, value)
+
+    def children(self, level: int, number: int) -> np.ndarray:
+        return np.flatnonzero(self.parent[level] == number) if level < len(self.parent) else np.array([number])
+
+    def rows(self, level: int, number: int) -> np.ndarray:
+        return np.flatnonzero(self.node[level] == number)
+
+
+def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's centre, centres): in order, a row farther than radius from all centres so far is one."""
+    least = 1.0 - radius * radius / 2  # as a cosine
+    parent, centres = np.full(len(x), -1), []
+    for at in range(0, len(x), ROWS):
+        block, mine = x[at : at + ROWS], parent[at : at + ROWS]
+        if centres:
+            s = block @ x[centres].T
+            near = s.argmax(1)
+            hit = s[np.arange(len(block)), near] >= least
+            mine[hit] = near[hit]
+        free = np.flatnonzero(mine < 0)
+        inner = block[free] @ block[free].T >= least
+        for k, i in enumerate(free):
+            if mine[i] < 0:
+                mine[free[inner[k] & (mine[free] < 0)]] = len(centres)
+                mine[i] = len(centres)
+                centres.append(at + i)
+    return parent, np.array(centres)
 
 
 class Links:
-    """Weighted link counts and a union-find over the rows of two nodes (or one)."""
+    """Weighted link counts and a union-find over the rows of two parts (or one)."""
 
     def __init__(self, weights: np.ndarray) -> None:
         self.weights, self.count, self.root = weights, np.zeros(len(weights), np.int64), np.arange(len(weights))
@@ -109,102 +112,121 @@ class Links:
         if a != b:
             self.root[max(a, b)] = min(a, b)
 
-
-def dual(a: Tree, b: Tree, cosine: float, links: Links, shift: int) -> None:
-    """Adds all links between rows of a and rows of b (numbered from shift); a is b: within a, each pair once."""
-    t, same = math.sqrt(2 - 2 * cosine), a is b
-
-    def accept(p: np.ndarray, q: np.ndarray) -> None:
-        """All of p with all of q."""
-        links.count[p] += links.weights[q].sum()
-        links.count[q] += links.weights[p].sum()
+    def all_with_all(self, p: np.ndarray, q: np.ndarray) -> None:
+        self.count[p] += self.weights[q].sum()
+        self.count[q] += self.weights[p].sum()
         for i in (*p[1:], *q):
-            links.union(p[0], i)
+            self.union(p[0], i)
 
-    def within(p: np.ndarray) -> None:
-        links.count[p] += links.weights[p].sum() - links.weights[p]
+    def all_within(self, p: np.ndarray) -> None:
+        self.count[p] += self.weights[p].sum() - self.weights[p]
         for i in p[1:]:
-            links.union(p[0], i)
+            self.union(p[0], i)
+
+
+def dual(a: Tree, b: Tree, cosine: float, links: Links, shift: int) -> None:
+    """Adds all links between rows of a and rows of b (numbered from shift); a is b: within a, each pair once.
 
-    # pairs of nodes (level, numbers in a, numbers in b); both trees descend together
+    A block of node pairs is one product of matrices, against the cosine that the largest radii of the block still
+    admit; the few pairs that pass it are bounded one by one.
+    """
+    t, same = math.sqrt(2 - 2 * cosine), a is b
     last_a, last_b = len(a.levels) - 1, len(b.levels) - 1
     todo = [(0, 0, np.arange(len(a.levels[0])), np.arange(len(b.levels[0])), same)]
     while todo:
         la, lb, na, nb, diagonal = todo.pop()
+        bottom = la == last_a and lb == last_b
+        xb, rb = b.x[b.levels[lb][nb]], b.cover[lb][nb]
         for at in range(0, len(na), ROWS):
             ia = na[at : at + ROWS]
-            xa, xb = a.x[a.levels[la][ia]], b.x[b.levels[lb][nb]]
-            if la == last_a and lb == last_b:
-                hit = (xa @ xb.T) >= cosine
+            s = a.x[a.levels[la][ia]] @ xb.T
+            if bottom:
+                p, q = np.nonzero(s >= cosine)
+                p, q = ia[p], nb[q]
                 if diagonal:
-                    hit &= ia[:, None] < nb[None, :]
-                p, q = np.nonzero(hit)
-                if len(p):
-                    p, q = ia[p], nb[q] + shift
-                    np.add.at(links.count, p, links.weights[q])
-                    np.add.at(links.count, q, links.weights[p])
-                    for i, j in zip(p, q, strict=True):
-                        links.union(i, j)
+                    p, q = p[p < q], q[p < q]
+                q = q + shift
+                np.add.at(links.count, p, links.weights[q])
+                np.add.at(links.count, q, links.weights[p])
+                for i, j in zip(p, q, strict=True):
+                    links.union(i, j)
                 continue
-            d = distances(xa, xb)
-            reach = a.cover[la][ia][:, None] + b.cover[lb][nb][None, :]
-            live = d - reach <= t + SLACK
+            reach = t + a.cover[la][ia] + rb.max() + SLACK
+            p, q = np.nonzero(s >= (1.0 - np.minimum(reach, 2.0) ** 2 / 2)[:, None])
             if diagonal:
-                live &= ia[:, None] <= nb[None, :]
-            whole = live & (d + reach <= t - SLACK)
-            for i, j in zip(*np.nonzero(whole), strict=True):
-                if diagonal and ia[i] == nb[j]:
-                    # a ball whose diameter is within t
-                    within(a.below[la][ia[i]])
+                p, q = p[ia[p] <= nb[q]], q[ia[p] <= nb[q]]
+            d = np.sqrt(np.maximum(2.0 - 2.0 * s[p, q], 0.0))
+            both = a.cover[la][ia[p]] + rb[q]
+            own = ia[p] == nb[q] if diagonal else np.zeros(len(p), bool)
+            d[own] = 0.0
+            live, whole = d - both <= t + SLACK, d + both <= t - SLACK
+            single = (a.cover[la][ia[p]] == 0) & own  # a node of one point, or of none but equal ones
+            for i, j, mine in zip(ia[p[whole]], nb[q[whole]], own[whole], strict=True):
+                if mine:
+                    links.all_within(a.rows(la, i))
                 else:
-                    accept(a.below[la][ia[i]], b.below[lb][nb[j]] + shift)
-            live &= ~whole
-            # nodes that meet the same partners descend together: one block for the singletons, one for each larger node
-            for i in np.flatnonzero(live.any(1)):
-                js = np.flatnonzero(live[i])
-                ka = a.children[la][ia[i]] if la < last_a else np.array([ia[i]])
-                own = diagonal and ia[i] in nb[js]
-                if own:
-                    kb = b.children[lb][ia[i]] if lb < last_b else np.array([ia[i]])
-                    todo.append((min(la + 1, last_a), min(lb + 1, last_b), ka, kb, True))
-                    js = js[nb[js] != ia[i]]
+                    links.all_with_all(a.rows(la, i), b.rows(lb, j) + shift)
+            down = live & ~whole & ~(single & (both == 0) & (la == last_a))
+            # a node goes down with all of its partners at once
+            order = np.flatnonzero(down)
+            for i in np.unique(p[order]):
+                mine = order[p[order] == i]
+                js, ka = nb[q[mine]], a.children(la, ia[i])
+                if diagonal and (js == ia[i]).any():
+                    todo.append((min(la + 1, last_a), min(lb + 1, last_b), ka, b.children(lb, ia[i]), True))
+                    js = js[js != ia[i]]
                 if len(js):
-                    kb = np.concatenate([b.children[lb][j] for j in nb[js]]) if lb < last_b else nb[js]
+                    kb = np.concatenate([b.children(lb, j) for j in js])
                     todo.append((min(la + 1, last_a), min(lb + 1, last_b), ka, kb, False))
 
 
-POINT = "rid long, weight long, vector array<float>"
 FOUND = "rid long, links long, root long"
+TREES = "part long, tree binary"
 
 
-def pair_tasks(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows (pair_a, pair_b, part, rid, weight, vector) sorted by pair: links within each pair of parts."""
-    t = math.sqrt(2 - 2 * cosine)
-
-    def links_of(rows: list[tuple]) -> pa.RecordBatch:
-        pair = rows[0][:2]
-        first = sorted(r[3:] for r in rows if r[2] == pair[0])
-        second = sorted(r[3:] for r in rows if r[2] == pair[1]) if pair[0] != pair[1] else []
-        both = first + second
-        links = Links(np.array([r[1] for r in both], np.int64))
-        if first and (second or pair[0] == pair[1]):
-            a = Tree(unit(np.array([r[2] for r in first])), t)
-            b = Tree(unit(np.array([r[2] for r in second])), t) if second else a
-            dual(a, b, cosine, links, len(first) if second else 0)
-        rid = np.array([r[0] for r in both], np.int64)
-        hit = np.flatnonzero(links.count)
-        roots = np.array([rid[links.find(i)] for i in hit], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(links.count[hit]), pa.array(roots)], ["rid", "links", "root"])
-
-    rows: list[tuple] = []
+def grow(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Rows (part, rid, weight, vector) sorted by part: each part's tree, once."""
+
+    def tree_of(part: int, rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort()
+        given = np.array([r[2] for r in rows], np.float32)
+        state = vars(Tree(unit(given), math.sqrt(2 - 2 * cosine))) | {"x": given}
+        state |= {"rid": np.array([r[0] for r in rows], np.int64), "weight": np.array([r[1] for r in rows], np.int64)}
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], ["part", "tree"])
+
+    now, rows = None, []
     for b in batches:
         for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if rows and r[:2] != rows[0][:2]:
-                yield links_of(rows)
+            if r[0] != now and rows:
+                yield tree_of(now, rows)
                 rows = []
-            rows.append(r)
+            now = r[0]
+            rows.append(r[1:])
     if rows:
-        yield links_of(rows)
+        yield tree_of(now, rows)
+
+
+def pair_tasks(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Rows (pair_a, pair_b, tree_a, tree_b): the links within each pair of parts, or of a part with itself."""
+
+    def read(data: bytes) -> tuple[Tree, np.ndarray, np.ndarray]:
+        tree, state = Tree.__new__(Tree), pickle.loads(data)
+        rid, weight = state.pop("rid"), state.pop("weight")
+        tree.__dict__.update(state | {"x": unit(state["x"])})
+        return tree, rid, weight
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            a, rid, weight = read(batch.column(2)[k].as_py())
+            b, shift = a, 0
+            if batch.column(0)[k].as_py() != batch.column(1)[k].as_py():
+                b, rid_b, weight_b = read(batch.column(3)[k].as_py())
+                shift, rid, weight = len(rid), np.concatenate([rid, rid_b]), np.concatenate([weight, weight_b])
+            links = Links(weight)
+            dual(a, b, cosine, links, shift)
+            hit = np.flatnonzero(links.count)
+            roots = np.array([rid[links.find(i)] for i in hit], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(links.count[hit]), pa.array(roots)], ["rid", "links", "root"])
 
 
 def pivots_of(points: DataFrame, parts: int, t: float) -> np.ndarray:
@@ -282,10 +304,16 @@ def links_between(points: DataFrame, cosine: float) -> DataFrame:
         count += k
     gaps = distances(pivots, pivots)
     firsts = spark.createDataFrame([(a, p[0], p[1]) for a, p in parts.items()], "node int, first long, parts long")
-    near = [(a, q[0], q[1]) for a, p in parts.items() for b, q in parts.items() if gaps[a, b] - p[2] - q[2] <= t + SLACK]
-    partners = spark.createDataFrame(near, "node int, other_first long, other_parts long")
     placed = dealt.join(F.broadcast(firsts), "node").withColumn("part", F.col("first") + F.pmod(F.xxhash64("rid"), F.col("parts")))
-    pairs = placed.join(F.broadcast(partners), "node").withColumn("other", F.explode(F.sequence(F.col("other_first"), F.col("other_first") + F.col("other_parts") - 1)))
-    pairs = pairs.select(F.least("part", "other").alias("pair_a"), F.greatest("part", "other").alias("pair_b"), "part", "rid", "weight", "vector")
-    pairs = pairs.repartition(max(n_partitions(spark), min(count * (count + 1) // 2, 4096)), "pair_a", "pair_b").sortWithinPartitions("pair_a", "pair_b")
+    placed = placed.select("part", "rid", "weight", "vector").repartition(max(n_partitions(spark), min(count, 4096)), "part").sortWithinPartitions("part")
+    trees = materialize(placed.mapInArrow(lambda it: grow(it, cosine), TREES))
+    # pairs of upper nodes that the bound leaves, as ranges of parts; a part meets those from itself on
+    near = [(p[0], p[1], q[0], q[1]) for a, p in parts.items() for b, q in parts.items() if a <= b and gaps[a, b] - p[2] - q[2] <= t + SLACK]
+    ranges = spark.createDataFrame(near, "a_first long, a_parts long, b_first long, b_parts long").repartition(n_partitions(spark))
+    span = lambda k: F.explode(F.sequence(F.col(f"{k}_first"), F.col(f"{k}_first") + F.col(f"{k}_parts") - 1))
+    pairs = ranges.withColumn("pair_a", span("a")).withColumn("pair_b", span("b")).where("pair_a <= pair_b").select("pair_a", "pair_b")
+    pairs = pairs.join(trees.select(F.col("part").alias("pair_a"), F.col("tree").alias("tree_a")), "pair_a")
+    others = trees.select(F.col("part").alias("pair_b"), F.col("tree").alias("tree_b"))
+    pairs = pairs.join(others, "pair_b").select("pair_a", "pair_b", "tree_a", "tree_b")
+    pairs = pairs.repartition(max(n_partitions(spark), min(count * (count + 1) // 2, 4096)))
     return pairs.mapInArrow(lambda it: pair_tasks(it, cosine), FOUND)
