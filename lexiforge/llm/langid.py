@@ -28,7 +28,7 @@ MOST_DOCS, MOST_WORDS, ROUNDS = 1_500, 6_000, 2
 #: Pseudo-count of a piece that the language has not used, and log probability of a letter outside everything.
 SMOOTH, UNKNOWN = 0.02, -14.0
 #: Words whose scores a task remembers.
-TASK_WORDS = 60_000
+TASK_WORDS = 250_000
 UND = "und"
 
 
@@ -175,22 +175,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m, known = shared.value, {}
+        m = shared.value
+        known: dict[str, int] = {}  # rows of table, which holds the scores of the words of this task
+        table = np.zeros((TASK_WORDS, len(m.langs)))
         for texts in batches:
             out = []
             for at in range(0, len(texts), 64):
                 each = [words_of(t or "") for t in texts.slice(at, 64).to_pylist()]
-                new = list({w for ws in each for w in ws if w not in known})
+                new = list(set().union(*each).difference(known)) if m.langs else []
+                if len(known) + len(new) > len(table):
+                    known.clear()
+                    new = list(set().union(*each))
+                    table = np.zeros((max(TASK_WORDS, len(new)), len(m.langs)))
                 if new:
-                    if len(known) > TASK_WORDS:
-                        known.clear()
-                        new = list({w for ws in each for w in ws})
-                    known.update(zip(new, m.score(new), strict=True))
+                    table[len(known) : len(known) + len(new)] = m.score(new)
+                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                 for ws in each:
                     if not ws or not m.langs:
                         out.append({"lang": UND, "score": 0.0})
                         continue
-                    total = np.array([known[w] for w in ws]).sum(0) / math.sqrt(len(ws))
+                    total = table[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(0) / math.sqrt(len(ws))
                     best = int(total.argmax())
                     out.append({"lang": m.langs[best], "score": float(1 / np.exp(total - total[best]).sum())})
             yield pa.array(out, kind)
