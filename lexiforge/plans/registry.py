@@ -5,11 +5,318 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html, text, urls
+from ..operators import crawl, graph, index, maintain, search
+from ..sources.files import read_table
+from . import sql
+from .parser import analyse
+
+#: Iterations of the PageRank queries, whose SQL is unrolled.
+ITERATIONS = 10
+TERMS, REPEATED, TITLED, BLENDED = "tion thing thon", "tion thing tion anea", "en th la de", "small green antique"
+PHRASE, LEFT, RIGHT = '"thanedble anea"', '"de la"', '"la de"'
+#: Robots files; a site gets one by the length of its key.
+ROBOTS = [
+    "User-agent: *\nDisallow: /en/\nAllow: /en/7\nCrawl-delay: 2\n",
+    "User-agent: Other\nDisallow: /\nUser-agent: MyWebCrawler/1.0\ndisallow: /fr/\nDisallow:\nDisallow: /de/1\nAllow: /de/1",
+    "# nothing here\nUser-agent: *\n\tDisallow: /es/\r\nDisallow: /en/1\nAllow: /en/1",
+]
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return index.fields_of_documents(read_table(spark, d, "documents").select("doc_id", "text"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return index.fields_of_pages(read_table(spark, d, "pages"))
+
+
+def ranking(df: DataFrame) -> DataFrame:
+    return rounded(df, "relevance", "popularity", "score").select("doc_id", "relevance", "popularity", "score")
+
+
+def positions_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("positions", F.array_join("positions", ","))
+
+
+def tokens_kept(spark: SparkSession, d: str) -> DataFrame:
+    kept = text.kept(F.col("text"))
+    return read_table(spark, d, "documents").select("doc_id", F.array_join(kept, " ").alias("tokens"), F.size(kept).alias("n"))
+
+
+def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return index.stems(index.occurrences(documents(spark, d)))
+
+
+def term_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(index.postings(index.positions(documents(spark, d))), "tf").select("doc_id", "word", "frequency", "length", "tf")
+
+
+def positions(spark: SparkSession, d: str) -> DataFrame:
+    return index.positions(documents(spark, d)).select("doc_id", "position", "word")
+
+
+def doc_frequency_idf(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(index.dictionary(index.postings(index.positions(documents(spark, d)))), "idf").select("word", "doc_count", "idf")
+
+
+def forward_index(spark: SparkSession, d: str) -> DataFrame:
+    out = index.forward(index.postings(index.positions(documents(spark, d))))
+    return out.select("doc_id", F.array_join("words", " ").alias("words"))
+
+
+def weighted_postings(spark: SparkSession, d: str) -> DataFrame:
+    out = rounded(index.postings(index.positions(pages(spark, d))), "tf").drop("title_length")
+    return positions_as_text(out)
+
+
+def body_text(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", html.body_text(F.col("html")).alias("body"))
+
+
+def page_title(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+def headers(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", F.array_join(html.headings(F.col("html")), "|").alias("headers"))
+
+
+def out_links(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.out_links(read_table(spark, d, "pages"))
+
+
+def url_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", urls.normalize(F.col("url")).alias("normal"))
+
+
+def url_domain(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+
+
+def url_robots_key(spark: SparkSession, d: str) -> DataFrame:
+    url = F.col("url")
+    return read_table(spark, d, "pages").select("page_id", urls.robots_key(url).alias("key"), urls.robots_path(url).alias("path"), urls.is_http(url).alias("http"))
+
+
+def content_hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return maintain.deduplicate(read_table(spark, d, "documents").select("doc_id", "text"), "text", ["doc_id"]).select("doc_id", "content_hash")
+
+
+def snippets_top3(spark: SparkSession, d: str) -> DataFrame:
+    out = index.snippets(documents(spark, d))
+    return out.select("doc_id", "word", F.sha2(F.array_join("snippets", "|"), 256).alias("snippets_sha256"), F.size("snippets").alias("n"))
+
+
+def results(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: ranking(search.search(index.build(documents(spark, d)), query))
+
+
+def search_terms(spark: SparkSession, d: str) -> DataFrame:
+    return ranking(search.search(index.build(documents(spark, d)), TERMS, 10))
+
+
+def search_conjunctive(spark: SparkSession, d: str) -> DataFrame:
+    ix = index.build(documents(spark, d))
+    return search.conjunctive(ix, search.stem_words(("tion", "thing", "anea")))
+
+
+def search_titled(spark: SparkSession, d: str) -> DataFrame:
+    return ranking(search.search(index.build(pages(spark, d)), TITLED))
+
+
+def part_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return graph.iterate(graph.part_follow_pages(spark, read_table(spark, d, "lineitem"), read_table(spark, d, "part")), ITERATIONS)
+
+
+def search_blended(spark: SparkSession, d: str) -> DataFrame:
+    parts = read_table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    popularity = part_ranks(spark, d).select(F.col("url").cast("long").alias("doc_id"), F.col("pr").alias("popularity"))
+    return ranking(search.search(index.build(index.fields_of_documents(parts), popularity), BLENDED))
+
+
+def page_results(spark: SparkSession, d: str) -> DataFrame:
+    ranked = search.search(index.build(documents(spark, d)), TERMS)
+    ranked = ranked.withColumn("score", F.round("score", 9))
+    return search.page(ranked, 2).select("rank", "doc_id", "score", "pages")
+
+
+def pagerank_parts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(part_ranks(spark, d), "pr", digits=12)
+
+
+def page_graph(spark: SparkSession, d: str) -> DataFrame:
+    source = read_table(spark, d, "pages")
+    links = crawl.out_links(source).withColumn("url", urls.normalize(F.col("url"))).where("url is not null")
+    links = links.groupBy("page_id").agg(F.collect_list("url").alias("links"))
+    return source.select("page_id", urls.normalize(F.col("url")).alias("url")).join(links, "page_id", "left").select("url", "links")
+
+
+def pagerank_pages(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(graph.iterate(page_graph(spark, d), ITERATIONS), "pr", digits=12)
+
+
+def index_reindex(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents have changed: their postings are replaced in a built index, and the dictionary follows."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    old = index.postings(index.positions(index.fields_of_documents(docs)))
+    labelled = read_table(spark, d, "labels").select("doc_id").distinct()
+    changed = maintain.to_clean(labelled, index.forward(old))
+    new = docs.join(changed, "doc_id", "left_semi").withColumn("text", F.concat_ws(" ", "text", F.lit("refreshed pages")))
+    _, words = maintain.replace(old, changed, index.postings(index.positions(index.fields_of_documents(new))))
+    return rounded(words, "idf").select("word", "doc_count", "idf")
+
+
+def unindexed_scan(spark: SparkSession, d: str) -> DataFrame:
+    labels = read_table(spark, d, "labels").select("doc_id", F.lit(True).alias("indexed")).distinct()
+    docs = read_table(spark, d, "documents").join(labels, "doc_id", "left")
+    return maintain.unindexed(docs, ["doc_id", "text", "source"])[0].select("doc_id", "source")
+
+
+def frontier_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    lines = read_table(spark, d, "pages").select(F.col("page_id").alias("seq"), F.col("url").alias("value"))
+    return crawl.frontier_order(crawl.seeds(lines))
+
+
+def link_admission(spark: SparkSession, d: str) -> DataFrame:
+    source = read_table(spark, d, "pages")
+    return crawl.admit(crawl.out_links(source), source.select(urls.normalize(F.col("url")).alias("url")))
+
+
+def robots_files(spark: SparkSession, d: str) -> DataFrame:
+    keys = read_table(spark, d, "pages").select(urls.robots_key(F.col("url")).alias("key")).distinct()
+    body = F.element_at(F.array(*[F.lit(r) for r in ROBOTS]), F.length("key") % len(ROBOTS) + 1)
+    return keys.withColumn("text", body)
+
+
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    rules = crawl.robots_rules(robots_files(spark, d))
+    return crawl.robots_allowed(read_table(spark, d, "pages").select("page_id", "url"), rules)
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.col("value") * 10
+    return read_table(spark, d, "events").select(F.col("user_id").alias("domain"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), ms.alias("ms"))
+
+
+def domain_ema(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.response_averages(responses(spark, d))
+
+
+def adaptive_delay(spark: SparkSession, d: str) -> DataFrame:
+    out = crawl.response_averages(responses(spark, d))
+    return out.select("domain", crawl.adaptive_delay(F.col("average"), F.col("successes")).alias("delay"))
+
+
+def access_wait(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.access_wait(responses(spark, d)).select("seq", "wait")
+
+
+def crawl_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as attempts: robots by the rules above, bodies that came before are duplicates."""
+    source = read_table(spark, d, "pages")
+    allowed = robots_allowed(spark, d).select("page_id", "allowed")
+    hashed = source.select("page_id", "html", text.content_hash(html.body_text(F.col("html"))).alias("hash"))
+    first = hashed.groupBy("hash").agg(F.min("page_id").alias("first"))
+    each = hashed.join(first, "hash").join(allowed, "page_id")
+    what = crawl.outcome(F.col("allowed"), F.length("html") > 0, F.lower("html").startswith("<!doctype html"), F.col("page_id") != F.col("first"))
+    return crawl.summary(each.select(what.alias("outcome")))
+
+
+def recent_queries(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.latest(read_table(spark, d, "events"), "event_type", "ts")
+
+
+def publish_date(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "events").select("event_id", text.publish_date(F.unix_millis(F.col("ts").cast("timestamp"))).alias("day"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    plain = [
+        tokens_kept, stem_vocabulary, term_frequency, positions, doc_frequency_idf, forward_index, weighted_postings,
+        body_text, page_title, headers, out_links, url_normalize, url_domain, url_robots_key, content_hash_dedupe,
+        snippets_top3, search_terms, search_conjunctive, search_titled, search_blended, page_results, pagerank_parts,
+        pagerank_pages, index_reindex, unindexed_scan, frontier_round_robin, link_admission, robots_allowed, domain_ema,
+        adaptive_delay, access_wait, crawl_summary, recent_queries, publish_date,
+    ]
+    combined = {f"search_{k.lower()}": results(f"{LEFT} {k} {RIGHT}") for k in ("AND", "OR", "NOT")}
+    more = {"search_repeat_terms": results(REPEATED), "search_phrase": results(PHRASE), **combined}
+    return {f.__name__: f for f in plain} | more
+
+
+def words(query: str) -> list[str]:
+    """Stems of a fixed query's words."""
+    return search.stem_words(analyse(query))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    docs = sql.base(sql.DOCUMENTS)
+    reindexed = sql.DOCUMENTS.replace("'value': text", "'value': CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN concat_ws(' ', text, 'refreshed pages') ELSE text END")
+    phrases = (sql.phrase(words(LEFT), "l"), sql.phrase(words(RIGHT), "r"))
+    by_phrase = {f"search_{k.lower()}": sql.ranked(sql.DOCUMENTS, *phrases, sql.combined(k, "l", "r")) for k in ("AND", "OR", "NOT")}
+    parts = "SELECT p_partkey AS doc_id, '' AS url, '' AS title, pr AS popularity, [{'field': 'body', 'value': p_name}] AS fields FROM part JOIN ranks ON ranks.url = CAST(p_partkey AS VARCHAR)"
+    normal = urls.sql_normalize("url")
+    link = f"SELECT page_id, pos, href, {sql.resolved('base', 'href')} AS url FROM ({sql.hrefs()})"
+    page_links = f"""pg AS MATERIALIZED (SELECT {normal} AS url, links FROM pages LEFT JOIN (
+      SELECT page_id, list(u) AS links FROM (SELECT page_id, {normal} AS u FROM ({link}) WHERE url <> '') WHERE u IS NOT NULL GROUP BY page_id) USING (page_id))"""
+    ema = """f AS (SELECT user_id AS domain, list(value * 10 ORDER BY ts, event_id) AS ms, count(*) AS successes FROM events GROUP BY user_id),
+      e AS (SELECT domain, CAST(list_reduce(list_prepend(trunc(ms[1]), ms[2:]), lambda a, x: trunc(a * 0.7::DOUBLE + x * 0.3::DOUBLE)) AS INTEGER) AS average, successes FROM f)"""
+    pairs = sql.snippets("SELECT u.doc_id, text AS t, lower(text) AS low, token FROM (SELECT DISTINCT doc_id, token FROM tok) u JOIN documents USING (doc_id)")
+    top = search.PAGE
+    body = html.sql_body("html")
+    return {
+        "tokens_kept": f"SELECT doc_id, array_to_string({sql.kept('text')}, ' ') AS tokens, CAST(len({sql.kept('text')}) AS INTEGER) AS n FROM documents",
+        "stem_vocabulary": f"WITH {docs} SELECT token, word FROM vocab",
+        "term_frequency": f"WITH {docs} SELECT doc_id, word, frequency, length, round(tf, 9) AS tf FROM post",
+        "positions": f"WITH {docs} SELECT doc_id, position, word FROM pos",
+        "doc_frequency_idf": f"WITH {docs} SELECT word, doc_count, round(idf, 9) AS idf FROM dict",
+        "forward_index": f"WITH {docs} SELECT doc_id, string_agg(word, ' ' ORDER BY word) AS words FROM post GROUP BY doc_id",
+        "weighted_postings": f"WITH {sql.base(sql.pages())} SELECT word, doc_id, frequency, round(tf, 9) AS tf, in_title, importance_score, length, array_to_string(positions, ',') AS positions FROM post",
+        "body_text": f"SELECT page_id, {body} AS body FROM pages",
+        "page_title": f"SELECT page_id, {html.sql_title('html')} AS title FROM pages",
+        "headers": f"SELECT page_id, array_to_string({html.sql_headings('html')}, '|') AS headers FROM pages",
+        "out_links": f"SELECT page_id, pos, href, url FROM ({link}) WHERE url <> ''",
+        "url_normalize": f"SELECT page_id, {normal} AS normal FROM pages",
+        "url_domain": f"SELECT page_id, {urls.sql_domain('url')} AS domain FROM pages",
+        "url_robots_key": f"SELECT page_id, {sql.robots_key('url')} AS key, regexp_extract(trim(url), '{urls.SPLIT}', 3) AS path, starts_with(url, 'http') AS http FROM pages",
+        "content_hash_dedupe": "SELECT min(doc_id) AS doc_id, h AS content_hash FROM (SELECT doc_id, regexp_replace(sha256(text), '^0+', '') AS h FROM documents) GROUP BY h",
+        "snippets_top3": f"""WITH {docs}, pr AS ({pairs}), e AS (SELECT tok.doc_id, word, position, snippet FROM tok JOIN pr USING (doc_id, token) JOIN vocab USING (token)),
+            g AS (SELECT doc_id, word, list(snippet ORDER BY position) AS s3, list(snippet ORDER BY contains(snippet, '.') DESC, length(snippet) DESC, position) AS s FROM e GROUP BY doc_id, word)
+            SELECT doc_id, word, sha256(array_to_string(CASE WHEN len(s3) <= 3 THEN s3 ELSE s[1:3] END, '|')) AS snippets_sha256, CAST(least(3, len(s)) AS INTEGER) AS n FROM g""",
+        "search_terms": f"{sql.ranked(sql.DOCUMENTS, sql.terms(words(TERMS)))} ORDER BY score DESC, doc_id LIMIT 10",
+        "search_repeat_terms": sql.ranked(sql.DOCUMENTS, sql.terms(words(REPEATED))),
+        "search_conjunctive": f"WITH {docs} SELECT doc_id FROM post WHERE word IN ('tion', 'thing', 'anea') GROUP BY doc_id HAVING count(*) = 3",
+        "search_phrase": sql.ranked(sql.DOCUMENTS, sql.phrase(words(PHRASE))),
+        **by_phrase,
+        "search_titled": sql.ranked(sql.pages(), sql.terms(words(TITLED))),
+        "search_blended": sql.ranked(parts, sql.terms(words(BLENDED))).replace("WITH ", f"WITH {sql.pagerank(sql.PARTS, ITERATIONS)}, ", 1),
+        "page_results": f"""WITH r AS ({sql.ranked(sql.DOCUMENTS, sql.terms(words(TERMS)))}), k AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+            doc_id, score, CAST(ceil(count(*) OVER () / {top}) AS INTEGER) AS pages FROM r) SELECT * FROM k WHERE rank > {top} AND rank <= {2 * top}""",
+        "pagerank_parts": f"WITH {sql.pagerank(sql.PARTS, ITERATIONS)} SELECT url, round(pr, 12) AS pr FROM ranks",
+        "pagerank_pages": f"WITH {sql.pagerank(page_links, ITERATIONS)} SELECT url, round(pr, 12) AS pr FROM ranks",
+        "index_reindex": f"WITH {sql.base(reindexed)} SELECT word, doc_count, round(idf, 9) AS idf FROM dict",
+        "unindexed_scan": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND text IS NOT NULL AND source IS NOT NULL",
+        "frontier_round_robin": f"""WITH s AS (SELECT page_id AS seq, {normal} AS url FROM pages), f AS (SELECT *, {urls.sql_domain("url")} AS domain FROM s WHERE url IS NOT NULL)
+            SELECT seq, url, domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY seq, url) AS INTEGER) AS turn FROM f""",
+        "link_admission": f"""WITH l AS (SELECT page_id, pos, {normal} AS url FROM ({link}) WHERE url <> ''), w AS (SELECT * FROM l WHERE url IS NOT NULL AND starts_with(url, 'http')
+            AND url NOT IN (SELECT {normal} FROM pages)), f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1)
+            SELECT page_id, pos, url FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= {crawl.MOST_LINKS}""",
+        "robots_allowed": f"WITH {sql.robots(ROBOTS)} SELECT page_id, url, allowed FROM verdicts",
+        "domain_ema": f"WITH {ema} SELECT domain, average, successes FROM e",
+        "adaptive_delay": f"""WITH {ema} SELECT domain, CAST(CASE WHEN successes > {crawl.FAST_AFTER} AND average < {crawl.FAST_BELOW} THEN {crawl.FAST_DELAY}
+            WHEN average > {crawl.SLOW_ABOVE} THEN {min(crawl.LONGEST_DELAY, crawl.DELAY)} ELSE {crawl.DELAY} END AS INTEGER) AS delay FROM e""",
+        "access_wait": f"""SELECT event_id AS seq, CAST(greatest(0, coalesce({crawl.DELAY} - (epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))), 0)) AS BIGINT) AS wait FROM events""",
+        "crawl_summary": f"""WITH {sql.robots(ROBOTS)}, h AS (SELECT page_id, html, regexp_replace(sha256({body}), '^0+', '') AS hash FROM pages),
+            o AS (SELECT CASE WHEN NOT allowed THEN 'robots' WHEN length(html) = 0 THEN 'fetch' WHEN NOT starts_with(lower(html), '<!doctype html') THEN 'type'
+              WHEN page_id <> min(page_id) OVER (PARTITION BY hash) THEN 'duplicate' ELSE 'saved' END AS o FROM h JOIN verdicts USING (page_id))
+            SELECT count(*) AS attempted, count(*) FILTER (o = 'saved') AS saved, count(*) FILTER (o <> 'saved') AS skipped, count(*) FILTER (o = 'robots') AS robots,
+              count(*) FILTER (o = 'fetch') AS fetch, count(*) FILTER (o = 'type') AS type, count(*) FILTER (o = 'duplicate') AS duplicate FROM o""",
+        "recent_queries": 'SELECT event_type, max(ts) AS "last" FROM events GROUP BY event_type ORDER BY 2 DESC, 1 LIMIT 10',
+        "publish_date": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events",
+    }
