@@ -39,7 +39,7 @@ MOST_SLOTS, RANGES = 1 << 26, 64
 #: Lower ends of the count classes that the order distinguishes.
 CLASSES = np.array([1, 2, 3, 4, 5, 6, 8, 12, 16, 32, 64, 256, 1024, 4096, 65536])
 #: Shingles that a task gathers before it hands them on.
-FLUSH = 1_500_000
+FLUSH = 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
