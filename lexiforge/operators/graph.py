@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import written
 
 #: Damping, largest change at which ranks have converged, and iterations at most; fixed values.
 DAMPING, EPSILON, MOST_ITERATIONS = 0.85, 1e-6, 100
@@ -37,15 +37,6 @@ def step(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(total)).select("url", (F.col("raw") / F.col("total")).alias("pr"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir: a cut lineage that outlives executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-")
-    path = f"{base.rstrip('/')}/ranks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def start(nodes: DataFrame) -> DataFrame:
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
     return nodes.join(F.broadcast(n)).select("url", (F.lit(1.0) / F.col("n")).alias("pr"))
@@ -89,8 +80,6 @@ def report(ranks: DataFrame) -> DataFrame:
 
 def part_follow_pages(spark: SparkSession, lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """(url, links) of the part-follow graph: among returned lines of an order, each part links to the next one's."""
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = lineitem.where("l_returnflag = 'R'").select("l_partkey", F.lead("l_partkey").over(order).alias("next"))
     links = lines.where("next is not null").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_list(F.col("next").cast("string"))).alias("links"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text
 from ..functions.stem import stem
+from ..session import written
 
 #: Importance of a word's occurrence by field; fixed values.
 WEIGHTS = {"title": 3.0, "header": 2.0, "body": 1.0}
@@ -135,9 +136,12 @@ class Index:
 
 
 def build(fields: DataFrame, popularity: DataFrame | None = None, stemmed: bool = True) -> Index:
-    """An index of fields (doc_id, url, fields, title); popularity (doc_id, popularity) defaults to 0."""
-    posted = postings(positions(fields, stemmed))
+    """An index of fields (doc_id, url, fields, title); popularity (doc_id, popularity) defaults to 0.
+
+    Postings and dictionary are tables of the shared folder, made once and read by each part of a query.
+    """
+    posted = written(postings(positions(fields, stemmed)))
     lengths = posted.groupBy("doc_id").agg(F.max("length").alias("length"))
     docs = fields.select("doc_id", "url", "title").join(lengths, "doc_id")
     docs = docs.join(popularity, "doc_id", "left") if popularity is not None else docs.withColumn("popularity", F.lit(0.0))
-    return Index(posted, dictionary(posted), docs.withColumn("popularity", F.coalesce("popularity", F.lit(0.0))))
+    return Index(posted, written(dictionary(posted)), docs.withColumn("popularity", F.coalesce("popularity", F.lit(0.0))))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -23,3 +24,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lexiforge-"))
         .getOrCreate()
     )
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder of spark.checkpoint.dir: a cut lineage that outlives executors."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-")
+    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
