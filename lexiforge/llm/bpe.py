@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ STABLE = "\\x00-\u0557\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00
 #: Bounds of the table's head: words, characters of a word, and characters of all words together.
 HEAD_WORDS, HEAD_WORD_CHARS, HEAD_CHARS = 1 << 17, 48, 4_000_000
 #: Distinct words that a task counts before it hands them on, and that it remembers beyond the head.
-COUNT_FLUSH, TASK_WORDS = 200_000, 100_000
+COUNT_FLUSH, TASK_WORDS = 200_000, 200_000
 #: Rows of an Arrow batch that become Python objects at a time.
 SLICE = 64
 
@@ -44,12 +46,15 @@ class Codec:
         import regex
         from tokenizers import Tokenizer
 
+        # tasks share the cores already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(source)
         spec = json.loads(source)
         if spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec["normalizer"]:
             raise ValueError("a byte-level BPE without normalizer and prefix blank is needed")
         self.split, self.rare = regex.compile(PATTERN).findall, re.compile(f"[^{STABLE}]").search
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.merge = self.merger(spec)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def find(self, text: str) -> list[str]:
@@ -68,7 +73,22 @@ class Codec:
         return out + self.find(text[at:])
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """Ids of words, each a pre-token or a special token."""
+        if self.merge is None:
+            return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [[self.special[w]] if w in self.special else self.merge(w.encode()) for w in words]
+
+    def merger(self, spec: dict) -> Callable[[bytes], list[int]] | None:
+        """A quicker merge loop over bytes, where ids follow the order of the merges, so that an id is its rank."""
+        import tiktoken
+
+        model = spec["model"]
+        made = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [model["vocab"][a + b] for a, b in made]
+        ranks = {p: i for i, p in enumerate(self.pieces()) if i not in self.special.values()}
+        if ids != sorted(ids) or len(ranks) != len(model["vocab"]) - len(self.special.keys() & model["vocab"].keys()) or min(ids) < 256:
+            return None
+        return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def pieces(self) -> list[bytes]:
         """Bytes of each id, undoing the printable stand-ins of byte-level vocabularies."""
@@ -137,8 +157,9 @@ def word_table(docs: DataFrame, source: str, most: int = HEAD_WORDS, chars: int
     return head.mapInArrow(encode, "word string, n long, ids array<int>")
 
 
-def with_ids(docs: DataFrame, source: str, fields: str, make: Callable[[Codec], Callable[[list[list[int]]], list]], table: DataFrame | None = None) -> DataFrame:
-    """docs and fields: make(codec) gives a function from a text's words' ids, in order, to the values of fields."""
+def with_ids(docs: DataFrame, source: str, fields: str, prepare: Callable, combine: Callable, table: DataFrame | None = None) -> DataFrame:
+    """docs and fields: combine(values) makes a row's fields of the values of its words in order, and
+    prepare(codec)(ids) a word's value, once for each distinct word."""
     head = {r["word"]: list(r["ids"]) for r in (word_table(docs, source) if table is None else table).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(head)
     added = StructType.fromDDL(fields)
@@ -149,16 +170,26 @@ def with_ids(docs: DataFrame, source: str, fields: str, make: Callable[[Codec],
     out = to_arrow_schema(schema)
 
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, known, own = Codec(source), shared.value, {}
-        done = make(codec)
+        codec = Codec(source)
+        value = prepare(codec)
+        known = {w: value(ids) for w, ids in shared.value.items()}
+        own: list[str] = []
         for part, texts in texts_of(batches, at):
-            words = [codec.words(t) for t in texts]
-            new = list({w for ws in words for w in ws if w not in known and w not in own})
-            if len(own) + len(new) > TASK_WORDS:
-                own.clear()
-                new = list({w for ws in words for w in ws if w not in known})
-            own.update(zip(new, codec.encode(new), strict=True))
-            rows = [done([known[w] if w in known else own[w] for w in ws]) for ws in words]
+            rows = []
+            for t in texts:
+                words = codec.words(t)
+                values = list(map(known.get, words))
+                if None in values:
+                    if len(own) > TASK_WORDS:
+                        for w in own:
+                            del known[w]
+                        own.clear()
+                        values = list(map(known.get, words))
+                    new = list({w for w, v in zip(words, values, strict=True) if v is None})
+                    known.update(zip(new, map(value, codec.encode(new)), strict=True))
+                    own += new
+                    values = list(map(known.__getitem__, words))
+                rows.append(combine(values))
             cols = [pa.array([r[k] for r in rows], out.field(n).type) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*[c.cast(out.field(k).type) for k, c in enumerate(part.columns)], *cols], schema=out)
 
@@ -171,7 +202,7 @@ def encode(docs: DataFrame, source: str, table: DataFrame | None = None) -> Data
     source: the tokenizer's JSON. A null or empty text has no ids; repeated rows get equal ids; docs without rows give
     none. An existing column ids is replaced, others are kept.
     """
-    return with_ids(docs, source, "ids array<int>", lambda _: lambda ids: [[i for w in ids for i in w]], table)
+    return with_ids(docs, source, "ids array<int>", lambda _: tuple, lambda values: [[*chain.from_iterable(values)]], table)
 
 
 def decode(encoded: DataFrame, source: str) -> DataFrame:
@@ -184,23 +215,24 @@ def decode(encoded: DataFrame, source: str) -> DataFrame:
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
         pieces = Codec(source).pieces()
-        return pa.array([None if x is None else b"".join(pieces[i] for i in x if 0 <= i < len(pieces)).decode("utf-8", "replace") for x in ids.to_pylist()])
+        return pa.array([None if x is None else b"".join(pieces[i] for i in x if 0 <= i < len(pieces)).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
 
     return encoded.drop("decoded").withColumn("decoded", text_of("ids"))
 
 
 def digests(docs: DataFrame, source: str, table: DataFrame | None = None) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256, made in one pass; nulls and repeats as in encode()."""
+    """docs with n_tokens, ids_sha256 and decoded_sha256, made in one pass; nulls and repeats as in encode().
 
-    def make(codec: Codec) -> Callable[[list[list[int]]], list]:
-        pieces = codec.pieces()
-        number = [str(i) for i in range(len(pieces))]
+    A word's value is the number of its ids, their decimals, and the bytes of their pieces.
+    """
 
-        def done(words: list[list[int]]) -> list:
-            ids = [i for w in words for i in w]
-            text = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace").encode()
-            return [len(ids), hashlib.sha256(",".join([number[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(text).hexdigest()]
+    def prepare(codec: Codec) -> Callable[[list[int]], tuple[int, str, bytes]]:
+        pieces = codec.pieces()
+        return lambda ids: (len(ids), ",".join(map(str, ids)), b"".join(pieces[i] for i in ids))
 
-        return done
+    def combine(values: list[tuple[int, str, bytes]]) -> list:
+        n, ids, data = zip(*values, strict=True) if values else ((), (), ())
+        text = b"".join(data).decode("utf-8", "replace").encode()
+        return [sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(text).hexdigest()]
 
-    return with_ids(docs, source, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, table)
+    return with_ids(docs, source, "n_tokens long, ids_sha256 string, decoded_sha256 string", prepare, combine, table)
