@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from .common import materialize, n_partitions
@@ -31,7 +32,7 @@ LANDING = 12
 EPS = 1e-9
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def n_words(text: pa.Array) -> pa.Array:
     """Words of each text, 0 for null; bytes.split() splits at exactly the six ASCII white space characters."""
     return pa.array([len(t.split()) if t else 0 for t in text.cast(pa.binary()).to_pylist()], pa.int64())
