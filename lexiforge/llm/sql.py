@@ -74,7 +74,7 @@ def op5() -> str:
     def strength(name: str, units: str, rate: str) -> str:
         low, high = url_reputation.LEAST_STRENGTH, url_reputation.MOST_STRENGTH
         return f"""
-{name} AS (SELECT coalesce(least(greatest(CASE WHEN q - n1 > 0 THEN (nn - q) / (q - n1) END, {low}), {high}), {high}) AS k FROM (
+{name} AS (SELECT least(greatest(coalesce(CASE WHEN q - n1 > 0 THEN (nn - q) / (q - n1) END, {high}), {low}), {high}) AS k FROM (
   SELECT sum(pow(bad - n * {rate}, 2)) AS q, sum(n * n * {rate} * (1 - {rate})) AS nn, sum(n * {rate} * (1 - {rate})) AS n1
   FROM {units} WHERE n > 1))"""
 

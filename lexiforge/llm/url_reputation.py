@@ -75,9 +75,10 @@ def strength(units: DataFrame, parent_rate: str) -> DataFrame:
         F.sum(F.col("n") * F.col("n") * v).alias("nn"),
         F.sum(F.col("n") * v).alias("n1"),
     )
+    # no more spread than chance makes (or nothing to tell by): the prior is as strong as it gets
     s = F.when(F.col("q") - F.col("n1") > 0, (F.col("nn") - F.col("q")) / (F.col("q") - F.col("n1")))
-    s = F.least(F.greatest(s, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH))
-    return sums.select(F.coalesce(s, F.lit(MOST_STRENGTH)).alias("k"))
+    s = F.coalesce(s, F.lit(MOST_STRENGTH))
+    return sums.select(F.least(F.greatest(s, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("k"))
 
 
 def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
