@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import materialize
+from .common import freed, materialize, small_batches
 
 #: Unicode White_Space, as the tokenizer's pattern reads \s; fixed values.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -128,7 +128,7 @@ def count_words(docs: DataFrame, source: str) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lambda it: freed(count(it)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_table(docs: DataFrame, source: str, most: int = HEAD_WORDS, chars: int = HEAD_CHARS) -> DataFrame:
@@ -137,6 +137,7 @@ def word_table(docs: DataFrame, source: str, most: int = HEAD_WORDS, chars: int
     Counts fall into 8 classes a doubling; the head is the most frequent classes that fit the bounds together. So a
     histogram of some hundred rows finds it, not a global sort.
     """
+    small_batches(docs.sparkSession)
     level = F.floor(F.log2("n") * 8).cast("int")
     counts = materialize(count_words(docs, source).withColumn("level", level))
     least, words, length = 10**9, 0, 0
@@ -154,7 +155,7 @@ def word_table(docs: DataFrame, source: str, most: int = HEAD_WORDS, chars: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     head = counts.where(F.col("level") >= least).select("word", "n")
-    return head.mapInArrow(encode, "word string, n long, ids array<int>")
+    return head.mapInArrow(lambda it: freed(encode(it)), "word string, n long, ids array<int>")
 
 
 def with_ids(docs: DataFrame, source: str, fields: str, prepare: Callable, combine: Callable, table: DataFrame | None = None) -> DataFrame:
@@ -172,28 +173,26 @@ def with_ids(docs: DataFrame, source: str, fields: str, prepare: Callable, combi
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(source)
         value = prepare(codec)
-        known = {w: value(ids) for w, ids in shared.value.items()}
-        own: list[str] = []
+
+        class Words(dict):
+            """Values by word: the head's, and those of other words from their first place in this task on."""
+
+            def __missing__(self, word: str) -> object:
+                v = self[word] = value(codec.encode([word])[0])
+                return v
+
+        table = {w: value(ids) for w, ids in shared.value.items()}
+        known = Words(table)
         for part, texts in texts_of(batches, at):
             rows = []
             for t in texts:
-                words = codec.words(t)
-                values = list(map(known.get, words))
-                if None in values:
-                    if len(own) > TASK_WORDS:
-                        for w in own:
-                            del known[w]
-                        own.clear()
-                        values = list(map(known.get, words))
-                    new = list({w for w, v in zip(words, values, strict=True) if v is None})
-                    known.update(zip(new, map(value, codec.encode(new)), strict=True))
-                    own += new
-                    values = list(map(known.__getitem__, words))
-                rows.append(combine(values))
+                rows.append(combine(list(map(known.__getitem__, codec.words(t)))))
+                if len(known) > len(table) + TASK_WORDS:
+                    known = Words(table)
             cols = [pa.array([r[k] for r in rows], out.field(n).type) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*[c.cast(out.field(k).type) for k, c in enumerate(part.columns)], *cols], schema=out)
 
-    return docs.mapInArrow(join_back, schema)
+    return docs.mapInArrow(lambda it: freed(join_back(it)), schema)
 
 
 def encode(docs: DataFrame, source: str, table: DataFrame | None = None) -> DataFrame:

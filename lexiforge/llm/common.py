@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +53,27 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bounds of an Arrow batch, so that batches of long texts fit the memory of a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches for this session, unless it bounds them more closely itself."""
+    for key, most in BATCH.items():
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
+
+
+def freed(rows: Iterator) -> Iterator:
+    """rows, and at their end the task's memory handed back: Python workers live on, and what they keep adds up."""
+    yield from rows
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def portable_hash(c: Column) -> Column:
     """The first 32 bits of MD5 as a long: the same number in Spark and in DuckDB."""
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")

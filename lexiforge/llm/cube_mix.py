@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from .common import materialize, n_partitions
+from .common import freed, materialize, n_partitions, small_batches
 
 #: Weights of the sources by rank, repeating; no document is taken more often than CAP times.
 WEIGHTS, CAP = (1, 2, 3), 3
@@ -152,7 +152,7 @@ def choose(units: DataFrame, block: int = BLOCK) -> DataFrame:
         dealt = left.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         dealt = dealt.withColumn("block", F.pmod(F.col("at"), buckets)).drop("s", "units")
         dealt = dealt.repartition(n_partitions(spark), "source", "block").sortWithinPartitions("source", "block")
-        moved = materialize(dealt.mapInArrow(lambda it, final=final: fly(it, final), UNIT))
+        moved = materialize(dealt.mapInArrow(lambda it, final=final: freed(fly(it, final)), UNIT))
         whole = moved.where("p = 0 or p = 1")
         done = whole if done is None else done.union(whole)
         if final:
@@ -168,6 +168,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     share its decision. Documents without words need no decision: they are taken 0 words. Empty docs give an empty
     result. Existing columns of these names are replaced, others kept.
     """
+    small_batches(docs.sparkSession)
     new = ["size", "source_size", "target", "taken"]
     sized = docs.drop(*new, "times").withColumn("size", n_words("text"))
     # sizes come from whole texts: computed once, then only numbers move

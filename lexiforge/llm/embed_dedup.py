@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, n_partitions
+from .common import components, freed, materialize, n_partitions
 
 COSINE = 0.9
 #: Vectors that the pivots are taken from, vectors that a part of a node has about, and pivots at most.
@@ -306,7 +306,7 @@ def links_between(points: DataFrame, cosine: float) -> DataFrame:
     firsts = spark.createDataFrame([(a, p[0], p[1]) for a, p in parts.items()], "node int, first long, parts long")
     placed = dealt.join(F.broadcast(firsts), "node").withColumn("part", F.col("first") + F.pmod(F.xxhash64("rid"), F.col("parts")))
     placed = placed.select("part", "rid", "weight", "vector").repartition(max(n_partitions(spark), min(count, 4096)), "part").sortWithinPartitions("part")
-    trees = materialize(placed.mapInArrow(lambda it: grow(it, cosine), TREES))
+    trees = materialize(placed.mapInArrow(lambda it: freed(grow(it, cosine)), TREES))
     # pairs of upper nodes that the bound leaves, as ranges of parts; a part meets those from itself on
     near = [(p[0], p[1], q[0], q[1]) for a, p in parts.items() for b, q in parts.items() if a <= b and gaps[a, b] - p[2] - q[2] <= t + SLACK]
     ranges = spark.createDataFrame(near, "a_first long, a_parts long, b_first long, b_parts long").repartition(n_partitions(spark))
@@ -316,4 +316,4 @@ def links_between(points: DataFrame, cosine: float) -> DataFrame:
     others = trees.select(F.col("part").alias("pair_b"), F.col("tree").alias("tree_b"))
     pairs = pairs.join(others, "pair_b").select("pair_a", "pair_b", "tree_a", "tree_b")
     pairs = pairs.repartition(max(n_partitions(spark), min(count * (count + 1) // 2, 4096)))
-    return pairs.mapInArrow(lambda it: pair_tasks(it, cosine), FOUND)
+    return pairs.mapInArrow(lambda it: freed(pair_tasks(it, cosine)), FOUND)

@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed, small_batches
+
 #: Size of the hashed feature space (a power of 2), longest remembered vocabulary of a task.
 DIMS, TASK_WORDS = 1 << 18, 100_000
 #: Labelled rows that a model may be trained on, and passes over them.
@@ -95,7 +97,7 @@ def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, dims: int = DIMS) -> tu
     at = F.xxhash64(F.col("key").cast("string"))
     # keys first: only the sample's texts are read and moved
     sample = labelled.where("key is not null and label is not null").select(at.alias("at"), "text", F.col("label").cast("int").alias("label"))
-    got = sample.mapInArrow(features, "at long, index binary, value double, label int").collect()
+    got = sample.mapInArrow(lambda it: freed(features(it)), "at long, index binary, value double, label int").collect()
     rows = sorted((r["at"], r["index"], r["value"], r["label"]) for r in got)[:most_rows]
     return train([(np.frombuffer(i, np.int32).astype(np.int64), v, y) for _, i, v, y in rows], dims)
 
@@ -114,8 +116,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
     """
     weights, bias = docs.sparkSession.sparkContext.broadcast(model[0].astype(np.float32)), model[1]
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("double")
     def dot(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from freed(scores(batches))
+
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make, w = Features(len(weights.value)), weights.value
         for texts in batches:
             out = []

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, n_partitions
+from .common import components, freed, materialize, n_partitions, small_batches
 
 #: Words of a shingle; similarity as a fraction, so that the comparison is in whole numbers.
 WORDS, OVER, UNDER = 5, 75, 100
@@ -306,7 +306,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(rows: DataFrame) -> DataFrame:
     """Links of rows (task, probe, key, shingles)."""
     rows = rows.repartition(n_partitions(rows.sparkSession), "task").sortWithinPartitions("task")
-    return rows.select("task", "probe", "key", "shingles").mapInArrow(compare, LINKS)
+    return rows.select("task", "probe", "key", "shingles").mapInArrow(lambda it: freed(compare(it)), LINKS)
 
 
 # --- the operator -----------------------------------------------------------------------------------------------
@@ -315,20 +315,21 @@ def compared(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sets, links) of docs (doc_id, text): sets (doc_id, n, key), and links (a, b) between keys, which connect
     exactly the sets that a chain of similar sets connects."""
+    small_batches(docs.sparkSession)
     spark, docs = docs.sparkSession, docs.select("doc_id", "text").where("doc_id is not null")
     slots = min(MOST_SLOTS, max(1 << 14, 1 << math.ceil(math.log2(512 * docs.count() + 1))))
-    both = materialize(docs.mapInArrow(lambda it: sets_and_slots(it, slots), SETS))
+    both = materialize(docs.mapInArrow(lambda it: freed(sets_and_slots(it, slots)), SETS))
     sets = both.where("slots is null").select("doc_id", "n", "key")
     blobs = both.where("slots is not null").select("range", "slots").repartition(n_partitions(spark), "range").sortWithinPartitions("range")
     sketch = np.zeros(slots // 2, np.uint8)
     width = slots // RANGES // 2
-    for r in blobs.mapInArrow(lambda it: sum_range(it, slots), "range int, classes binary").toLocalIterator():
+    for r in blobs.mapInArrow(lambda it: freed(sum_range(it, slots)), "range int, classes binary").toLocalIterator():
         sketch[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["classes"], np.uint8)
     shared = spark.sparkContext.broadcast(sketch)
 
-    prefixes = docs.mapInArrow(lambda it: prefix_rows(it, shared.value, slots), PREFIX)
+    prefixes = docs.mapInArrow(lambda it: freed(prefix_rows(it, shared.value, slots)), PREFIX)
     prefixes = prefixes.repartition(n_partitions(spark), "shingle").sortWithinPartitions("shingle", "key")
-    classes = materialize(components(prefixes.mapInArrow(star_links, LINKS)))
+    classes = materialize(components(prefixes.mapInArrow(lambda it: freed(star_links(it)), LINKS)))
 
     # one document for each set of a class; only their texts are moved
     members = classes.select(F.col("node").alias("key"), F.col("component").alias("class"))
@@ -342,7 +343,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(row, 1), b.column(1).slice(row, 1), pa.array([s.tobytes()], pa.binary())], ["key", "class", "shingles"])
 
     texts = chosen.join(docs, "doc_id").select("key", "class", "doc_id", "text")
-    texts = materialize(texts.mapInArrow(sets_of, "key long, class long, shingles binary"))
+    texts = materialize(texts.mapInArrow(lambda it: freed(sets_of(it)), "key long, class long, shingles binary"))
     sizes = texts.groupBy("class").agg(F.count(F.lit(1)).alias("members"))
     sized = texts.join(sizes, "class")
     small = sized.where(F.col("members") <= BLOCK).withColumns({"task": F.col("class"), "probe": F.lit(False)})

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import freed, small_batches
+
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Longest piece, and longest stretch of a word that is scored at once; longer words are scored in such stretches.
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, vocabulary: str, most_docs: int = MOST_DOCS, most_words
             [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["lang", "word", "n"]
         )
 
-    counts = sample.mapInArrow(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lambda it: freed(split(it)), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     words: dict[str, dict[str, int]] = defaultdict(dict)
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= most_words).collect():
@@ -173,8 +175,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("struct<lang:string,score:double>")
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from freed(guesses(batches))
+
+    def guesses(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         known: dict[str, int] = {}  # rows of table, which holds the scores of the words of this task
         table = np.zeros((TASK_WORDS, len(m.langs)))

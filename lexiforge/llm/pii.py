@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import freed, materialize, remove, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 #: What the method adds.
@@ -152,7 +152,8 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CO
     worth is 1, another instance's the mean score of its patterns. Both steps are grouped sums with partial
     aggregation, so frequent patterns and instances do not gather in one task.
     """
-    graph = materialize(docs.select("text").mapInArrow(graph_rows, GRAPH).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
+    small_batches(docs.sparkSession)
+    graph = materialize(docs.select("text").mapInArrow(lambda it: freed(graph_rows(it)), GRAPH).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
     worth, old = graph.select("pattern", "instance", "seed", "n", F.col("seed").cast("double").alias("worth")), []
     for _ in range(rounds):
         score = worth.groupBy("pattern").agg(
@@ -189,6 +190,7 @@ def find(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     3 / SHARE of them. A null or empty text has no spans; repeated rows get equal spans; an existing column pii is
     replaced, others are kept.
     """
+    small_batches(docs.sparkSession)
     patterns = learn_patterns(docs) if patterns is None else patterns
     known = {r["pattern"]: r["score"] for r in patterns.collect()}
     kind = "array<struct<kind:string,start:int,end:int>>"
@@ -203,6 +205,7 @@ def find(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
 
 def mask(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """docs with every span of find() replaced in text by its kind in angle brackets; overlapping spans count once."""
+    small_batches(docs.sparkSession)
     patterns = learn_patterns(docs) if patterns is None else patterns
     known = {r["pattern"]: r["score"] for r in patterns.collect()}
 
