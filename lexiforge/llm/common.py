@@ -79,6 +79,21 @@ def portable_hash(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
 
 
+def join_frequent(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left with right's columns by key, a left join in which no key's rows gather in one task.
+
+    right has one row per key. Keys that hold 1 / share of left's rows or more are share at most, whatever the rows, so
+    their rows of right are broadcast; the others are joined by a shuffle. left is read three times.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows_"))
+    total = left.agg(F.count(F.lit(1)).alias("total_"))
+    often = counts.join(F.broadcast(total)).where(F.col("rows_") * share >= F.col("total_")).select(key)
+    hot = materialize(right.join(often, key, "left_semi"))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").where(F.col(key).isNotNull()).join(right, key, "left")
+    none = left.where(F.col(key).isNull()).withColumns({c: F.lit(None).cast(t) for c, t in right.dtypes if c != key})
+    return left.join(F.broadcast(hot), key).unionByName(rest).unionByName(none)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 

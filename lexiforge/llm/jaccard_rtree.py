@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, freed, materialize, n_partitions, small_batches
+from .common import components, freed, join_frequent, materialize, n_partitions, small_batches
 
 #: Words of a shingle; similarity as a fraction, so that the comparison is in whole numbers.
 WORDS, OVER, UNDER = 5, 75, 100
@@ -333,7 +333,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # one document for each set of a class; only their texts are moved
     members = classes.select(F.col("node").alias("key"), F.col("component").alias("class"))
-    chosen = sets.join(members, "key").groupBy("key", "class").agg(F.min("doc_id").alias("doc_id"))
+    chosen = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(members, "key")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -393,10 +393,12 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     sets, found = links(docs)
     joined = components(found)
-    named = sets.join(joined.withColumnRenamed("node", "key"), "key", "left")
-    named = named.withColumn("group", F.coalesce("component", "key")).select("doc_id", "n", "group")
-    least = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "group", "left")
+    # copies first: what follows has one row per set; only the last join goes back to documents
+    keys = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    keys = keys.join(joined.withColumnRenamed("node", "key"), "key", "left")
+    keys = materialize(keys.select("key", "first", F.coalesce("component", "key").alias("group")))
+    least = keys.groupBy("group").agg(F.min("first").alias("least"))
+    out = join_frequent(sets, materialize(join_frequent(keys, least, "group").select("key", "least")), "key")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     nameless = docs.where("doc_id is null").select("text").mapInArrow(count_only, "n_shingles long")
     nameless = nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))

@@ -135,3 +135,11 @@ def test_components(spark):
 def test_sql(spark):
     name = "op8_ngram_jaccard_join"
     assert rows_of_spark(queries.queries()[name](spark, SMALL)) == rows_of_duckdb(database(SMALL), queries.oracle_sql()[name])
+
+
+def test_join_frequent(spark):
+    rows = [(7, i) for i in range(300)] + [(i, i) for i in range(40)] + [(None, 1), (None, 2)]
+    left = common.materialize(spark.createDataFrame(rows, "k long, v long"))
+    right = common.materialize(spark.createDataFrame([(i, i * i) for i in range(0, 30)], "k long, w long"))
+    got = sorted(map(str, common.join_frequent(left, right, "k", 10).select("k", "v", "w").collect()))
+    assert got == sorted(map(str, left.join(right, "k", "left").select("k", "v", "w").collect()))
