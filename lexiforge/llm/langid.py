@@ -172,7 +172,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     with score 0; so is every text if the model has no language. Ties go to the first language in code point order.
     Columns of these names are replaced, others kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values, not the model: a broadcast is pickled by reference, and workers need not have this library
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, list(model.index), model.logp[:-1]))
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
     small_batches(docs.sparkSession)
@@ -182,7 +183,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         yield from freed(guesses(batches))
 
     def guesses(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+        m = Model(*shared.value)
         known: dict[str, int] = {}  # rows of table, which holds the scores of the words of this task
         table = np.zeros((TASK_WORDS, len(m.langs)))
         for texts in batches:
