@@ -1 +1,10 @@
-"""Lexiforge: full-text retrieval and link analysis as plain PySpark DataFrame expressions."""
+"""Lexiforge: full-text retrieval and link analysis as plain PySpark DataFrame expressions.
+
+The few functions that run in Python workers are pickled by value, so executors need no copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

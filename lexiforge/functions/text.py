@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,41 +47,42 @@ def publish_date(ms: Column) -> Column:
     return F.coalesce(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"), F.lit(""))
 
 
-def marked(stretch: Column, at: Column, size: Column, before: Column, after: Column) -> Column:
-    """A snippet of a stretch of text that reaches AROUND characters beyond the token at place at (from 0) with size
-    characters, or to the text's ends; before and after tell whether more text lies there.
+def snippet(text: str, low: str, token: str) -> str | None:
+    """Text around the first place of token in low, the lower-cased text, as a substring; None if it is not there.
 
-    It starts with the token's sentence and ends with it, where those lie within the stretch; dots mark a cut.
+    Up to AROUND characters each side, but from the start of the token's sentence and to its end where those lie
+    nearer; dots mark a cut.
     """
-    part = lambda a, b: F.substring(stretch, a + 1, b - a)
-    # the last ". " that begins at the token or before, found backwards
-    head = F.substring(stretch, 1, at + 2)
-    back = F.instr(F.reverse(head), " .")
-    stop = F.length(head) - back - 1
-    start = F.when(before & (back > 0) & (stop > 0), stop + 2).otherwise(0)
-    ahead = F.instr(part(at, at + AROUND), ".")
-    end = F.when(after & (ahead > 0), at + ahead).otherwise(F.length(stretch))
-    return F.concat(
-        F.when(before, "...").otherwise(""), part(start, at), F.lit("<strong>"), part(at, at + size), F.lit("</strong>"),
-        F.when(end > at + size, part(at + size, end)).otherwise(""), F.when(after | (end < F.length(stretch)), "...").otherwise(""),
-    )
-
-
-def first_snippets(text: Column, low: Column, size: Column, tokens: Column) -> Column:
-    """For each token the snippet at its first place in the text, as a substring whatever the case.
-
-    low is lower(text) and size its length. An array of (token, snippet): a text is not repeated for each of its
-    tokens, and each token's stretch is cut out of it once.
+    i = low.find(token)
+    if i < 0:
+        return None
+    n, after = len(text), i + len(token)
+    start, end = max(0, i - AROUND), min(n, after + AROUND)
+    if start > 0 and (stop := text.rfind(". ", start + 1, i + 2)) >= 0:
+        start = stop + 2
+    if end < n and (dot := text.find(".", i, i + AROUND)) >= 0:
+        end = dot + 1
+    return f"{'...' if start > 0 else ''}{text[start:i]}<strong>{text[i:after]}</strong>{text[after:end]}{'...' if end < n else ''}"
+
+
+def first_snippets(text: Column, low: Column, tokens: Column) -> Column:
+    """For each token its snippet, an array of (token, snippet); tokens that are not found are left out.
+
+    Arrow batches rather than an expression: Spark's strings are UTF-8, so that each token would scan its text from
+    the start several times. A text is not repeated for each of its tokens.
     """
-    i, t = (lambda x: x.getField("i")), (lambda x: x.getField("token"))
-    placed = F.transform(tokens, lambda x: F.struct(x.alias("token"), (F.instr(low, x) - 1).alias("i")))
-    placed = F.filter(placed, lambda x: i(x) >= 0)
-    first = lambda x: F.greatest(F.lit(0), i(x) - AROUND)
-    last = lambda x: F.least(size, i(x) + F.length(t(x)) + AROUND)
-    cut = lambda x: F.substring(text, first(x) + 1, last(x) - first(x)).alias("w")
-    windows = F.transform(placed, lambda x: F.struct(t(x).alias("token"), i(x).alias("i"), cut(x)))
-    made = lambda x: marked(x.getField("w"), i(x) - first(x), F.length(t(x)), i(x) > AROUND, last(x) < size)
-    return F.transform(windows, lambda x: F.struct(t(x).alias("token"), made(x).alias("snippet")))
+    kind = "array<struct<token:string,snippet:string>>"
+
+    @F.arrow_udf(kind)
+    def made(texts: pa.Array, lows: pa.Array, each: pa.Array) -> pa.Array:
+        out = []
+        for t, w, ts in zip(texts, lows, each, strict=True):
+            t, w = t.as_py(), w.as_py()
+            found = [] if t is None else [(x, snippet(t, w, x)) for x in ts.as_py() or []]
+            out.append([{"token": x, "snippet": s} for x, s in found if s is not None])
+        return pa.array(out, pa.list_(pa.struct([("token", pa.string()), ("snippet", pa.string())])))
+
+    return made(text, low, tokens)
 
 
 def best_three(snippets: Column) -> Column:

@@ -48,8 +48,12 @@ def occurrences(fields: DataFrame) -> DataFrame:
 
 
 def stems(tokens: DataFrame) -> DataFrame:
-    """(token, word): each distinct token is stemmed once."""
-    return tokens.select("token").distinct().withColumn("word", stem(F.col("token")))
+    """(token, word): each distinct token is stemmed once.
+
+    Distinct tokens are few bytes but much work, so they are dealt out by number, which adaptive plans do not merge.
+    """
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tokens.select("token").distinct().repartition(parts, "token").withColumn("word", stem(F.col("token")))
 
 
 def positions(fields: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -106,8 +110,8 @@ def snippets(fields: DataFrame, stemmed: bool = True) -> DataFrame:
     A snippet depends on field text and token only, so it is made once for each distinct pair.
     """
     parts = fields.select("doc_id", F.posexplode("fields").alias("part", "f")).select("doc_id", "part", F.col("f.value").alias("value"))
-    parts = parts.withColumns({"kept": text.kept(F.col("value")), "low": F.lower("value"), "size": F.length("value")})
-    made = parts.select("doc_id", "part", F.explode(text.first_snippets(F.col("value"), F.col("low"), F.col("size"), F.array_distinct("kept"))).alias("s"))
+    parts = parts.withColumns({"kept": text.kept(F.col("value")), "low": F.lower("value")})
+    made = parts.select("doc_id", "part", F.explode(text.first_snippets(F.col("value"), F.col("low"), F.array_distinct("kept"))).alias("s"))
     made = made.select("doc_id", "part", "s.token", "s.snippet")
     at = parts.select("doc_id", "part", F.posexplode("kept").alias("at", "token"))
     each = at.join(made, ["doc_id", "part", "token"])

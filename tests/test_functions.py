@@ -75,7 +75,7 @@ def plain_snippet(t, token):
 def test_snippets(spark):
     filler = "lorem ipsum dolor. " * 20
     cases = ["java first", filler + "Then JavaScript is here. " + filler, "x" * 400 + " java " + "y" * 400, "nothing", "a. java." + "z" * 300]
-    f = lambda c: text.first_snippets(c, F.lower(c), F.length(c), F.array(F.lit("java")))
+    f = lambda c: text.first_snippets(c, F.lower(c), F.array(F.lit("java")))
     got = [r[0].snippet if r else None for r in column(spark, cases, f)]
     assert got == [plain_snippet(c, "java") for c in cases]
 
