@@ -154,7 +154,7 @@ def pagerank_parts(spark: SparkSession, d: str) -> DataFrame:
 def page_graph(spark: SparkSession, d: str) -> DataFrame:
     source = read_table(spark, d, "pages")
     links = crawl.out_links(source).withColumn("url", urls.normalize(F.col("url"))).where("url is not null")
-    links = links.groupBy("page_id").agg(F.collect_list("url").alias("links"))
+    links = links.groupBy("page_id").agg(F.array_sort(F.collect_list("url")).alias("links"))
     return source.select("page_id", urls.normalize(F.col("url")).alias("url")).join(links, "page_id", "left").select("url", "links")
 
 
@@ -263,8 +263,10 @@ def oracle_sql() -> dict[str, str]:
     parts = "SELECT p_partkey AS doc_id, '' AS url, '' AS title, pr AS popularity, [{'field': 'body', 'value': p_name}] AS fields FROM part JOIN ranks ON ranks.url = CAST(p_partkey AS VARCHAR)"
     normal = urls.sql_normalize("url")
     link = f"SELECT page_id, pos, href, {sql.resolved('base', 'href')} AS url FROM ({sql.hrefs()})"
-    page_links = f"""pg AS MATERIALIZED (SELECT {normal} AS url, links FROM pages LEFT JOIN (
-      SELECT page_id, list(u) AS links FROM (SELECT page_id, {normal} AS u FROM ({link}) WHERE url <> '') WHERE u IS NOT NULL GROUP BY page_id) USING (page_id))"""
+    page_links = f"""pg AS MATERIALIZED (SELECT url, max(coalesce(links, CAST([] AS VARCHAR[]))) AS links FROM (
+      SELECT {normal} AS url, links FROM pages LEFT JOIN (
+        SELECT page_id, list(u ORDER BY u) AS links FROM (SELECT page_id, {normal} AS u FROM ({link}) WHERE url <> '') WHERE u IS NOT NULL GROUP BY page_id) USING (page_id))
+      WHERE url IS NOT NULL GROUP BY url)"""
     ema = """f AS (SELECT user_id AS domain, list(value * 10 ORDER BY ts, event_id) AS ms, count(*) AS successes FROM events GROUP BY user_id),
       e AS (SELECT domain, CAST(list_reduce(list_prepend(trunc(ms[1]), ms[2:]), lambda a, x: trunc(a * 0.7::DOUBLE + x * 0.3::DOUBLE)) AS INTEGER) AS average, successes FROM f)"""
     pairs = sql.snippets("SELECT u.doc_id, text AS t, lower(text) AS low, token FROM (SELECT DISTINCT doc_id, token FROM tok) u JOIN documents USING (doc_id)")
