@@ -313,8 +313,8 @@ def compared(rows: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, links) of docs (doc_id, text): sets (doc_id, n, key), and links (a, b) between keys, which connect
-    exactly the sets that a chain of similar sets connects."""
+    """(sets, labels) of docs (doc_id, text): sets (doc_id, n, key), and labels (key, component) of keys that links
+    connect with the least key of their component, from which those keys themselves may be missing."""
     small_batches(docs.sparkSession)
     spark, docs = docs.sparkSession, docs.select("doc_id", "text").where("doc_id is not null")
     slots = min(MOST_SLOTS, max(1 << 14, 1 << math.ceil(math.log2(512 * docs.count() + 1))))
@@ -347,15 +347,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = texts.groupBy("class").agg(F.count(F.lit(1)).alias("members"))
     sized = texts.join(sizes, "class")
     small = sized.where(F.col("members") <= BLOCK).withColumns({"task": F.col("class"), "probe": F.lit(False)})
-    found = compared(small)
-    large = sizes.where(F.col("members") > BLOCK)
-    if not large.isEmpty():
-        found = found.union(large_classes(materialize(sized.where(F.col("members") > BLOCK))))
-    return sets, found
+    # a small class is one task, whose links lead to the least key of each component already
+    found = materialize(compared(small))
+    labels = found.select(F.col("b").alias("key"), F.col("a").alias("component"))
+    if not sizes.where(F.col("members") > BLOCK).isEmpty():
+        labels = labels.union(large_classes(materialize(sized.where(F.col("members") > BLOCK))))
+    return sets, labels
 
 
 def large_classes(members: DataFrame) -> DataFrame:
-    """Links of members (class, key, shingles, members) whose classes exceed a block.
+    """Labels (key, component) of members (class, key, shingles, members) whose classes exceed a block.
 
     First each member meets the class's leaders (the least hashed keys). What is then connected to the class's largest
     component needs no further comparison among itself; the others meet the whole class, block against block.
@@ -369,7 +370,7 @@ def large_classes(members: DataFrame) -> DataFrame:
     build = leaders.join(blocks, "class").select(F.xxhash64("class", "block").alias("task"), F.lit(False).alias("probe"), F.col("k").alias("key"), F.col("s").alias("shingles"))
     probe = blocked.select(F.xxhash64("class", "block").alias("task"), F.lit(True).alias("probe"), "key", "shingles")
     first = materialize(compared(build.union(probe)))
-    joined = components(first)
+    joined = materialize(components(first))
     now = blocked.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key"))
     now = materialize(now.select("class", "key", "shingles", "members", "block", "part"))
     parts = now.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -381,7 +382,10 @@ def large_classes(members: DataFrame) -> DataFrame:
     task = F.xxhash64("class", "row", "block", F.lit(3)).alias("task")
     build = apart.join(blocks, "class").select(task, F.lit(False).alias("probe"), "key", "shingles")
     probe = now.join(rows, "class").select(task, F.lit(True).alias("probe"), "key", "shingles")
-    return first.union(compared(build.union(probe)))
+    more = materialize(compared(build.union(probe)))
+    if not more.isEmpty():
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return joined.withColumnRenamed("node", "key")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -391,11 +395,10 @@ def groups(docs: DataFrame) -> DataFrame:
     an empty set, which links with nothing, not even its like. Equal sets link. A row with a null doc_id links with
     nothing and has a null component. Repeated rows are equal sets. Further columns are left out.
     """
-    sets, found = links(docs)
-    joined = components(found)
+    sets, labels = links(docs)
     # copies first: what follows has one row per set; only the last join goes back to documents
     keys = sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    keys = keys.join(joined.withColumnRenamed("node", "key"), "key", "left")
+    keys = keys.join(labels, "key", "left")
     keys = materialize(keys.select("key", "first", F.coalesce("component", "key").alias("group")))
     least = keys.groupBy("group").agg(F.min("first").alias("least"))
     out = join_frequent(sets, materialize(join_frequent(keys, least, "group").select("key", "least")), "key")
