@@ -49,6 +49,13 @@ def remove(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does when the driver's objects of them are
+    collected, which a driver with free memory puts off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

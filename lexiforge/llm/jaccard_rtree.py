@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, freed, join_frequent, materialize, n_partitions, small_batches
+from .common import components, drop_shuffles, freed, join_frequent, materialize, n_partitions, small_batches
 
 #: Words of a shingle; similarity as a fraction, so that the comparison is in whole numbers.
 WORDS, OVER, UNDER = 5, 75, 100
@@ -330,6 +330,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefixes = docs.mapInArrow(lambda it: freed(prefix_rows(it, shared.value, slots)), PREFIX)
     prefixes = prefixes.repartition(n_partitions(spark), "shingle").sortWithinPartitions("shingle", "key")
     classes = materialize(components(prefixes.mapInArrow(lambda it: freed(star_links(it)), LINKS)))
+    drop_shuffles(spark)
 
     # one document for each set of a class; only their texts are moved
     members = classes.select(F.col("node").alias("key"), F.col("component").alias("class"))
@@ -344,11 +345,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     texts = chosen.join(docs, "doc_id").select("key", "class", "doc_id", "text")
     texts = materialize(texts.mapInArrow(lambda it: freed(sets_of(it)), "key long, class long, shingles binary"))
+    drop_shuffles(spark)
     sizes = texts.groupBy("class").agg(F.count(F.lit(1)).alias("members"))
     sized = texts.join(sizes, "class")
     small = sized.where(F.col("members") <= BLOCK).withColumns({"task": F.col("class"), "probe": F.lit(False)})
     # a small class is one task, whose links lead to the least key of each component already
     found = materialize(compared(small))
+    drop_shuffles(spark)
     labels = found.select(F.col("b").alias("key"), F.col("a").alias("component"))
     if not sizes.where(F.col("members") > BLOCK).isEmpty():
         labels = labels.union(large_classes(materialize(sized.where(F.col("members") > BLOCK))))
