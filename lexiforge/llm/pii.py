@@ -141,15 +141,17 @@ def graph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Rounds of scoring, the weight of the doubt in a pattern's score, and what a pattern needs in the end.
 ROUNDS, DOUBT, CONFIDENCE, LEAST_SEEDS = 3, 2.0, 0.5, 3
-#: A pattern needs this share of all seed mentions as well, so that at most 1 / SHARE * 3 patterns can be kept.
-SHARE = 1e-5
+#: So many patterns, the most frequent ones, are sent to every task; the others meet their mentions in a shuffle.
+MOST_SENT = 100_000
+#: Parts in which the documents of one text are joined, so that those of a frequent text do not gather in one task.
+SALTS = 16
 
 
 def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, score) of the high-confidence patterns, by iterated scoring of the pattern-instance graph.
+    """(pattern, score, n) of the high-confidence patterns, by iterated scoring of the pattern-instance graph.
 
     All documents are read. The score of a pattern is sum(n * worth) / (sum(n) + DOUBT) over its instances; a seed's
-    worth is 1, another instance's the mean score of its patterns. Both steps are grouped sums with partial
+    worth is 1, another instance's the mean score of its patterns. Score and LEAST_SEEDS alone decide what is kept; n counts mentions. Both steps are grouped sums with partial
     aggregation, so frequent patterns and instances do not gather in one task.
     """
     small_batches(docs.sparkSession)
@@ -160,65 +162,122 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CO
             (F.sum(F.col("n") * F.col("worth")) / (F.sum("n") + DOUBT)).alias("score"),
             F.count_if("seed").alias("seeds"),
             F.count_if(~F.col("seed")).alias("others"),
-            F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)).alias("seen"),
+            F.sum("n").alias("n"),
         )
         score = materialize(score)
         old.append(score)
-        means = graph.where("not seed").join(score, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"))
+        means = graph.where("not seed").join(score.select("pattern", "score"), "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"))
         worth = graph.join(means, "instance", "left").withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0))))
-    total = score.where("substr(pattern, 1, 1) = '='").agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("total"))
     # a pattern without other instances has nothing to discover
     good = (F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS) & (F.col("others") > 0)
-    kept = score.where(good).join(F.broadcast(total))
-    kept = materialize(kept.where(F.col("seen") >= F.col("total") * SHARE).select("pattern", "score"))
+    kept = materialize(score.where(good).select("pattern", "score", "n"))
     for df in [graph, *old]:
         remove(df)
     return kept
 
 
-def spans_of(text: str, patterns: dict[str, float]) -> list[tuple[str, int, int]]:
-    """Base spans, then what the patterns add: tokens for which two patterns at least vouch."""
+def sides(patterns: list[str], known: frozenset[str]) -> set[str]:
+    """Which sides of a mention the known ones of its patterns vouch for, by their first characters."""
+    return {p[0] for p in patterns if p in known}
+
+
+def spans_of(text: str, known: frozenset[str], rare: frozenset[tuple[int, int]] = frozenset()) -> list[tuple[str, int, int]]:
+    """Base spans, then what the patterns add: tokens for which two patterns at least vouch, or which rare has."""
     base = base_spans(text)
-    more = [(FOUND, a, b) for a, b, _, ps, seed in mentions(text, base) if not seed and sum(p in patterns for p in ps) >= 2] if patterns else []
-    return base + more
+    if not known and not rare:
+        return base
+    return base + [(FOUND, a, b) for a, b, _, ps, seed in mentions(text, base) if not seed and (len(sides(ps, known)) >= 2 or (a, b) in rare)]
+
+
+OPEN = "key string, start int, end int, side string, pattern string"
+
+
+def open_rows(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Of batches (key, text), the mentions that the known patterns leave undecided: a row for each side known to vouch
+    (pattern null), and one for each pattern that may yet vouch for another side."""
+    kinds = {"key": pa.string(), "start": pa.int32(), "end": pa.int32(), "side": pa.string(), "pattern": pa.string()}
+    rows: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or ""
+            for a, b, _, patterns, seed in mentions(text, base_spans(text)):
+                have = sides(patterns, known)
+                if not seed and len(have) < 2:
+                    rows += [(key, a, b, side, None) for side in have]
+                    rows += [(key, a, b, p[0], p) for p in patterns if p[0] not in have]
+            if len(rows) > 20_000:
+                yield flush()
+    yield flush()
+
+
+def with_rare(docs: DataFrame, patterns: DataFrame | None) -> tuple[DataFrame, frozenset[str]]:
+    """docs with the spans that only the less frequent patterns decide (column rare_), and the others, to be sent.
+
+    Up to MOST_SENT patterns, all are sent and rare_ is null. Beyond, undecided mentions are joined to all patterns;
+    an unsent pattern has at most 1 / MOST_SENT of the mentions. A text is known by its SHA-256.
+    """
+    patterns = learn_patterns(docs) if patterns is None else patterns
+    spans = "array<struct<start:int,end:int>>"
+    if patterns.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        known = frozenset(r["pattern"] for r in patterns.select("pattern").collect())
+        return docs.withColumn("rare_", F.lit(None).cast(spans)), known
+    known = frozenset(r["pattern"] for r in patterns.orderBy(F.desc("n"), "pattern").limit(MOST_SENT).select("pattern").collect())
+    texts = docs.where("text is not null").select(F.sha2("text", 256).alias("key"), "text")
+    rows = materialize(texts.mapInArrow(lambda it: freed(open_rows(it, known)), OPEN).distinct())
+    vouched = rows.where("pattern is not null").join(patterns.select("pattern"), "pattern", "left_semi").select("key", "start", "end", "side")
+    vouched = vouched.union(rows.where("pattern is null").select("key", "start", "end", "side")).distinct()
+    found = vouched.groupBy("key", "start", "end").count().where("count >= 2")
+    rare = found.groupBy(F.col("key").alias("key_")).agg(F.collect_list(F.struct("start", "end")).alias("rare_"))
+    rare = materialize(rare.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    remove(rows)
+    keyed = docs.withColumns({"key_": F.sha2("text", 256), "salt_": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+    return keyed.join(rare, ["key_", "salt_"], "left").drop("key_", "salt_"), known
+
+
+def pairs(rare: pa.Scalar) -> frozenset[tuple[int, int]]:
+    return frozenset((r["start"], r["end"]) for r in rare.as_py() or ())
 
 
 def find(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """docs (text, ...) with pii: array of (kind, start, end), the base kinds in order, then the found ones.
 
-    patterns: of learn_patterns(docs) unless given. They are sent to every task; learn_patterns keeps at most
-    3 / SHARE of them. A null or empty text has no spans; repeated rows get equal spans; an existing column pii is
-    replaced, others are kept.
+    patterns: of learn_patterns(docs) unless given. The most frequent ones are sent to every task, the others joined. A
+    null or empty text has no spans; repeated rows get equal spans; an existing column pii is replaced, others are kept.
     """
     small_batches(docs.sparkSession)
-    patterns = learn_patterns(docs) if patterns is None else patterns
-    known = {r["pattern"]: r["score"] for r in patterns.collect()}
+    docs, known = with_rare(docs, patterns)
     kind = "array<struct<kind:string,start:int,end:int>>"
     to = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     @F.arrow_udf(kind)
-    def spans(text: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(t.as_py() or "", known)] for t in text], to)
+    def spans(text: pa.Array, rare: pa.Array) -> pa.Array:
+        found = (spans_of(t.as_py() or "", known, pairs(r)) for t, r in zip(text, rare, strict=True))
+        return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in f] for f in found], to)
 
-    return docs.drop("pii").withColumn("pii", spans("text"))
+    return docs.drop("pii").withColumn("pii", spans("text", "rare_")).drop("rare_")
 
 
 def mask(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """docs with every span of find() replaced in text by its kind in angle brackets; overlapping spans count once."""
     small_batches(docs.sparkSession)
-    patterns = learn_patterns(docs) if patterns is None else patterns
-    known = {r["pattern"]: r["score"] for r in patterns.collect()}
+    docs, known = with_rare(docs, patterns)
 
-    def masked(text: str) -> str:
+    def masked(text: str, rare: frozenset[tuple[int, int]]) -> str:
         out, free = [], 0
-        for kind, a, b in sorted(spans_of(text, known), key=lambda s: (s[1], -s[2])):
+        for kind, a, b in sorted(spans_of(text, known, rare), key=lambda s: (s[1], -s[2])):
             if a >= free:
                 out += [text[free:a], f"<{kind}>"]
             free = max(free, b)
         return "".join([*out, text[free:]])
 
     @F.arrow_udf("string")
-    def mask_text(text: pa.Array) -> pa.Array:
-        return pa.array([None if (t := x.as_py()) is None else masked(t) for x in text], pa.string())
+    def mask_text(text: pa.Array, rare: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else masked(t, pairs(r)) for x, r in zip(text, rare, strict=True)], pa.string())
 
-    return docs.withColumn("text", mask_text("text"))
+    return docs.withColumn("text", mask_text("text", "rare_")).drop("rare_")

@@ -109,3 +109,28 @@ def test_odd_rows(spark, weird):
 def test_overlapping_spans_are_masked_once(spark):
     docs = spark.createDataFrame([(1, "call +4111 1111 1111 1111 now")], "doc_id long, text string")
     assert "1111" not in pii.mask(docs).first().text
+
+
+def test_few_seeds_count_beside_many(spark):
+    """A frequent kind of log line takes nothing from what three seeds teach."""
+    rows = [(i, f"please charge card {c} for order today") for i, c in enumerate(GOOD[:3])]
+    rows += [(100, "please charge card 4111111111111112 for order soon")]
+    rows += [(200 + i, "from 10.20.30.40 ok " * 1000) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.pii] for r in pii.find(docs).where("doc_id < 200").collect()}
+    assert found[100] == [("id", 19, 35)]
+
+
+@pytest.mark.parametrize("sent", [0, 1, 2])
+def test_unsent_patterns_decide_the_same(corpus, monkeypatch, sent):
+    def found(df):
+        return sorted((r.doc_id, r.text, [tuple(s) for s in r.pii]) for r in df.collect())
+
+    docs = corpus.union(corpus.where("doc_id >= 100")).union(corpus.sparkSession.createDataFrame([(900, "")], corpus.schema))
+    patterns = pii.learn_patterns(docs)
+    assert patterns.count() > 2
+    spans, texts = found(pii.find(docs, patterns)), sorted(map(tuple, pii.mask(docs, patterns).collect()))
+    monkeypatch.setattr(pii, "MOST_SENT", sent)
+    assert found(pii.find(docs, patterns)) == spans
+    assert sorted(map(tuple, pii.mask(docs, patterns).collect())) == texts
+    assert sum(kind == "id" for _, _, s in spans for kind, *_ in s) == 2
