@@ -1,7 +1,8 @@
 """Personal data: four base kinds by rule, and further identifiers by bootstrapped contextual extraction.
 
-Seeds are the entities that the base rules find. Every mention of an identifier-like token (one with several digits)
-yields lexical patterns: the word before it with the token's shape, and the shape with the word after it. Mentions
+Seeds are the entities that the base rules find, of all four kinds. They and every other identifier-like stretch (a
+token with several digits, spaced groups of digits, an address written out) yield patterns: the word before and the word
+after, each with the stretch's shape and without it, and the shape alone. Mentions
 form a graph of patterns and instances; scores go back and forth: a pattern is worth the mean worth of its mentions'
 instances, shrunk towards nothing, and an instance that is no seed takes the mean of its patterns. Patterns that end
 with high confidence and enough distinct seeds discover identifiers which no base rule admits (a card number with a
@@ -10,6 +11,7 @@ wrong check digit, say), marked as kind "id".
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -77,12 +79,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: An identifier-like token: letters, digits and joining marks, with digits at both ends or hexadecimal throughout.
-TOKEN = re.compile(r"(?<![\w.+-])[0-9A-Za-z](?:[\w.-]{4,62}[0-9A-Za-z])(?![\w-])", re.ASCII)
-BEFORE = re.compile(r"(\S+)\s+[^\w\s]*\Z")
+#: An identifier-like token: letters, digits and joining marks.
+TOKEN = re.compile(r"(?<![\w.+-])[0-9A-Za-z](?:[\w.-]{2,62}[0-9A-Za-z])(?![\w-])", re.ASCII)
+DIGIT, BLANK, WORD = re.compile("[0-9]"), re.compile(r"\s"), re.compile(r"\w")
+#: Groups of digits with single marks between them, as phones and cards are written.
+GROUPS = re.compile(r"[0-9](?<![0-9]{2})[0-9]*+(?:(?:\)[\x20-]?|[\x20.-]\(?)[0-9]{2,}+)++")
+#: The at of an address, what may stand around it, and the domain after it.
+AT = re.compile(r"[aA@](?:(?<=@)|[tT](?<=[\x20\[({<]..)(?=[\x20\])}>]))")
+AT_END = re.compile(r"\x20?[\])}>]?\x20?")
+DOT = r"(?:\.|\x20?[\[({<]\x20?(?:dot|DOT|\.)\x20?[\])}>]\x20?|\x20(?:dot|DOT)\x20)"
+WRITTEN = re.compile(rf"[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)+")
+LABEL = re.compile(r"[A-Za-z0-9-]+")
 AFTER = re.compile(r"[^\w\s]*\s+(\S+)")
-#: Digits that a token needs to be considered.
-LEAST_DIGITS = 6
+#: Digits that a token needs to be considered, and to be so inside a longer candidate; digits of groups.
+LEAST_DIGITS, INNER_DIGITS, GROUP_DIGITS = 4, 6, range(7, 20)
 
 
 def shape(token: str) -> str:
@@ -90,29 +100,94 @@ def shape(token: str) -> str:
     return re.sub(r"[0-9]+|[A-Za-z]+", lambda m: ("d" if m[0][0].isdigit() else "a") + str(len(m[0])), token)
 
 
+def key_of(s: str) -> str:
+    """s, or its digest where it is long."""
+    return s if len(s) <= 200 else hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def bare(word: str) -> str:
     return re.sub(r"[^\w]+", "", word).lower()[:32]
 
 
-def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, list[str], bool]]:
-    """(start, end, token, patterns, seed) of each identifier-like token; seed: a base span covers it exactly.
+def word_before(text: str) -> str:
+    """The last word of text, if nothing but a blank and marks follow it."""
+    words = text.rsplit(None, 2)
+    if words and not text[-1].isspace() and WORD.search(words.pop()):
+        return ""
+    return bare(words[-1]) if words else ""
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """All matches of TOKEN, which is tried only around digits."""
+    at = 0
+    while m := DIGIT.search(text, at):
+        start = max(text.rfind(" ", at, m.start()) + 1, at)
+        at = end.start() if (end := BLANK.search(text, m.end())) else len(text)
+        for t in TOKEN.finditer(text, start, at):
+            yield t.span()
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches like an email address that is written out, or has no dot after a plain @."""
+    free = 0
+    for m in AT.finditer(text):
+        last, end = m.start(), AT_END.match(text, m.end()).end()
+        for marks in (" ", "[({<", " "):
+            last -= last > free and text[last - 1] in marks
+        start = last
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        domain = start < last and (WRITTEN.match(text, end) or end - last == 1 and LABEL.match(text, end))
+        if domain:
+            free = domain.end()
+            yield start, free
+
+
+def digit_groups(text: str) -> Iterator[tuple[int, int]]:
+    for m in GROUPS.finditer(text):
+        a, b = m.span()
+        if len(only_digits(m[0])) in GROUP_DIGITS and not text[b : b + 1].isalnum():
+            for _ in "(+":
+                a -= a > 0 and text[a - 1] in "(+"
+            if not (a and (text[a - 1].isalnum() or text[a - 1] in "_.-")):
+                yield a, b
 
-    Tokens that overlap a base span otherwise are parts of it and no mentions.
-    """
-    exact, marks = {(a, b) for _, a, b in base}, sorted((a, b) for _, a, b in base)
+
+def apart(spans: Iterator[tuple[int, int]], marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of spans that overlap none of marks; both by start."""
     at = reach = 0
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if sum("0" <= c <= "9" for c in m[0]) < LEAST_DIGITS:
-            continue
+    out = []
+    for a, b in spans:
         while at < len(marks) and marks[at][0] < b:
             reach = max(reach, marks[at][1])
             at += 1
-        if (a, b) not in exact and reach > a:
-            continue
-        s = shape(m[0])
-        before, after = BEFORE.search(text[max(0, a - 80) : a]), AFTER.match(text, b, min(len(text), b + 80))
-        yield a, b, m[0], [f"<{bare(before[1]) if before else ''} {s}", f">{s} {bare(after[1]) if after else ''}", f"={s}"], (a, b) in exact
+        if reach <= a:
+            out.append((a, b))
+    return out
+
+
+def candidates(text: str, marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like stretches apart from marks: written addresses, groups of digits, and tokens. Tokens inside longer
+    candidates need more digits, as parts of those else."""
+    sized = [(span, len(only_digits(text[slice(*span)]))) for span in tokens(text)]
+    longer = apart(sorted({*addresses(text), *digit_groups(text)}), marks)
+    short = apart((span for span, n in sized if LEAST_DIGITS <= n < INNER_DIGITS), sorted([*marks, *longer]))
+    return sorted({*longer, *short, *apart((span for span, n in sized if n >= INNER_DIGITS), marks)})
+
+
+def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, list[str], bool]]:
+    """(start, end, token, patterns, seed) of each base span, the seeds, and of each candidate.
+
+    What overlaps a base span otherwise is part of it and no mention.
+    """
+    marks = sorted({(a, b) for _, a, b in base})
+    exact = set(marks)
+    for a, b in sorted([*marks, *candidates(text, marks)]):
+        token = text[a:b]
+        s, left, after = key_of(shape(token)), word_before(text[max(0, a - 80) : a]), AFTER.match(text, b, min(len(text), b + 80))
+        right = bare(after[1]) if after else ""
+        # the lexical ones hold no blank, the others do
+        yield a, b, token, [f"<{left} {s}", f">{s} {right}", f"={s}", f"<{left}", f">{right}"], (a, b) in exact
 
 
 GRAPH = "pattern string, instance string, seed boolean, n long"
@@ -133,7 +208,7 @@ def graph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = b.column(0)[i].as_py() or ""
             for _, _, token, patterns, seed in mentions(text, base_spans(text)):
                 for p in patterns:
-                    seen[p, token, seed] += 1
+                    seen[p, key_of(token), seed] += 1
             if len(seen) > 100_000:
                 yield flush()
     yield flush()
@@ -141,6 +216,8 @@ def graph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Rounds of scoring, the weight of the doubt in a pattern's score, and what a pattern needs in the end.
 ROUNDS, DOUBT, CONFIDENCE, LEAST_SEEDS = 3, 2.0, 0.5, 3
+#: A pattern without a shape admits every form, so this share of its own mentions must be seeds (doubt counted as above).
+SEED_SHARE = 0.75
 #: So many patterns, the most frequent ones, are sent to every task; the others meet their mentions in a shuffle.
 MOST_SENT = 100_000
 #: Parts in which the documents of one text are joined, so that those of a frequent text do not gather in one task.
@@ -151,7 +228,7 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CO
     """(pattern, score, n) of the high-confidence patterns, by iterated scoring of the pattern-instance graph.
 
     All documents are read. The score of a pattern is sum(n * worth) / (sum(n) + DOUBT) over its instances; a seed's
-    worth is 1, another instance's the mean score of its patterns. Score and LEAST_SEEDS alone decide what is kept; n counts mentions. Both steps are grouped sums with partial
+    worth is 1, another instance's the mean score of its patterns. A pattern's own mentions alone decide whether it is kept; n counts them. Both steps are grouped sums with partial
     aggregation, so frequent patterns and instances do not gather in one task.
     """
     small_batches(docs.sparkSession)
@@ -162,6 +239,7 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CO
             (F.sum(F.col("n") * F.col("worth")) / (F.sum("n") + DOUBT)).alias("score"),
             F.count_if("seed").alias("seeds"),
             F.count_if(~F.col("seed")).alias("others"),
+            (F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)) / (F.sum("n") + DOUBT)).alias("share"),
             F.sum("n").alias("n"),
         )
         score = materialize(score)
@@ -170,7 +248,8 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CO
         worth = graph.join(means, "instance", "left").withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0))))
     # a pattern without other instances has nothing to discover
     good = (F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS) & (F.col("others") > 0)
-    kept = materialize(score.where(good).select("pattern", "score", "n"))
+    shaped = F.col("pattern").contains(" ") | F.col("pattern").startswith("=")
+    kept = materialize(score.where(good & (shaped | (F.col("share") >= SEED_SHARE))).select("pattern", "score", "n"))
     for df in [graph, *old]:
         remove(df)
     return kept
@@ -182,11 +261,17 @@ def sides(patterns: list[str], known: frozenset[str]) -> set[str]:
 
 
 def spans_of(text: str, known: frozenset[str], rare: frozenset[tuple[int, int]] = frozenset()) -> list[tuple[str, int, int]]:
-    """Base spans, then what the patterns add: tokens for which two patterns at least vouch, or which rare has."""
+    """Base spans, then what the patterns add: mentions for which two sides at least vouch, or which rare has."""
     base = base_spans(text)
     if not known and not rare:
         return base
-    return base + [(FOUND, a, b) for a, b, _, ps, seed in mentions(text, base) if not seed and (len(sides(ps, known)) >= 2 or (a, b) in rare)]
+    found, reach = [], 0
+    for a, b, _, ps, seed in sorted(mentions(text, base), key=lambda m: (m[0], -m[1])):
+        # of found spans inside one another, the longest
+        if not seed and b > reach and (len(sides(ps, known)) >= 2 or (a, b) in rare):
+            found.append((FOUND, a, b))
+            reach = b
+    return base + found
 
 
 OPEN = "key string, start int, end int, side string, pattern string"

@@ -134,3 +134,35 @@ def test_unsent_patterns_decide_the_same(corpus, monkeypatch, sent):
     assert found(pii.find(docs, patterns)) == spans
     assert sorted(map(tuple, pii.mask(docs, patterns).collect())) == texts
     assert sum(kind == "id" for _, _, s in spans for kind, *_ in s) == 2
+
+
+ONE_OF_EACH = {"email": "ann@ex.org", "ip": "1.2.3.4", "card": "4111 1111 1111 1111", "phone": "+1 (212) 555-0100"}
+
+
+@pytest.mark.parametrize("kind", ONE_OF_EACH)
+def test_every_base_span_is_a_seed(kind):
+    text = f"this is {ONE_OF_EACH[kind]} and more"
+    base = pii.base_spans(text)
+    assert [k for k, *_ in base] == [kind]
+    assert [(a, b) for a, b, _, _, seed in pii.mentions(text, base) if seed] == [(a, b) for _, a, b in base]
+
+
+UNSEEN = ["(212) 555-0199", "555 0123 456", "4111 1111 1111 1112", "ann [at] ex [dot] org", "ann at ex dot org", "ann@localhost", "999.1.1", "ann @ ex.org"]
+
+
+def test_context_without_shape_finds_other_forms(spark):
+    """Seeds of other shapes teach the words around them; without those words nothing is found."""
+    seeds = ["bob@site.com", "+44 20 7946 0958", "4111111111111111", "10.0.0.1", "eve.long@mail.example.net"]
+    rows = [(i, f"you reach me under {s} during daytime") for i, s in enumerate(seeds * 10)]
+    rows += [(100 + i, f"you reach me under {u} during daytime") for i, u in enumerate(UNSEEN)]
+    rows += [(200 + i, f"we saw that {u} was there") for i, u in enumerate(UNSEEN)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(r.text[s.start : s.end], s.kind) for s in r.pii] for r in pii.find(docs).collect()}
+    for i, u in enumerate(UNSEEN):
+        assert found[100 + i] == [(u, "id")]
+        assert found[200 + i] == []
+
+
+def test_candidates_are_linear():
+    for text in ("11 " * 60_000 + "a", "a at " * 40_000, "a.b at c dot " * 10_000, "(1" * 90_000, "a dot " * 30_000, "1a1." * 50_000):
+        list(pii.mentions(text, pii.base_spans(text)))
