@@ -305,7 +305,7 @@ def with_rare(docs: DataFrame, patterns: DataFrame | None) -> tuple[DataFrame, f
     """docs with the spans that only the less frequent patterns decide (column rare_), and the others, to be sent.
 
     Up to MOST_SENT patterns, all are sent and rare_ is null. Beyond, undecided mentions are joined to all patterns;
-    an unsent pattern has at most 1 / MOST_SENT of the mentions. A text is known by its SHA-256.
+    an unsent pattern has at most 5 / MOST_SENT of the mentions. A text is known by its SHA-256.
     """
     patterns = learn_patterns(docs) if patterns is None else patterns
     spans = "array<struct<start:int,end:int>>"
