@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,10 @@ from .common import freed, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Longest piece, and longest stretch of a word that is scored at once; longer words are scored in such stretches.
-PIECE_CHARS, WORD_CHARS = 8, 32
+#: Pieces up to this length are looked up for all words side by side; longer ones are rare, and added where they occur.
+PIECE_CHARS = 8
+#: Forward sums are scaled anew after so many letters, or (in the fit) where they fall under 1 / UP.
+SCALE_CHARS, UP = 16, 1e100
 #: Sample documents of a language (about), its most frequent words that are fitted, and rounds of fitting.
 MOST_DOCS, MOST_WORDS, ROUNDS = 1_500, 6_000, 2
 #: Pseudo-count of a piece that the language has not used, and log probability of a letter outside everything.
@@ -43,7 +45,7 @@ def read_vocabulary(path: str, least: int = 1) -> list[str]:
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i).lower()
         body = p[1:] if p.startswith(START) else p
-        if len(p) <= PIECE_CHARS and LETTERS.fullmatch(body) and len(body) >= least:
+        if LETTERS.fullmatch(body) and len(body) >= least:
             found.add(p)
     return sorted(found)
 
@@ -52,10 +54,8 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def stretches(word: str) -> list[str]:
-    """START and the word, cut where it is too long."""
-    w = START + word
-    return [w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)]
+def longest(pieces: Iterable[str]) -> int:
+    return max(map(len, pieces), default=1)
 
 
 class Model:
@@ -64,50 +64,67 @@ class Model:
     def __init__(self, langs: list[str], pieces: list[str], logp: np.ndarray) -> None:
         self.langs, self.logp = langs, np.vstack([logp, np.full((1, len(langs)), UNKNOWN)])
         self.index = {p: i for i, p in enumerate(pieces)}
+        self.longest = longest(self.index)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log probability of each word (rows) in each language: forward sums over all segmentations, words of one
         length side by side."""
         out, by_length = np.zeros((len(words), len(self.langs))), defaultdict(list)
         for i, w in enumerate(words):
-            for s in stretches(w):
-                by_length[len(s)].append((i, s))
+            by_length[len(w) + 1].append((i, START + w))
         p = np.exp(self.logp)
         p = np.vstack([p, np.zeros((1, p.shape[1]))])  # the last row: no such piece
         none, unknown, get = len(p) - 1, len(p) - 2, self.index.get
         for n, items in by_length.items():
             strings = [s for _, s in items]
-            # at worst every letter is unknown: exp(UNKNOWN * WORD_CHARS) is still far from underflow
-            alpha = [np.ones((len(items), len(self.langs)))]
+            # sums up to the last letters, as far back as a piece may start; at worst every letter is unknown, and
+            # exp(UNKNOWN * (SCALE_CHARS + longest)) is still far from underflow
+            alpha, scale = {0: np.ones((len(items), len(self.langs)))}, np.zeros((len(items), len(self.langs)))
             for j in range(1, n + 1):
-                total = 0.0
-                for i in range(max(0, j - PIECE_CHARS), j):
+                total = np.zeros_like(scale)
+                for i in range(max(0, j - self.longest), j):
                     miss = unknown if j - i == 1 else none
-                    total = total + alpha[i] * p[[get(s[i:j], miss) for s in strings]]
-                alpha.append(total)
-            np.add.at(out, [i for i, _ in items], np.log(alpha[n]))
+                    ids = [get(s[i:j], miss) for s in strings]
+                    if j - i <= PIECE_CHARS:
+                        total += alpha[i] * p[ids]
+                    elif rows := [r for r, x in enumerate(ids) if x != none]:
+                        total[rows] += alpha[i][rows] * p[[ids[r] for r in rows]]
+                alpha[j] = total
+                alpha.pop(j - self.longest, None)
+                if j % SCALE_CHARS == 0:
+                    scale += np.log(total)
+                    alpha = {i: x / total for i, x in alpha.items()}
+            out[[i for i, _ in items]] = np.log(alpha[n]) + scale
         return out
 
 
 def expected(words: dict[str, int], p: dict[str, float], floor: float) -> dict[str, float]:
     """Expected piece counts of the words under p, by forward and backward sums over all segmentations."""
     out: dict[str, float] = defaultdict(float)
+    most = longest(p)
+
+    def scaled(x: float, k: int) -> tuple[float, int]:
+        return (x * UP, k + 1) if 0 < x < 1 / UP else (x, k)
+
     for word, n in words.items():
-        for s in stretches(word):
-            m = len(s)
-            edges, a = [], [1.0] + [0.0] * m
-            for j in range(1, m + 1):
-                for i in range(max(0, j - PIECE_CHARS), j):
-                    q = p.get(s[i:j], floor if j - i == 1 else 0.0)
-                    if q:
-                        edges.append((i, j, q))
-                        a[j] += a[i] * q
-            b = [0.0] * m + [1.0]
-            for i, j, q in reversed(edges):
-                b[i] += q * b[j]
-            if a[m] > 0:
-                for i, j, q in edges:
-                    out[s[i:j]] += n * a[i] * q * b[j] / a[m]
+        s = START + word
+        m = len(s)
+        # sums are a[j] / UP ** ka[j] and b[i] / UP ** kb[i], so that those of long words do not vanish
+        a, ka, leave = [1.0] + [0.0] * m, [0] * (m + 1), [[] for _ in range(m)]
+        for j in range(1, m + 1):
+            for i in range(max(0, j - most), j):
+                q = p.get(s[i:j], floor if j - i == 1 else 0.0)
+                if q:
+                    leave[i].append((j, q))
+                    a[j] += a[i] * q * UP ** (ka[j - 1] - ka[i])
+            a[j], ka[j] = scaled(a[j], ka[j - 1])
+        b, kb = [0.0] * m + [1.0], [0] * (m + 1)
+        for i in range(m - 1, -1, -1):
+            b[i], kb[i] = scaled(sum(q * b[j] * UP ** (kb[i + 1] - kb[j]) for j, q in leave[i]), kb[i + 1])
+        if a[m] > 0:
+            for i in range(m):
+                for j, q in leave[i]:
+                    out[s[i:j]] += n * (a[i] * q * b[j] / a[m] * UP ** (ka[m] - ka[i] - kb[j]))
     return out
 
 
@@ -115,15 +132,15 @@ def fit_pieces(words: dict[str, dict[str, int]], pieces: list[str], rounds: int
     """A model of each language's word counts. Letters of any language join the pieces."""
     langs = sorted(words)
     pieces = sorted({*pieces, START, *(c for ws in words.values() for w in ws for c in w)})
-    known, columns, floor = set(pieces), [], math.exp(UNKNOWN)
+    known, columns, floor, most = set(pieces), [], math.exp(UNKNOWN), longest(pieces)
     for lang in langs:
         p: dict[str, float] = Counter()
         for w, n in words[lang].items():
-            for s in stretches(w):
-                for i in range(len(s)):
-                    for j in range(i + 1, min(len(s), i + PIECE_CHARS) + 1):
-                        if s[i:j] in known:
-                            p[s[i:j]] += n
+            s = START + w
+            for i in range(len(s)):
+                for j in range(i + 1, min(len(s), i + most) + 1):
+                    if s[i:j] in known:
+                        p[s[i:j]] += n
         for r in range(rounds + 1):
             total = sum(p.values()) + SMOOTH * len(pieces)
             p = {x: (p.get(x, 0.0) + SMOOTH) / total for x in pieces}

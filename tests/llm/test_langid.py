@@ -76,3 +76,34 @@ def test_forgetting_words_changes_nothing(spark, monkeypatch):
     first = sorted(map(tuple, langid.predict(docs, model).select("doc_id", "lang_pred").collect()))
     monkeypatch.setattr(langid, "TASK_WORDS", 5)
     assert sorted(map(tuple, langid.predict(docs, model).select("doc_id", "lang_pred").collect())) == first
+
+
+LONG = ["a" * 12, "▁" + "ab" * 5, "b" * 9]
+
+
+def log_sum(w, p, floor):
+    """Log of the sum over all segmentations, in log space and of any length."""
+    s, most = "▁" + w, max(map(len, p))
+    at = [0.0]
+    for j in range(1, len(s) + 1):
+        ways = [at[i] + math.log(q) for i in range(max(0, j - most), j) if (q := p.get(s[i:j], floor if j - i == 1 else 0.0))]
+        at.append(float(np.logaddexp.reduce(ways)))
+    return at[-1]
+
+
+@pytest.mark.parametrize("w", ["a" * 11, "ab" * 5, "a" * 20 + "ab" * 10, "abab" * 60, "q" * 300 + "a" * 40])
+def test_long_pieces_and_long_words(w):
+    pieces = sorted(PIECES + LONG)
+    r = np.random.default_rng(2)
+    logp = np.log(r.dirichlet(np.ones(len(pieces)), 2)).T
+    row = langid.Model(["x", "y"], pieces, logp).score([w])[0]
+    for k in range(2):
+        p = {x: math.exp(logp[i, k]) for i, x in enumerate(pieces)}
+        assert row[k] == pytest.approx(log_sum(w, p, math.exp(langid.UNKNOWN)))
+        counts = langid.expected({w: 2}, p, math.exp(langid.UNKNOWN))
+        assert sum(len(x) * n for x, n in counts.items()) == pytest.approx(2 * (len(w) + 1))
+
+
+def test_vocabulary_is_whole():
+    found = langid.read_vocabulary(queries.tokenizer(queries.PIECES_FILE))
+    assert {"▁application", "abilities"} & set(found) and max(map(len, found)) > 8
