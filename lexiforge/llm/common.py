@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word of the contracts: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only in a local session without."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lexiforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -89,36 +92,49 @@ def portable_hash(c: Column) -> Column:
 def join_frequent(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """left with right's columns by key, a left join in which no key's rows gather in one task.
 
-    right has one row per key. Keys that hold 1 / share of left's rows or more are share at most, whatever the rows, so
-    their rows of right are broadcast; the others are joined by a shuffle. left is read three times.
+    right has one row per key. Keys that hold 1 / share of left's rows or more are share at most, whatever the rows: they
+    and their rows of right go through the driver and are broadcast; the others are joined by a shuffle.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows_"))
+    spark, at, kind = left.sparkSession, F.col(key), left.schema[key].dataType
+    added = [f for f in right.schema.fields if f.name != key]
+    counts = left.where(at.isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows_"))
     total = left.agg(F.count(F.lit(1)).alias("total_"))
-    often = counts.join(F.broadcast(total)).where(F.col("rows_") * share >= F.col("total_")).select(key)
-    hot = materialize(right.join(often, key, "left_semi"))
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").where(F.col(key).isNotNull()).join(right, key, "left")
-    none = left.where(F.col(key).isNull()).withColumns({c: F.lit(None).cast(t) for c, t in right.dtypes if c != key})
-    return left.join(F.broadcast(hot), key).unionByName(rest).unionByName(none)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    often = [r[0] for r in counts.join(F.broadcast(total)).where(F.col("rows_") * share >= F.col("total_")).select(key).collect()]
+    if not often:
+        return left.join(right, key, "left")
+    hot = spark.createDataFrame([(k,) for k in often], StructType([StructField(key, kind)]))
+    found = right.join(F.broadcast(hot), key, "left_semi").select(key, *[f.name for f in added]).collect()
+    known = spark.createDataFrame(found, StructType([StructField(key, kind), *[StructField(f.name, f.dataType) for f in added]]))
+    here = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(known), key, "left")
+    rest = left.where(at.isNotNull()).join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    none = left.where(at.isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+    return here.unionByName(rest).unionByName(none)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each round is two joins on node ids, and the number of rounds
-    grows with the logarithm of the longest path. Self links, repeated and null links are dropped. Labels stay in
-    tables of the shared folder; only whether they are settled reaches the driver.
+    Alternating large-star and small-star steps until nothing changes; the number of rounds grows with the logarithm of
+    the longest path. The two joins of a round take the centres of large stars by broadcast, so that no star's links
+    gather in one task. Self links, repeated and null links are dropped. Labels stay in tables of the shared folder;
+    only whether they are settled, and at most a thousand centres a join, reach the driver.
     """
     spark = edges.sparkSession
 
+    def least(e: DataFrame, key: str) -> DataFrame:
+        return e.groupBy(F.col("a").alias(key)).agg(F.min("b").alias("m"))
+
     def star(e: DataFrame) -> DataFrame:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")
-        # every link now points from a larger node to a smaller one
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        """Links lead from larger nodes to smaller ones. Large: what links to a node goes to the node's least neighbour
+        (to itself where none is smaller). Small: a node's smaller neighbours go to the least of them."""
+        up = join_frequent(e, materialize(least(e, "b")), "b")
+        large = materialize(up.select("a", F.coalesce("m", "b").alias("b")).distinct())
+        down = materialize(least(large, "a"))
+        small = join_frequent(large, down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = materialize(small.union(down.select("a", F.col("m").alias("b"))).distinct())
+        remove(large)
+        remove(down)
+        return out
 
     def settled(e: DataFrame) -> bool:
         """Each node has one link, to a node that has none: the links are the stars of the components."""
@@ -131,13 +147,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     if now.isEmpty():
         return spark.createDataFrame([], "node long, component long")
-    for _ in range(max_rounds):
-        if settled(now):
-            break
+    while not settled(now):
         after = star(now)
         remove(now)
         now = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
