@@ -65,12 +65,14 @@ def place(df: DataFrame, key: str, names: list[str], size: int | None = None) ->
 
     The table has one row per slot (size rows of two numbers, whatever df holds) and is broadcast. A null key is
     placed as the empty string; equal keys go to one shard, so repeated rows stay together; an empty df gives an
-    empty result. Columns of df named slot or shard are replaced; all others are kept. No rows are shuffled.
+    empty result. Columns of df named slot or shard are replaced, the key's own too; all others are kept. No rows are
+    shuffled.
     """
     owner = fill_table(names, size)
     lookup = df.sparkSession.createDataFrame(list(enumerate(owner)), "slot long, shard int")
     slot = portable_hash(F.coalesce(F.col(key).cast("string"), F.lit(""))) % len(owner)
-    return df.drop("slot", "shard").withColumn("slot", slot).join(F.broadcast(lookup), "slot", "left")
+    kept = [F.col(c) for c in df.columns if c not in ("slot", "shard")]
+    return df.select(*kept, slot.alias("slot")).join(F.broadcast(lookup), "slot", "left")
 
 
 def write_shards(df: DataFrame, path: str, key: str, names: list[str], files_per_shard: int = 8) -> None:
