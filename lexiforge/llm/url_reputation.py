@@ -4,7 +4,8 @@ Labelled page outcomes (1 bad, 0 good) are counted per host, registered domain a
 shrinks each level towards the one above: suffix towards the whole, domain towards its suffix, host towards its
 domain. The strength of each prior is estimated from the data by the method of moments. A page is blocked when the
 lower bound of its host's posterior bad rate exceeds a limit, so a host with few labels is blocked only if its domain
-or suffix is bad too. Everything is grouped sums and equi joins on hosts; no host's pages meet in one task.
+or suffix is bad too. Everything is grouped sums and equi joins; hosts, domains and suffixes that hold many rows are
+joined by broadcast, so that theirs do not gather in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_frequent, materialize
+
 #: (host, path prefix, verdict); fixed values of the rule list. The first part fits a host and its subdomains.
 RULES = [
     ("net", "/", "block"),
@@ -23,7 +26,7 @@ RULES = [
 TWO_PART_SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk"]
 #: One-sided 95 % bound, and the bad rate above which a host is blocked.
 Z, BAD_RATE = 1.645, 0.5
-#: Limits of a prior's strength, in labelled pages.
+#: Limits of a prior's strength, in labelled pages: a host with many more than the upper one is judged by its own.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,57 +66,50 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def strength(units: DataFrame, parent_rate: str) -> DataFrame:
-    """One row k: the prior's strength for units (n, bad) around their parents' rates.
+def strength(units: DataFrame, parent_rate: str) -> float:
+    """The prior's strength for units (n, bad) around their parents' rates.
 
-    With p the parent's rate and s = k: E[(bad - n p)^2] = n p (1 - p) (n + s) / (1 + s); summed over all units and
-    solved for s. Units with one page say nothing about s.
+    With p the parent's rate and s the strength: E[(bad - n p)^2] = n p (1 - p) (n + s) / (1 + s); summed over all units
+    and solved for s. Units with one page say nothing about s. Where outcomes spread no more than chance makes them (or
+    there is nothing to tell by), the prior is as strong as it gets.
     """
     v = F.col(parent_rate) * (1 - F.col(parent_rate))
-    sums = units.where("n > 1").agg(
-        F.sum(F.pow(F.col("bad") - F.col("n") * F.col(parent_rate), 2)).alias("q"),
-        F.sum(F.col("n") * F.col("n") * v).alias("nn"),
-        F.sum(F.col("n") * v).alias("n1"),
-    )
-    # no more spread than chance makes (or nothing to tell by): the prior is as strong as it gets
-    s = F.when(F.col("q") - F.col("n1") > 0, (F.col("nn") - F.col("q")) / (F.col("q") - F.col("n1")))
-    s = F.coalesce(s, F.lit(MOST_STRENGTH))
-    return sums.select(F.least(F.greatest(s, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("k"))
-
-
-def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
-    """Posterior tables of labelled outcomes (host, bad in {0, 1}): whole, suffixes, domains and hosts.
-
-    Each has its key, rate and strength; hosts also low, the posterior's lower bound. Null hosts or outcomes are left
-    out. Without any outcome the whole's rate is one half, which blocks nothing.
+    q, nn, n1 = units.where("n > 1").agg(
+        F.sum(F.pow(F.col("bad") - F.col("n") * F.col(parent_rate), 2)),
+        F.sum(F.col("n") * F.col("n") * v),
+        F.sum(F.col("n") * v),
+    ).first()
+    if q is None or q <= n1:
+        return MOST_STRENGTH
+    return min(max((nn - q) / (q - n1), LEAST_STRENGTH), MOST_STRENGTH)
+
+
+def reputation(outcomes: DataFrame) -> tuple[float, dict[str, DataFrame]]:
+    """The whole's rate, and posterior tables of labelled outcomes (host, bad in {0, 1}): suffixes, domains and hosts.
+
+    Each table has its key, rate and pseudo-count, and is written once; only its prior's strength reaches the driver.
+    Null hosts or outcomes are left out. Without any outcome the whole's rate is one half, which blocks nothing.
     """
-    hosts = (
-        outcomes.where("host is not null and bad is not null")
-        .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").cast("long").alias("bad"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = suffixes.agg(
-        ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("whole_rate")
-    )
+    counts = [F.sum("n").alias("n"), F.sum("bad").cast("long").alias("bad")]
+    hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").cast("long").alias("bad"))
+    hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(*counts))
+    suffixes = materialize(domains.groupBy("suffix").agg(*counts))
+    bad, n = suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    whole = (bad + 1) / (n + 2)
 
     def shrink(units: DataFrame, parent_rate: str, to: str) -> DataFrame:
         k = strength(units, parent_rate)
-        total = F.col("k") + F.col("n")
-        rate = (F.col("k") * F.col(parent_rate) + F.col("bad")) / total
-        return units.join(F.broadcast(k)).withColumns({to: rate, f"{to}_n": total}).drop("k")
+        total = F.lit(k) + F.col("n")
+        return units.withColumns({to: (F.lit(k) * F.col(parent_rate) + F.col("bad")) / total, f"{to}_n": total})
 
-    s = shrink(suffixes.join(F.broadcast(whole)), "whole_rate", "suffix_rate")
-    d = shrink(domains.join(s.select("suffix", "suffix_rate"), "suffix"), "suffix_rate", "domain_rate")
-    h = shrink(hosts.join(d.select("domain", "domain_rate"), "domain"), "domain_rate", "host_rate")
-    return {
-        "whole": whole,
-        "suffixes": s.select("suffix", "suffix_rate", "suffix_rate_n"),
-        "domains": d.select("domain", "domain_rate", "domain_rate_n"),
-        "hosts": h.select("host", "host_rate", "host_rate_n"),
-    }
+    s = materialize(shrink(suffixes.withColumn("whole_rate", F.lit(whole)), "whole_rate", "suffix_rate").select("suffix", "suffix_rate", "suffix_rate_n"))
+    # most domains have one of a few suffixes, and a domain can have most hosts
+    d = materialize(join_frequent(domains, s.select("suffix", "suffix_rate"), "suffix"))
+    d = materialize(shrink(d, "suffix_rate", "domain_rate").select("domain", "domain_rate", "domain_rate_n"))
+    h = materialize(join_frequent(hosts, d.select("domain", "domain_rate"), "domain"))
+    h = materialize(shrink(h, "domain_rate", "host_rate").select("host", "host_rate", "host_rate_n"))
+    return whole, {"suffixes": s, "domains": d, "hosts": h}
 
 
 def lower_bound(rate: Column, total: Column, z: float = Z) -> Column:
@@ -136,21 +132,15 @@ def judge(
     """
     new = ["host", "path", "rule", "verdict", "bad_low", "domain", "suffix"]
     url = F.col("url")
-    host, path = host_of(url), path_of(url)
-    base = pages.drop(*new).withColumns({"host": host, "path": path})
-    known = reputation(outcomes)
+    base = pages.drop(*new).withColumns({"host": host_of(url), "path": path_of(url)})
+    whole, known = reputation(outcomes)
     # one row per distinct host: judged once, then joined back
-    hosts = base.select("host").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    hosts = (
-        hosts.join(known["hosts"], "host", "left")
-        .join(known["domains"], "domain", "left")
-        .join(known["suffixes"], "suffix", "left")
-        .join(F.broadcast(known["whole"]))
-    )
-    rate = F.coalesce("host_rate", "domain_rate", "suffix_rate", "whole_rate")
+    hosts = materialize(base.select("host").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = join_frequent(join_frequent(hosts.join(known["hosts"], "host", "left"), known["domains"], "domain"), known["suffixes"], "suffix")
+    rate = F.coalesce("host_rate", "domain_rate", "suffix_rate", F.lit(whole))
     total = F.coalesce("host_rate_n", "domain_rate_n", "suffix_rate_n", F.lit(0.0))
-    hosts = hosts.select("host", lower_bound(rate, total, z).alias("bad_low"))
-    out = base.join(hosts, "host", "left")
+    hosts = materialize(hosts.select("host", lower_bound(rate, total, z).alias("bad_low")))
+    out = join_frequent(base, hosts, "host")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when((F.col("host") != "") & (F.col("bad_low") > bad_rate), "block").otherwise("allow")
     return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_method)})
