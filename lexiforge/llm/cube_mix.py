@@ -7,6 +7,10 @@ them is 0 or 1: both totals stay exactly as they were. It runs in blocks of boun
 leaves undecided meet those of other blocks in the next round, until each source has one block left. What its flight
 leaves is the landing problem: a dozen units, of whose choices the one nearest to the words and documents due is
 taken.
+
+A text that holds a good part of its source's words would leave the landing nothing to make good with. So units above a
+hundredth of the target go first: a flight and a coin among themselves decide them, and the probability of the source's
+other units is set anew to what is then due. Words are kept exactly by this, inclusion probabilities in the mean.
 """
 
 from __future__ import annotations
@@ -16,9 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from .common import freed, materialize, n_partitions, small_batches
@@ -29,13 +32,15 @@ WEIGHTS, CAP = (1, 2, 3), 3
 BLOCK = 4096
 #: Units of the landing problem of a source.
 LANDING = 12
+#: Units with more than this part of the source's target are decided before the others.
+LARGE = 0.01
 EPS = 1e-9
 
 
-@F.arrow_udf(LongType())
-def n_words(text: pa.Array) -> pa.Array:
-    """Words of each text, 0 for null; bytes.split() splits at exactly the six ASCII white space characters."""
-    return pa.array([len(t.split()) if t else 0 for t in text.cast(pa.binary()).to_pylist()], pa.int64())
+def n_words(text: Column) -> Column:
+    """Words of a text, split at the six ASCII white space characters; 0 for null."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -112,34 +117,53 @@ def land(p: list[float], c: list[int], x: list[int]) -> list[float]:
     return p
 
 
-UNIT = "doc_id long, source string, size long, docs long, p double, at long"
+def toss(p: list[float], c: list[int], x: list[int], low: float, high: float, seed: str) -> list[float]:
+    """The undecided large units, LANDING at most, by their probabilities. What they then take beyond what was due has to
+    lie between low and high, which is what the other units can make good; else the nearest choice to that counts."""
+    p, left = list(p), [i for i in range(len(p)) if 0 < p[i] < 1]
+    if left:
+        coin = random.Random(seed).random
+        tossed = np.array([coin() < p[i] for i in left], int)
+        words, q = np.array([x[i] for i in left], float), np.array([p[i] for i in left])
+        choices = np.vstack([tossed, (np.arange(2 ** len(left))[:, None] >> np.arange(len(left))) & 1])
+        beyond = choices @ words - q @ words
+        short = np.maximum(beyond - high, 0) + np.maximum(low - beyond, 0)
+        for i, v in zip(left, choices[np.lexsort((np.arange(len(choices)), short))[0]], strict=True):
+            p[i] = float(v)
+    return p
+
+
+UNIT = "doc_id long, source string, size long, docs long, p double, at long, low double, high double"
 
 
-def fly(batches: Iterator[pa.RecordBatch], final: bool) -> Iterator[pa.RecordBatch]:
-    """Flight (and landing, if final) of each block of rows (UNIT, block), sorted by source and block."""
-    names = ["doc_id", "source", "size", "docs", "p", "at", "block"]
+def fly(batches: Iterator[pa.RecordBatch], final: bool, large: bool) -> Iterator[pa.RecordBatch]:
+    """Flight (and, if final, landing or the toss of large units) of each block of rows (UNIT, block), sorted by source
+    and block."""
+    names = ["doc_id", "source", "size", "docs", "p", "at", "low", "high", "block"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
 
     def decided(rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: (r[5], r[0] is None, r[0] or 0, r[2]))
-        docs, words = [r[3] for r in rows], [r[2] * r[3] for r in rows]
-        p = flight([r[4] for r in rows], docs, words, f"{rows[0][1]}:{rows[0][6]}:{len(rows)}", LANDING * final)
-        p = land(p, docs, words) if final else p
-        cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64()), pa.array([r[5] for r in rows], pa.int64())], names[:6])
+        docs, words, seed = [r[3] for r in rows], [r[2] * r[3] for r in rows], f"{rows[0][1]}:{rows[0][8]}:{len(rows)}"
+        p = flight([r[4] for r in rows], docs, words, seed, LANDING * (final and not large))
+        if final:
+            p = toss(p, docs, words, rows[0][6], rows[0][7], f"{seed}:toss") if large else land(p, docs, words)
+        columns = [p if n == "p" else [r[k] for r in rows] for k, n in enumerate(names[:8])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names[:8])
 
     key, rows = None, []
     for b in batches:
         for r in zip(*(b.column(n).to_pylist() for n in names), strict=True):
-            if (r[1], r[6]) != key and rows:
+            if (r[1], r[8]) != key and rows:
                 yield decided(rows)
                 rows = []
-            key = (r[1], r[6])
+            key = (r[1], r[8])
             rows.append(r)
     if rows:
         yield decided(rows)
 
 
-def choose(units: DataFrame, block: int = BLOCK) -> DataFrame:
+def choose(units: DataFrame, block: int = BLOCK, large: bool = False) -> DataFrame:
     """units (UNIT) with p 0 or 1 throughout, materialized round by round."""
     spark, done = units.sparkSession, None
     left = units
@@ -152,7 +176,7 @@ def choose(units: DataFrame, block: int = BLOCK) -> DataFrame:
         dealt = left.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         dealt = dealt.withColumn("block", F.pmod(F.col("at"), buckets)).drop("s", "units")
         dealt = dealt.repartition(n_partitions(spark), "source", "block").sortWithinPartitions("source", "block")
-        moved = materialize(dealt.mapInArrow(lambda it, final=final: freed(fly(it, final)), UNIT))
+        moved = materialize(dealt.mapInArrow(lambda it, final=final: freed(fly(it, final, large)), UNIT))
         whole = moved.where("p = 0 or p = 1")
         done = whole if done is None else done.union(whole)
         if final:
@@ -160,6 +184,27 @@ def choose(units: DataFrame, block: int = BLOCK) -> DataFrame:
         left = moved.where("p > 0 and p < 1")
 
 
+def decide(units: DataFrame, block: int) -> DataFrame:
+    """units (doc_id, source, size, docs, p, at, words, target) with p 0 or 1 throughout: large ones first, then the
+    others with what is then due."""
+    units = units.withColumn("large", F.col("words") > LARGE * F.col("target"))
+    # of each source: the words of its other units, and what the large ones may take too little or too much
+    rest = F.coalesce(F.sum(F.when(~F.col("large"), F.col("words"))), F.lit(0))
+    room = units.groupBy(F.col("source").alias("name")).agg(rest.cast("double").alias("rest"), F.max("p").alias("p")).select("name", "rest", F.col("p").alias("p_s"))
+    named = materialize(room.withColumns({"low": -F.col("rest") * (1 - F.col("p_s")), "high": F.col("rest") * F.col("p_s")}))
+    units = materialize(units.join(named, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "docs", "p", "at", "low", "high", "words", "large"))
+    first = materialize(choose(units.where("large").drop("words", "large"), block, large=True))
+    beyond = first.groupBy("source").agg(F.sum(F.col("p") * F.col("size") * F.col("docs")).alias("took"))
+    due = units.where("large").groupBy(F.col("source").alias("o")).agg(F.sum(F.col("p") * F.col("words")).alias("due"))
+    again = beyond.join(due, F.col("source").eqNullSafe(F.col("o"))).select(F.col("source").alias("o"), (F.col("took") - F.col("due")).alias("beyond"))
+    again = again.join(named, F.col("o").eqNullSafe(F.col("name"))).where("rest > 0")
+    again = again.select("o", ((F.col("high") - F.col("beyond")) / F.col("rest")).alias("anew"))
+    others = units.where("not large").join(F.broadcast(again), F.col("source").eqNullSafe(F.col("o")), "left")
+    anew = F.least(F.greatest(F.coalesce("anew", "p"), F.lit(0.0)), F.lit(1.0))
+    others = others.withColumn("p", F.when(anew < EPS, 0.0).when(anew > 1 - EPS, 1.0).otherwise(anew))
+    return first.unionByName(choose(others.select("doc_id", "source", "size", "docs", "p", "at", "low", "high"), block))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text, source, ...) with size, source_size, target, taken (longs; target is a double).
 
@@ -180,9 +225,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     whole = F.floor(ratio + EPS)
     p = F.greatest(ratio - whole, F.lit(0.0))
     units = units.where("size > 0").join(per, same).withColumns(
-        {"p": F.when(p < EPS, 0.0).otherwise(p), "at": F.xxhash64("doc_id", "size")}
+        {"p": F.when(p < EPS, 0.0).otherwise(p), "at": F.xxhash64("doc_id", "size"), "words": F.col("size") * F.col("docs")}
     )
-    chosen = choose(units.select("doc_id", "source", "size", "docs", "p", "at"), block)
+    chosen = decide(units, block)
     chosen = chosen.where("p = 1").select(F.col("doc_id").alias("d"), F.col("source").alias("t"), F.col("size").alias("z"), F.lit(1).alias("more"))
     out = sized.join(per, F.col("source").cast("string").eqNullSafe(F.col("s")), "left")
     out = out.join(

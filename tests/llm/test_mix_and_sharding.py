@@ -55,6 +55,29 @@ def test_totals_meet_targets(spark, block):
         assert abs(times - counts[s] * target[s] / sizes[s]) <= 8
 
 
+def test_one_text_of_twenty_thousand_words(spark):
+    """A text with a fifth of its source's words: the others make good what its choice takes too much or too little."""
+    r = np.random.default_rng(11)
+    for k in range(3):
+        rows = [(i, "w " * int(r.integers(50, 300)), f"s{i % 3}", "x") for i in range(1500)] + [(5000 + k, "w " * 20_000, f"s{k}", "x")]
+        sizes, taken, target, _ = check(spark, rows)
+        for s in sizes:
+            assert abs(taken[s] - target[s]) <= 0.002 * target[s]
+
+
+def test_targets_are_met_at_scale(spark):
+    got = queries.op6_source_mix(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source"), "doc_id")
+    for r in got.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.002 * r["max(target)"]
+
+
+def test_toss_stays_in_reach():
+    for s in range(50):
+        p = cube_mix.toss([0.5, 1.0, 0.0], [1, 1, 1], [1000, 5, 5], -600.0, 300.0, str(s))
+        assert p == [0.0, 1.0, 0.0]  # taking it would be 500 too many, which the others cannot give back
+    assert {cube_mix.toss([0.5], [1], [10], -600.0, 600.0, str(s))[0] for s in range(50)} == {0.0, 1.0}
+
+
 def test_reruns_agree(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source")
     first, again = (sorted((r.doc_id, r.taken) for r in cube_mix.mix(d).collect()) for d in (docs, docs.repartition(5)))
@@ -137,6 +160,14 @@ def test_placement(spark, weird, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == weird.count()
 
 
+@pytest.mark.parametrize("key", ["slot", "shard"])
+def test_the_key_may_be_called_like_a_result(spark, key):
+    rows = sharding.place(spark.createDataFrame([(i, "x") for i in range(20)], f"{key} long, other string"), key, ["a", "b", "c"]).collect()
+    table = sharding.fill_table(["a", "b", "c"])
+    slots = [int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % len(table) for i in range(20)]
+    assert sorted((r.slot, r.shard, r.other) for r in rows) == sorted((k, table[k], "x") for k in slots)
+
+
 def test_sql(spark):
     name = "op10_sharding"
     assert rows_of_spark(queries.queries()[name](spark, SMALL)) == rows_of_duckdb(database(SMALL), queries.oracle_sql()[name])
