@@ -2,33 +2,32 @@
 
 Each language has probabilities for the pieces of a fixed public vocabulary (and for single letters, so that every
 word can be spelled). A word's probability is the sum over all ways to cut it into pieces, by the forward algorithm; a
-text's is the product over its words. Probabilities are fitted by expectation-maximisation on the most frequent words
-of a bounded sample of labelled documents per language.
+text's is the product over its words. Probabilities are fitted by expectation-maximisation on all words of a bounded
+sample of labelled documents per language; each round's expected counts are summed on the executors.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import freed, small_batches
+from .common import freed, materialize, remove, small_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 #: Pieces up to this length are looked up for all words side by side; longer ones are rare, and added where they occur.
 PIECE_CHARS = 8
 #: Forward sums are scaled anew after so many letters, or (in the fit) where they fall under 1 / UP.
 SCALE_CHARS, UP = 16, 1e100
-#: Sample documents of a language (about), its most frequent words that are fitted, and rounds of fitting.
-MOST_DOCS, MOST_WORDS, ROUNDS = 1_500, 6_000, 2
+#: Sample documents of a language (about), and rounds of fitting.
+MOST_DOCS, ROUNDS = 1_500, 2
 #: Pseudo-count of a piece that the language has not used, and log probability of a letter outside everything.
 SMOOTH, UNKNOWN = 0.02, -14.0
 #: Words whose scores a task remembers.
@@ -51,6 +50,7 @@ def read_vocabulary(path: str, least: int = 1) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode's category L) in lower case."""
     return LETTERS.findall(text.lower())
 
 
@@ -128,40 +128,61 @@ def expected(words: dict[str, int], p: dict[str, float], floor: float) -> dict[s
     return out
 
 
+def occurring(words: dict[str, int], known: set[str]) -> dict[str, float]:
+    """Counts of all places where known pieces, and single characters, occur in words: where fitting starts from."""
+    out, most = Counter(), longest(known)
+    for w, n in words.items():
+        s = START + w
+        for i in range(len(s)):
+            for j in range(i + 1, min(len(s), i + most) + 1):
+                if j - i == 1 or s[i:j] in known:
+                    out[s[i:j]] += n
+    return out
+
+
+def normalised(counts: dict[str, float], pieces: list[str]) -> dict[str, float]:
+    total = sum(counts.get(x, 0.0) for x in pieces) + SMOOTH * len(pieces)
+    return {x: (counts.get(x, 0.0) + SMOOTH) / total for x in pieces}
+
+
+def fitted(langs: list[str], pieces: Iterable[str], start: Callable[[set[str]], dict[str, dict]], step: Callable[[dict[str, dict]], dict[str, dict]], rounds: int = ROUNDS) -> Model:
+    """A model from start(pieces), the first counts by language, and step(probabilities), the expected ones of a round.
+    Letters of any language join the pieces."""
+    counts = start(set(pieces))
+    pieces = sorted({*pieces, START, *(x for c in counts.values() for x in c if len(x) == 1)})
+    p = {g: normalised(counts.get(g, {}), pieces) for g in langs}
+    for _ in range(rounds):
+        counts = step(p)
+        p = {g: normalised(counts.get(g, {}), pieces) for g in langs}
+    return Model(langs, pieces, np.array([[math.log(p[g][x]) for g in langs] for x in pieces]).reshape(len(pieces), len(langs)))
+
+
 def fit_pieces(words: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
-    """A model of each language's word counts. Letters of any language join the pieces."""
-    langs = sorted(words)
-    pieces = sorted({*pieces, START, *(c for ws in words.values() for w in ws for c in w)})
-    known, columns, floor, most = set(pieces), [], math.exp(UNKNOWN), longest(pieces)
-    for lang in langs:
-        p: dict[str, float] = Counter()
-        for w, n in words[lang].items():
-            s = START + w
-            for i in range(len(s)):
-                for j in range(i + 1, min(len(s), i + most) + 1):
-                    if s[i:j] in known:
-                        p[s[i:j]] += n
-        for r in range(rounds + 1):
-            total = sum(p.values()) + SMOOTH * len(pieces)
-            p = {x: (p.get(x, 0.0) + SMOOTH) / total for x in pieces}
-            if r < rounds:
-                p = expected(words[lang], p, floor)
-        columns.append([math.log(p[x]) for x in pieces])
-    return Model(langs, pieces, np.array(columns).T)
-
-
-def fit(docs: DataFrame, vocabulary: str, most_docs: int = MOST_DOCS, most_words: int = MOST_WORDS) -> Model:
+    """A model of each language's word counts."""
+    floor = math.exp(UNKNOWN)
+    return fitted(
+        sorted(words), pieces, lambda known: {g: occurring(w, known) for g, w in words.items()}, lambda p: {g: expected(w, p[g], floor) for g, w in words.items()}, rounds
+    )
+
+
+def fit(docs: DataFrame, vocabulary: str, most_docs: int = MOST_DOCS) -> Model:
     """A model of docs (doc_id, text, lang). Rows without text or lang are left out.
 
     The sample is the documents of a language whose hashed doc_id falls under a share that keeps about most_docs of
-    them, so that it is the same on every run and needs no sort; of each language's sample words the most_words most
-    frequent are fitted.
+    them, so that it is the same on every run and needs no sort; all of their words are fitted. Words and sums of each
+    round stay on the executors; the driver holds one count per language and piece.
     """
+    small_batches(docs.sparkSession)
     good = docs.where("text is not null and lang is not null")
     sizes = good.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
     share = F.least(F.lit(1.0), F.lit(float(most_docs)) / F.col("docs"))
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
     sample = good.join(F.broadcast(sizes), "lang").where(at < share).select("lang", "text")
+    names, kinds = ["lang", "word", "n"], (pa.string(), pa.string(), pa.float64())
+
+    def as_batch(rows: dict[tuple[str, str], float]) -> pa.RecordBatch:
+        columns = ([k[0] for k in rows], [k[1] for k in rows], list(rows.values()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -169,16 +190,45 @@ def fit(docs: DataFrame, vocabulary: str, most_docs: int = MOST_DOCS, most_words
             for i in range(b.num_rows):
                 lang = b.column(0)[i].as_py()
                 seen.update((lang, w) for w in words_of(b.column(1)[i].as_py()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["lang", "word", "n"]
-        )
-
-    counts = sample.mapInArrow(lambda it: freed(split(it)), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    words: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counts.withColumn("rank", rank).where(F.col("rank") <= most_words).collect():
-        words[r["lang"]][r["word"]] = r["n"]
-    return fit_pieces(words, read_vocabulary(vocabulary))
+                if len(seen) > TASK_WORDS:
+                    yield as_batch(seen)
+                    seen.clear()
+        yield as_batch(seen)
+
+    kind = "lang string, word string, n double"
+    counts = sample.mapInArrow(lambda it: freed(split(it)), kind).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # words are few bytes and much work, so they are dealt out evenly
+    words = materialize(counts.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "word"))
+
+    def summed(count: Callable[[str, dict[str, int]], dict[str, float]]) -> dict[str, dict]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict[tuple[str, str], float] = defaultdict(float)
+            for b in batches:
+                by_lang: dict[str, dict] = defaultdict(dict)
+                for g, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    by_lang[g][w] = n
+                for g, ws in by_lang.items():
+                    for x, n in count(g, ws).items():
+                        out[g, x] += n
+            yield as_batch(out)
+
+        got: dict[str, dict] = defaultdict(dict)
+        for r in words.mapInArrow(lambda it: freed(run(it)), kind).groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+            got[r["lang"]][r["word"]] = r["n"]
+        return got
+
+    def start(known: set[str]) -> dict[str, dict]:
+        shared = docs.sparkSession.sparkContext.broadcast(known)
+        return summed(lambda _, ws: occurring(ws, shared.value))
+
+    def step(p: dict[str, dict]) -> dict[str, dict]:
+        shared, floor = docs.sparkSession.sparkContext.broadcast(p), math.exp(UNKNOWN)
+        return summed(lambda g, ws: expected(ws, shared.value[g], floor))
+
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    model = fitted(langs, read_vocabulary(vocabulary), start, step)
+    remove(words)
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
