@@ -6,18 +6,22 @@ level by level. A pair of tree nodes is dropped when distance - radius - radius
 distance + radius + radius <= t, so a dense group of near copies is counted without comparing its members; other pairs
 descend, and at the bottom pairs of vectors are compared in double precision. Every vector is in the tree.
 
-Equal vectors are one point with a weight. Large nodes are split into parts, and each pair of parts that the upper
-level leaves is a task of its own, so no group of vectors has to fit one task.
+Equal vectors are one point with a weight. Large nodes are split into parts, and the pairs of parts that the upper
+level leaves are dealt out in tiles: a task keeps a few parts and lets a few others pass by, so no group of vectors has
+to fit one task, and a tree is shipped once for several pairs. At the bottom a product of shortened vectors bounds each
+cosine from above (the first coordinates as they are, the length of the rest as one more); what it admits is compared
+in double precision.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +30,31 @@ from .common import components, freed, materialize, n_partitions
 COSINE = 0.9
 #: Vectors that the pivots are taken from, vectors that a part of a node has about, and pivots at most.
 SAMPLE, PART, MOST_PIVOTS = 4096, 4096, 1024
+#: Tasks that tiles are dealt to at most.
+MOST_TASKS = 1 << 16
 #: Slack for rounding in bounds (not in the comparison itself).
 SLACK = 1e-7
 #: Rows of one block of a distance matrix.
 ROWS = 512
+#: Parts along each side of a tile at most, and tiles to aim at along each side of the whole, so that tasks are many.
+TILE, TILES = 8, 64
+#: Share of a vector's coordinates that the bound keeps, and slack for its single precision.
+KEEP, ROUGH = 0.25, 1e-4
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+def products(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cosines of rows p of a and q of b, in bounded memory."""
+    out = np.empty(len(p))
+    for at in range(0, len(p), 1 << 12):
+        cut = slice(at, at + (1 << 12))
+        out[cut] = np.einsum("ij,ij->i", a[p[cut]], b[q[cut]])
+    return out
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = np.asarray(vectors, np.float64)
     v = v / np.abs(v).max(1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -67,6 +86,14 @@ class Tree:
             for at, value in zip((self.levels, self.parent, self.cover, self.node), (top, parent, cover, node), strict=True):
                 at.insert(0, value)
 
+    def short(self) -> np.ndarray:
+        """Single-precision vectors whose products are no less than those of x, ROUGH aside."""
+        if "short_" not in self.__dict__:
+            k = max(1, math.ceil(KEEP * self.x.shape[1]))
+            rest = np.sqrt((self.x[:, k:] ** 2).sum(1, keepdims=True))
+            self.short_ = np.hstack([self.x[:, :k], rest]).astype(np.float32)
+        return self.short_
+
     def children(self, level: int, number: int) -> np.ndarray:
         return np.flatnonzero(self.parent[level] == number) if level < len(self.parent) else np.array([number])
 
@@ -136,21 +163,25 @@ def dual(a: Tree, b: Tree, cosine: float, links: Links, shift: int) -> None:
     while todo:
         la, lb, na, nb, diagonal = todo.pop()
         bottom = la == last_a and lb == last_b
-        xb, rb = b.x[b.levels[lb][nb]], b.cover[lb][nb]
+        if bottom:
+            sa, sb = a.short(), b.short()[nb].T
+        else:
+            xb, rb = b.x[b.levels[lb][nb]], b.cover[lb][nb]
         for at in range(0, len(na), ROWS):
             ia = na[at : at + ROWS]
-            s = a.x[a.levels[la][ia]] @ xb.T
             if bottom:
-                p, q = np.nonzero(s >= cosine)
+                p, q = np.nonzero(sa[ia] @ sb >= cosine - ROUGH)
                 p, q = ia[p], nb[q]
                 if diagonal:
                     p, q = p[p < q], q[p < q]
-                q = q + shift
+                hit = products(a.x, p, b.x, q) >= cosine
+                p, q = p[hit], q[hit] + shift
                 np.add.at(links.count, p, links.weights[q])
                 np.add.at(links.count, q, links.weights[p])
                 for i, j in zip(p, q, strict=True):
                     links.union(i, j)
                 continue
+            s = a.x[a.levels[la][ia]] @ xb.T
             reach = t + a.cover[la][ia] + rb.max() + SLACK
             p, q = np.nonzero(s >= (1.0 - np.minimum(reach, 2.0) ** 2 / 2)[:, None])
             if diagonal:
@@ -185,17 +216,18 @@ TREES = "part long, tree binary"
 
 
 def grow(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows (part, rid, weight, vector) sorted by part: each part's tree, once."""
+    """Rows (part, rid, weight, vector) sorted by part: each part's tree, once, with the vectors in their own precision."""
 
     def tree_of(part: int, rows: list[tuple]) -> pa.RecordBatch:
         rows.sort()
-        given = np.array([r[2] for r in rows], np.float32)
+        given = np.array([r[2] for r in rows], kind)
         state = vars(Tree(unit(given), math.sqrt(2 - 2 * cosine))) | {"x": given}
         state |= {"rid": np.array([r[0] for r in rows], np.int64), "weight": np.array([r[1] for r in rows], np.int64)}
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], ["part", "tree"])
 
-    now, rows = None, []
+    now, rows, kind = None, [], np.float64
     for b in batches:
+        kind = np.float32 if b.schema.field(3).type.value_type == pa.float32() else np.float64
         for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if r[0] != now and rows:
                 yield tree_of(now, rows)
@@ -206,8 +238,9 @@ def grow(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Record
         yield tree_of(now, rows)
 
 
-def pair_tasks(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows (pair_a, pair_b, tree_a, tree_b): the links within each pair of parts, or of a part with itself."""
+def tile_tasks(batches: Iterator[pa.RecordBatch], cosine: float, near: Callable[[int, int], bool]) -> Iterator[pa.RecordBatch]:
+    """Rows (tile_a, tile_b, side, part, tree) sorted so: the links between the parts of side 0, which a task keeps, and
+    each of side 1 as it passes; in a tile on the diagonal each part meets those before it and itself."""
 
     def read(data: bytes) -> tuple[Tree, np.ndarray, np.ndarray]:
         tree, state = Tree.__new__(Tree), pickle.loads(data)
@@ -215,18 +248,29 @@ def pair_tasks(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.
         tree.__dict__.update(state | {"x": unit(state["x"])})
         return tree, rid, weight
 
+    def met(one: tuple, other: tuple) -> pa.RecordBatch:
+        (a, rid, weight), (b, rid_b, weight_b), shift = one, other, 0
+        if a is not b:
+            shift, rid, weight = len(rid), np.concatenate([rid, rid_b]), np.concatenate([weight, weight_b])
+        links = Links(weight)
+        dual(a, b, cosine, links, shift)
+        hit = np.flatnonzero(links.count)
+        roots = np.array([rid[links.find(i)] for i in hit], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(links.count[hit]), pa.array(roots)], ["rid", "links", "root"])
+
+    now, kept = None, {}
     for batch in batches:
         for k in range(batch.num_rows):
-            a, rid, weight = read(batch.column(2)[k].as_py())
-            b, shift = a, 0
-            if batch.column(0)[k].as_py() != batch.column(1)[k].as_py():
-                b, rid_b, weight_b = read(batch.column(3)[k].as_py())
-                shift, rid, weight = len(rid), np.concatenate([rid, rid_b]), np.concatenate([weight, weight_b])
-            links = Links(weight)
-            dual(a, b, cosine, links, shift)
-            hit = np.flatnonzero(links.count)
-            roots = np.array([rid[links.find(i)] for i in hit], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(links.count[hit]), pa.array(roots)], ["rid", "links", "root"])
+            tile_a, tile_b, side, part = (batch.column(c)[k].as_py() for c in range(4))
+            if (tile_a, tile_b) != now:
+                now, kept = (tile_a, tile_b), {}
+            tree = read(batch.column(4)[k].as_py())
+            if side == 0:
+                kept[part] = tree
+            if side == 1 or tile_a == tile_b:
+                for other, it in kept.items():
+                    if near(other, part):
+                        yield met(it, tree)
 
 
 def pivots_of(points: DataFrame, parts: int, t: float) -> np.ndarray:
@@ -305,15 +349,35 @@ def links_between(points: DataFrame, cosine: float) -> DataFrame:
     gaps = distances(pivots, pivots)
     firsts = spark.createDataFrame([(a, p[0], p[1]) for a, p in parts.items()], "node int, first long, parts long")
     placed = dealt.join(F.broadcast(firsts), "node").withColumn("part", F.col("first") + F.pmod(F.xxhash64("rid"), F.col("parts")))
-    placed = placed.select("part", "rid", "weight", "vector").repartition(max(n_partitions(spark), min(count, 4096)), "part").sortWithinPartitions("part")
+    placed = placed.select("part", "rid", "weight", "vector").repartition(max(n_partitions(spark), min(count, MOST_TASKS)), "part").sortWithinPartitions("part")
     trees = materialize(placed.mapInArrow(lambda it: freed(grow(it, cosine)), TREES))
-    # pairs of upper nodes that the bound leaves, as ranges of parts; a part meets those from itself on
-    near = [(p[0], p[1], q[0], q[1]) for a, p in parts.items() for b, q in parts.items() if a <= b and gaps[a, b] - p[2] - q[2] <= t + SLACK]
-    ranges = spark.createDataFrame(near, "a_first long, a_parts long, b_first long, b_parts long").repartition(n_partitions(spark))
-    span = lambda k: F.explode(F.sequence(F.col(f"{k}_first"), F.col(f"{k}_first") + F.col(f"{k}_parts") - 1))
-    pairs = ranges.withColumn("pair_a", span("a")).withColumn("pair_b", span("b")).where("pair_a <= pair_b").select("pair_a", "pair_b")
-    pairs = pairs.join(trees.select(F.col("part").alias("pair_a"), F.col("tree").alias("tree_a")), "pair_a")
-    others = trees.select(F.col("part").alias("pair_b"), F.col("tree").alias("tree_b"))
-    pairs = pairs.join(others, "pair_b").select("pair_a", "pair_b", "tree_a", "tree_b")
-    pairs = pairs.repartition(max(n_partitions(spark), min(count * (count + 1) // 2, 4096)))
-    return pairs.mapInArrow(lambda it: freed(pair_tasks(it, cosine)), FOUND)
+    # a tile is needed if the bound leaves a pair of its upper nodes; within it, each pair of parts is tested
+    node_of = np.repeat(list(parts), [p[1] for p in parts.values()])
+    radius = np.array([parts[k][2] if k in parts else 0.0 for k in range(len(pivots))])
+    close = spark.sparkContext.broadcast((node_of, gaps - radius[:, None] - radius[None, :] <= t + SLACK))
+
+    def near(a: int, b: int) -> bool:
+        nodes, live = close.value
+        return bool(live[nodes[a], nodes[b]])
+
+    tile = min(TILE, max(1, count // TILES))
+    tiles = -(-count // tile)
+    members = [np.unique(node_of[k * tile : (k + 1) * tile]) for k in range(tiles)]
+    meets = spark.range(tiles).repartition(n_partitions(spark)).mapInArrow(lambda it: tiles_near(it, members, close), "tile_a long, tile_b long")
+    meets = materialize(meets)
+    own = trees.withColumn("tile", F.floor(F.col("part") / tile))
+    first = meets.join(own.withColumnRenamed("tile", "tile_a"), "tile_a").select("tile_a", "tile_b", F.lit(0).alias("side"), "part", "tree")
+    second = meets.where("tile_a < tile_b").join(own.withColumnRenamed("tile", "tile_b"), "tile_b").select("tile_a", "tile_b", F.lit(1).alias("side"), "part", "tree")
+    shipped = first.union(second).repartition(max(n_partitions(spark), min(tiles * (tiles + 1) // 2, MOST_TASKS)), "tile_a", "tile_b")
+    shipped = shipped.sortWithinPartitions("tile_a", "tile_b", "side", "part")
+    return shipped.mapInArrow(lambda it: freed(tile_tasks(it, cosine, near)), FOUND)
+
+
+def tiles_near(batches: Iterator[pa.RecordBatch], members: list[np.ndarray], close: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Rows (tile): pairs of it and each tile from itself on that hold a pair of close nodes."""
+    live = close.value[1]
+    for b in batches:
+        for a in b.column(0).to_pylist():
+            reach = live[members[a]].any(0)
+            hit = [k for k in range(a, len(members)) if reach[members[k]].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([a] * len(hit), pa.int64()), pa.array(hit, pa.int64())], ["tile_a", "tile_b"])

@@ -28,8 +28,8 @@ def brute(rows, cosine=0.9):
     return sorted(out, key=str)
 
 
-def run(spark, rows, **conf):
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows], KIND)
+def run(spark, rows, kind=KIND, **conf):
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], kind)
     return sorted((tuple(r) for r in embed_dedup.near_duplicates(df, **conf).collect()), key=str)
 
 
@@ -50,6 +50,39 @@ def test_odd_vectors(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_doubles_are_compared_in_double_precision(spark):
+    kind = KIND.replace("float", "double")
+    under, over = 0.9 - 1e-12, 0.9 + 1e-12  # single precision cannot tell them apart
+    rows = [(1, [1.0, 0.0]), (2, [under, float(np.sqrt(1 - under**2))]), (3, [over, -float(np.sqrt(1 - over**2))])]
+    assert run(spark, rows, kind) == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
+    rows = [(1, [1e300, 0.0]), (2, [1e300, 1e298]), (3, [0.0, 1e-300]), (4, [1e-305, 1e-300])]
+    assert run(spark, rows, kind) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)]
+
+
+@pytest.mark.parametrize("tiles", [1, 2, 1000])
+def test_tiles(spark, monkeypatch, tiles):
+    monkeypatch.setattr(embed_dedup, "PART", 16)
+    monkeypatch.setattr(embed_dedup, "TILES", tiles)
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 16))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 40] + r.normal(size=16) * r.choice([0.05, 0.25])]) for i in range(400)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_short_vectors_bound_the_cosine():
+    r = np.random.default_rng(2)
+    for d in (1, 2, 5, 64):
+        x = embed_dedup.unit(r.normal(size=(200, d)))
+        s = embed_dedup.Tree(x, 0.4).short()
+        assert (s @ s.T + embed_dedup.ROUGH >= x @ x.T).all()
+
+
+def test_one_id_on_many_rows(spark):
+    rows = [(7, [1.0, float(k % 3) / 100]) for k in range(600)] + [(8, [0.0, 1.0])] * 300
+    got = run(spark, rows)
+    assert set(got) == {(7, 599, 7, True), (8, 299, 8, True)} and len(got) == 900
+
+
 def test_no_rows(spark):
     assert run(spark, []) == []
 
