@@ -2,25 +2,28 @@
 
 Seeds are the entities that the base rules find, of all four kinds. They and every other identifier-like stretch (a
 token with several digits, spaced groups of digits, an address written out) yield patterns: the word before and the word
-after, each with the stretch's shape and without it, and the shape alone. Mentions
-form a graph of patterns and instances; scores go back and forth: a pattern is worth the mean worth of its mentions'
-instances, shrunk towards nothing, and an instance that is no seed takes the mean of its patterns. Patterns that end
-with high confidence and enough distinct seeds discover identifiers which no base rule admits (a card number with a
-wrong check digit, say), marked as kind "id".
+after, each with the stretch's shape and without it, and the shape alone. Mentions form a graph of patterns and
+instances; scores go back and forth: a pattern is worth the mean worth of its mentions' instances, shrunk towards
+nothing, and an instance that is no seed takes the mean of its patterns. After each round, instances for most of whose
+mentions kept patterns vouch on two sides are seeds themselves, so that they teach contexts in which no base entity
+stands. Patterns that end with high confidence and enough distinct seeds discover identifiers which no base rule admits
+(a card number with a wrong check digit, say), marked as kind "id".
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, materialize, remove, small_batches
+from .common import freed, join_frequent, materialize, remove, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 #: What the method adds.
@@ -80,8 +83,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 #: An identifier-like token: letters, digits and joining marks.
-TOKEN = re.compile(r"(?<![\w.+-])[0-9A-Za-z](?:[\w.-]{2,62}[0-9A-Za-z])(?![\w-])", re.ASCII)
-DIGIT, BLANK, WORD = re.compile("[0-9]"), re.compile(r"\s"), re.compile(r"\w")
+TOKEN = re.compile(r"(?<![\w.+-])[0-9A-Za-z](?:[\w.-]{2,}[0-9A-Za-z])(?![\w-])", re.ASCII)
+DIGIT, BLANK, WORD, RUN = re.compile("[0-9]"), re.compile(r"\s"), re.compile(r"\w"), re.compile(r"\S+")
 #: Groups of digits with single marks between them, as phones and cards are written.
 GROUPS = re.compile(r"[0-9](?<![0-9]{2})[0-9]*+(?:(?:\)[\x20-]?|[\x20.-]\(?)[0-9]{2,}+)++")
 #: The at of an address, what may stand around it, and the domain after it.
@@ -90,7 +93,6 @@ AT_END = re.compile(r"\x20?[\])}>]?\x20?")
 DOT = r"(?:\.|\x20?[\[({<]\x20?(?:dot|DOT|\.)\x20?[\])}>]\x20?|\x20(?:dot|DOT)\x20)"
 WRITTEN = re.compile(rf"[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)+")
 LABEL = re.compile(r"[A-Za-z0-9-]+")
-AFTER = re.compile(r"[^\w\s]*\s+(\S+)")
 #: Digits that a token needs to be considered, and to be so inside a longer candidate; digits of groups.
 LEAST_DIGITS, INNER_DIGITS, GROUP_DIGITS = 4, 6, range(7, 20)
 
@@ -106,15 +108,34 @@ def key_of(s: str) -> str:
 
 
 def bare(word: str) -> str:
-    return re.sub(r"[^\w]+", "", word).lower()[:32]
+    return key_of(re.sub(r"[^\w]+", "", word).lower())
 
 
-def word_before(text: str) -> str:
-    """The last word of text, if nothing but a blank and marks follow it."""
-    words = text.rsplit(None, 2)
-    if words and not text[-1].isspace() and WORD.search(words.pop()):
-        return ""
-    return bare(words[-1]) if words else ""
+class Words:
+    """The runs of a text between white space, to look up a stretch's neighbours."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.runs = text, [m.span() for m in RUN.finditer(text)]
+        self.starts = [a for a, _ in self.runs]
+
+    def before(self, at: int) -> str:
+        """The word before at, if nothing but blanks and marks stands between."""
+        k = bisect_left(self.starts, at) - 1
+        if k >= 0 and self.runs[k][1] >= at:  # the run that at stands in or follows on
+            i = at - 1
+            while i >= self.starts[k]:
+                if WORD.match(self.text[i]):
+                    return ""
+                i -= 1
+            k -= 1
+        return bare(self.text[slice(*self.runs[k])]) if k >= 0 else ""
+
+    def after(self, at: int) -> str:
+        """The word after at, likewise."""
+        k = bisect_left(self.starts, at)
+        if k and self.runs[k - 1][1] > at and WORD.search(self.text, at, self.runs[k - 1][1]):
+            return ""
+        return bare(self.text[slice(*self.runs[k])]) if k < len(self.runs) and (k == 0 or self.runs[k][0] > at) else ""
 
 
 def tokens(text: str) -> Iterator[tuple[int, int]]:
@@ -182,10 +203,11 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int,
     """
     marks = sorted({(a, b) for _, a, b in base})
     exact = set(marks)
-    for a, b in sorted([*marks, *candidates(text, marks)]):
+    every = sorted([*marks, *candidates(text, marks)])
+    words = Words(text) if every else None
+    for a, b in every:
         token = text[a:b]
-        s, left, after = key_of(shape(token)), word_before(text[max(0, a - 80) : a]), AFTER.match(text, b, min(len(text), b + 80))
-        right = bare(after[1]) if after else ""
+        s, left, right = key_of(shape(token)), words.before(a), words.after(b)
         # the lexical ones hold no blank, the others do
         yield a, b, token, [f"<{left} {s}", f">{s} {right}", f"={s}", f"<{left}", f">{right}"], (a, b) in exact
 
@@ -218,39 +240,73 @@ def graph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ROUNDS, DOUBT, CONFIDENCE, LEAST_SEEDS = 3, 2.0, 0.5, 3
 #: A pattern without a shape admits every form, so this share of its own mentions must be seeds (doubt counted as above).
 SEED_SHARE = 0.75
+#: Share of an instance's mentions that kept patterns must vouch for before it becomes a seed.
+PROMOTE = 0.5
 #: So many patterns, the most frequent ones, are sent to every task; the others meet their mentions in a shuffle.
 MOST_SENT = 100_000
 #: Parts in which the documents of one text are joined, so that those of a frequent text do not gather in one task.
 SALTS = 16
 
 
+def scored(worth: DataFrame) -> DataFrame:
+    """(pattern, score, seeds, others, share, n) of the graph's patterns, given what each edge's instance is worth."""
+    out = worth.groupBy("pattern").agg(
+        (F.sum(F.col("n") * F.col("worth")) / (F.sum("n") + DOUBT)).alias("score"),
+        F.count_if("seed").alias("seeds"),
+        F.count_if(~F.col("base")).alias("others"),
+        (F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)) / (F.sum("n") + DOUBT)).alias("share"),
+        F.sum("n").alias("n"),
+    )
+    return materialize(out)
+
+
+def kept_of(score: DataFrame, confidence: float) -> DataFrame:
+    """Patterns with high confidence and enough seeds; one without other instances has nothing to discover."""
+    good = (F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS) & (F.col("others") > 0)
+    shaped = F.col("pattern").contains(" ") | F.col("pattern").startswith("=")
+    return score.where(good & (shaped | (F.col("share") >= SEED_SHARE))).select("pattern", "score", "n")
+
+
+def promoted(graph: DataFrame, kept: DataFrame) -> DataFrame:
+    """(instance) of the graph's instances that are no seeds yet, but for which kept patterns vouch on two sides at
+    least in PROMOTE of their mentions."""
+    todo = graph.where("not seed").select("pattern", "instance", "n")
+    vouched = join_frequent(todo, kept.select("pattern", F.lit(1).alias("kept")), "pattern").where("kept = 1")
+    sides_ = vouched.groupBy("instance", F.substring("pattern", 1, 1).alias("side")).agg(F.max("n").alias("vouched"))
+    # each mention has one shape
+    all_ = todo.where(F.col("pattern").startswith("=")).groupBy("instance").agg(F.sum("n").alias("all"))
+    strong = sides_.join(all_, "instance").where(F.col("vouched") >= PROMOTE * F.col("all"))
+    return strong.groupBy("instance").count().where("count >= 2").select("instance")
+
+
 def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
     """(pattern, score, n) of the high-confidence patterns, by iterated scoring of the pattern-instance graph.
 
     All documents are read. The score of a pattern is sum(n * worth) / (sum(n) + DOUBT) over its instances; a seed's
-    worth is 1, another instance's the mean score of its patterns. A pattern's own mentions alone decide whether it is kept; n counts them. Both steps are grouped sums with partial
-    aggregation, so frequent patterns and instances do not gather in one task.
+    worth is 1, another instance's the mean score of its patterns. Between rounds, instances that kept patterns vouch
+    for become seeds. A pattern's own mentions alone decide whether it is kept; n counts them. All steps are grouped
+    sums with partial aggregation and joins that broadcast frequent keys, so that no pattern or instance gathers in one
+    task.
     """
     small_batches(docs.sparkSession)
-    graph = materialize(docs.select("text").mapInArrow(lambda it: freed(graph_rows(it)), GRAPH).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")))
-    worth, old = graph.select("pattern", "instance", "seed", "n", F.col("seed").cast("double").alias("worth")), []
-    for _ in range(rounds):
-        score = worth.groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("worth")) / (F.sum("n") + DOUBT)).alias("score"),
-            F.count_if("seed").alias("seeds"),
-            F.count_if(~F.col("seed")).alias("others"),
-            (F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)) / (F.sum("n") + DOUBT)).alias("share"),
-            F.sum("n").alias("n"),
-        )
-        score = materialize(score)
+    found = docs.select("text").mapInArrow(lambda it: freed(graph_rows(it)), GRAPH)
+    graph = materialize(found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")).withColumn("base", F.col("seed")))
+    old, worth = [graph], graph.withColumn("worth", F.col("seed").cast("double"))
+    for left in range(rounds - 1, -1, -1):
+        score = scored(worth)
         old.append(score)
-        means = graph.where("not seed").join(score.select("pattern", "score"), "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"))
-        worth = graph.join(means, "instance", "left").withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0))))
-    # a pattern without other instances has nothing to discover
-    good = (F.col("score") >= confidence) & (F.col("seeds") >= LEAST_SEEDS) & (F.col("others") > 0)
-    shaped = F.col("pattern").contains(" ") | F.col("pattern").startswith("=")
-    kept = materialize(score.where(good & (shaped | (F.col("share") >= SEED_SHARE))).select("pattern", "score", "n"))
-    for df in [graph, *old]:
+        if not left:
+            break
+        more = materialize(promoted(graph, kept_of(score, confidence)).withColumn("more", F.lit(1)))
+        means = join_frequent(graph.where("not seed"), score.select("pattern", "score"), "pattern")
+        means = materialize(means.groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean")))
+        raised = join_frequent(graph, means.join(more, "instance", "left"), "instance")
+        raised = materialize(raised.withColumn("seed", F.col("seed") | F.coalesce(F.col("more") == 1, F.lit(False))).drop("more"))
+        old += [more, means, raised]
+        graph = raised.drop("mean")
+        worth = raised.withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0))))
+    kept = materialize(kept_of(score, confidence))
+    for df in old:
         remove(df)
     return kept
 
@@ -301,20 +357,20 @@ def open_rows(batches: Iterator[pa.RecordBatch], known: frozenset[str]) -> Itera
     yield flush()
 
 
-def with_rare(docs: DataFrame, patterns: DataFrame | None) -> tuple[DataFrame, frozenset[str]]:
-    """docs with the spans that only the less frequent patterns decide (column rare_), and the others, to be sent.
+def with_rare(docs: DataFrame, patterns: DataFrame | None) -> tuple[DataFrame, Broadcast]:
+    """docs with the spans that only the less frequent patterns decide (column rare_), and the others, a broadcast set.
 
     Up to MOST_SENT patterns, all are sent and rare_ is null. Beyond, undecided mentions are joined to all patterns;
     an unsent pattern has at most 5 / MOST_SENT of the mentions. A text is known by its SHA-256.
     """
-    patterns = learn_patterns(docs) if patterns is None else patterns
+    patterns, context = learn_patterns(docs) if patterns is None else patterns, docs.sparkSession.sparkContext
     spans = "array<struct<start:int,end:int>>"
     if patterns.limit(MOST_SENT + 1).count() <= MOST_SENT:
         known = frozenset(r["pattern"] for r in patterns.select("pattern").collect())
-        return docs.withColumn("rare_", F.lit(None).cast(spans)), known
-    known = frozenset(r["pattern"] for r in patterns.orderBy(F.desc("n"), "pattern").limit(MOST_SENT).select("pattern").collect())
+        return docs.withColumn("rare_", F.lit(None).cast(spans)), context.broadcast(known)
+    known = context.broadcast(frozenset(r["pattern"] for r in patterns.orderBy(F.desc("n"), "pattern").limit(MOST_SENT).select("pattern").collect()))
     texts = docs.where("text is not null").select(F.sha2("text", 256).alias("key"), "text")
-    rows = materialize(texts.mapInArrow(lambda it: freed(open_rows(it, known)), OPEN).distinct())
+    rows = materialize(texts.mapInArrow(lambda it: freed(open_rows(it, known.value)), OPEN).distinct())
     vouched = rows.where("pattern is not null").join(patterns.select("pattern"), "pattern", "left_semi").select("key", "start", "end", "side")
     vouched = vouched.union(rows.where("pattern is null").select("key", "start", "end", "side")).distinct()
     found = vouched.groupBy("key", "start", "end").count().where("count >= 2")
@@ -342,7 +398,7 @@ def find(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
 
     @F.arrow_udf(kind)
     def spans(text: pa.Array, rare: pa.Array) -> pa.Array:
-        found = (spans_of(t.as_py() or "", known, pairs(r)) for t, r in zip(text, rare, strict=True))
+        found = (spans_of(t.as_py() or "", known.value, pairs(r)) for t, r in zip(text, rare, strict=True))
         return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in f] for f in found], to)
 
     return docs.drop("pii").withColumn("pii", spans("text", "rare_")).drop("rare_")
@@ -355,7 +411,7 @@ def mask(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
 
     def masked(text: str, rare: frozenset[tuple[int, int]]) -> str:
         out, free = [], 0
-        for kind, a, b in sorted(spans_of(text, known, rare), key=lambda s: (s[1], -s[2])):
+        for kind, a, b in sorted(spans_of(text, known.value, rare), key=lambda s: (s[1], -s[2])):
             if a >= free:
                 out += [text[free:a], f"<{kind}>"]
             free = max(free, b)

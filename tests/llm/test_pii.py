@@ -1,6 +1,7 @@
 """Base kinds against the plain patterns; patterns learned from seeds; masking."""
 
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from compare import SMALL
@@ -163,6 +164,84 @@ def test_context_without_shape_finds_other_forms(spark):
         assert found[200 + i] == []
 
 
+BASE = ["bob{}@site.com", "+44 20 7946 09{:02d}", "10.0.{}.1", "eve.{}@mail.example.net"]
+FAR = [f"QX-{4000 + 7 * i}-Z{i}" for i in range(16)]  # stand in a context that base entities teach, and in another
+FARTHER = ["K12-34567", "no.99812", "7719_04A", "(212) 555-0188", "ann [at] ex [dot] org", "55501234567X"]  # only in the other
+DECOYS = ["AB-4471-Z9", "part-00912", "2024-11-05", "1.2.3456", "555-0100-22", "X99120", "4111111111111112", "room 4412"]
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Base entities teach one context; what else stands there is seen in a second one, without any base entity."""
+    texts = [f"you reach me under {BASE[i % 4].format(i)} during daytime" for i in range(120)]
+    texts += [f"you reach me under {t} during daytime" for t in FAR] * 2 + [f"his account number {t} was closed" for t in FAR] * 2
+    texts += [f"his account number {t} was closed" for t in FARTHER]
+    texts += [f"we shipped {d} from stock {i}" for i, d in enumerate(DECOYS * 4)] + [f"the winter of {1900 + i} had {4000 + i} days of rain" for i in range(60)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_bootstrapping_reaches_what_no_base_entity_teaches(planted):
+    """Planted identifiers of unseen shapes: recall and precision of what the method adds."""
+    found = [r.text[s.start : s.end] for r in pii.find(planted).collect() for s in r.pii if s.kind == "id"]
+    wanted = Counter(FAR * 4 + FARTHER)
+    hits = sum((Counter(found) & wanted).values())
+    assert hits >= 0.9 * sum(wanted.values()) and hits >= 0.9 * len(found)
+    assert set(FARTHER) <= set(found)
+    once = pii.learn_patterns(planted, rounds=1)  # without promoted seeds, nothing teaches the second context
+    assert not {r.text[s.start : s.end] for r in pii.find(planted, once).collect() for s in r.pii if s.kind == "id"} & set(FARTHER)
+
+
+def plain_patterns(texts, rounds=pii.ROUNDS):
+    """learn_patterns in plain Python, over a dictionary of edges."""
+    edges, base = Counter(), {}
+    for t in texts:
+        for _, _, token, patterns, seed in pii.mentions(t, pii.base_spans(t)):
+            for p in patterns:
+                edges[p, pii.key_of(token)] += 1
+                base[p, pii.key_of(token)] = base.get((p, pii.key_of(token)), False) or seed
+    seed, worth = dict(base), {e: float(b) for e, b in base.items()}
+    for left in range(rounds - 1, -1, -1):
+        by = defaultdict(list)
+        for (p, i), n in edges.items():
+            by[p].append((n, worth[p, i], seed[p, i], base[p, i]))
+        score, kept = {}, {}
+        for p, rows in by.items():
+            n = sum(r[0] for r in rows)
+            score[p] = sum(r[0] * r[1] for r in rows) / (n + pii.DOUBT)
+            share = sum(r[0] for r in rows if r[2]) / (n + pii.DOUBT)
+            if score[p] >= pii.CONFIDENCE and sum(r[2] for r in rows) >= pii.LEAST_SEEDS and not all(r[3] for r in rows):
+                if " " in p or p[0] == "=" or share >= pii.SEED_SHARE:
+                    kept[p] = (pytest.approx(score[p]), n)
+        if not left:
+            return kept
+        best, every, mean = defaultdict(int), Counter(), defaultdict(lambda: [0, 0])
+        for (p, i), n in edges.items():
+            if not seed[p, i]:
+                mean[i][0] += n * score[p]
+                mean[i][1] += n
+                every[i] += n * (p[0] == "=")
+                if p in kept:
+                    best[i, p[0]] = max(best[i, p[0]], n)
+        vouched = Counter(i for (i, _), n in best.items() if n >= pii.PROMOTE * every[i])
+        seed = {e: s or vouched[e[1]] >= 2 for e, s in seed.items()}
+        worth = {e: 1.0 if s else mean[e[1]][0] / mean[e[1]][1] for e, s in seed.items()}
+
+
+def test_scores_against_a_plain_graph(spark, planted, corpus):
+    for docs in (planted, corpus, spark.read.parquet(f"{SMALL}/documents.parquet")):
+        got = {r.pattern: (r.score, r.n) for r in pii.learn_patterns(docs).collect()}
+        assert got == plain_patterns([r.text or "" for r in docs.select("text").collect()])
+
+
+def test_neighbours():
+    text = 'see "Foo," (12345) bar! - x12345y ' + "w" * 300 + " 777777 " + "v" * 300
+    words, at = pii.Words(text), text.index
+    assert (words.before(at("12345")), words.after(at("12345") + 5)) == ("foo", "bar")
+    assert (words.before(at("x12345y") + 1), words.after(at("x12345y") + 6)) == ("", "")
+    assert (words.before(at("777777")), words.after(at("777777") + 6)) == (pii.key_of("w" * 300), pii.key_of("v" * 300))
+    assert (pii.Words("12345").before(0), pii.Words("12345").after(5)) == ("", "")
+
+
 def test_candidates_are_linear():
     for text in ("11 " * 60_000 + "a", "a at " * 40_000, "a.b at c dot " * 10_000, "(1" * 90_000, "a dot " * 30_000, "1a1." * 50_000):
         list(pii.mentions(text, pii.base_spans(text)))
