@@ -80,8 +80,9 @@ def train(rows: list[tuple[np.ndarray, float, int]], dims: int = DIMS, epochs: i
 def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, dims: int = DIMS) -> tuple[np.ndarray, float]:
     """A model of labelled (key, text, label): at most most_rows rows, those with the smallest hash of their key.
 
-    Rows without label or key are left out; a null text is empty. Features are made on the executors; the driver gets
-    index arrays of the bounded sample only.
+    Rows without label or key are left out; a null text is empty. Of rows with one key, one counts (that with the least
+    features), however often it is repeated. Features are made on the executors; the driver gets index arrays of the
+    bounded sample only.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +98,10 @@ def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, dims: int = DIMS) -> tu
     at = F.xxhash64(F.col("key").cast("string"))
     # keys first: only the sample's texts are read and moved
     sample = labelled.where("key is not null and label is not null").select(at.alias("at"), "text", F.col("label").cast("int").alias("label"))
-    got = sample.mapInArrow(lambda it: freed(features(it)), "at long, index binary, value double, label int").collect()
-    rows = sorted((r["at"], r["index"], r["value"], r["label"]) for r in got)[:most_rows]
+    made = sample.mapInArrow(lambda it: freed(features(it)), "at long, index binary, value double, label int")
+    # one row a key before anything is collected: partial sums drop repeats where they stand
+    one = made.groupBy("at").agg(F.min(F.struct("index", "value", "label")).alias("x")).orderBy("at").limit(most_rows)
+    rows = sorted((r["at"], *r["x"]) for r in one.collect())
     return train([(np.frombuffer(i, np.int32).astype(np.int64), v, y) for _, i, v, y in rows], dims)
 
 

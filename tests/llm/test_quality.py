@@ -1,10 +1,14 @@
 """Decision list (features by brute force, learning, verdicts) and FTRL classifier (held-out accuracy)."""
 
+import math
 import re
+import string
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from compare import SMALL
 
 
@@ -110,3 +114,97 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(None, 1), (5, None), (5, 0)], "key long, label int")
     assert ftrl_quality.sample_keys(labels, 10).count() == 10
     assert ftrl_quality.sample_keys(labels).count() == 100
+
+
+def test_verdicts_against_plain_rules(spark):
+    """A conjunction is planted (many symbols and many capitals together); statistics and verdicts are redone plainly."""
+    r = np.random.default_rng(6)
+    texts, bad = [], []
+    for i in range(900):
+        words = ["".join(r.choice(list("abcdefgh"), int(r.integers(3, 9)))) for _ in range(int(r.integers(55, 90)))]
+        loud, odd = i % 3 == 0, i % 2 == 0
+        words = [w.upper() if loud and r.random() < 0.6 else w for w in words]
+        words = [w + "#" if odd and r.random() < 0.7 else w for w in words]
+        texts.append(" ".join(words))
+        bad.append(loud and odd)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x for x in decision_list.judge(docs, spark.createDataFrame(list(enumerate(bad)), "doc_id long, bad boolean")).collect()}
+    back = {x.doc_id: x.b for x in docs.selectExpr("doc_id", "pmod(xxhash64(cast(doc_id as string)), 3) = 0 as b").collect()}
+    over = lambda a, b: a / b if b else 0.0
+
+    def plain_ratios(t):
+        n, chars, symbols, dups, repeat = plain(t)
+        lines = [x for x in t.split("\n") if x.strip()]
+        return {
+            "symbol_ratio": over(symbols, chars), "upper_ratio": over(sum(c.isupper() for c in t), chars), "dup_line_ratio": over(dups, len(lines)),
+            "mark_ratio": over(sum(c in string.punctuation for c in t), chars), "repeat_ratio": over(repeat, n), "mean_word": over(chars, n),
+        }
+
+    values = [plain_ratios(t) for t in texts]
+    counts = Counter((tuple(sum(v[k] >= x for x in xs) for k, xs in decision_list.LEVELS.items()), back[i], bad[i]) for i, v in enumerate(values))
+    rules = decision_list.learn([(*k, n) for k, n in counts.items()])
+    assert any(len(rule) > 1 for rule in rules)
+    for i, v in enumerate(values):
+        fired = [k for k, rule in enumerate(rules, 1) if all((v[n] >= t) == up for n, t, up in rule)]
+        assert (got[i].rule, got[i].kept) == (fired[0] if fired else 0, not fired and not got[i].base_failed)
+    assert np.mean([got[i].kept != bad[i] for i in range(900)]) > 0.97
+
+
+def plain_ftrl(rows, dims, epochs):
+    """FTRL-proximal coordinate by coordinate, with dictionaries."""
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= ftrl_quality.L1:
+            return 0.0
+        return -(z[k] - math.copysign(ftrl_quality.L1, z[k])) / ((ftrl_quality.BETA + math.sqrt(n[k])) / ftrl_quality.ALPHA + ftrl_quality.L2)
+
+    for _ in range(epochs):
+        for index, value, label in rows:
+            x = {**{int(k): value for k in index}, dims: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - label) * v
+                s = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / ftrl_quality.ALPHA
+                z[k] += g - s * w[k]
+                n[k] += g * g
+    return weight
+
+
+def test_query_against_plain_training(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    at = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i in docs], "doc_id long").selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as h").collect()}
+    order = sorted((i for i in docs if i in labels and not held[i]), key=at.get)
+    make, dims = ftrl_quality.Features(), ftrl_quality.DIMS
+    weight = plain_ftrl([(*make(docs[i]), labels[i]) for i in order], dims, ftrl_quality.EPOCHS)
+    rows = queries.op7_quality_classifier(spark, SMALL).collect()
+    assert len(rows) == len(docs) and len(order) > 20
+    for r in rows:
+        index, value = make(docs[r.doc_id])
+        score = 1 / (1 + math.exp(-(sum(weight(int(k)) for k in index) * value + weight(dims))))
+        assert r.score == pytest.approx(score, abs=1e-5) and r.held_out == held[r.doc_id]
+        assert r.predicted == int(r.score >= 0.3)
+
+
+def test_features_by_definition():
+    """Hashed words and pairs of neighbours, one feature for a word after itself."""
+    mask, mix = (1 << 64) - 1, int(ftrl_quality.MIX)
+    words = re.findall(r"\w+|[^\w\s]+", "a b, b b a a ünï 12")
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    pairs = [7 if x == y else (x * mix & mask) ^ (y >> 17) ^ y for x, y in zip(h, h[1:], strict=False)]
+    want = set()
+    for v in h + [p * mix & mask for p in pairs]:
+        v ^= v >> 29
+        want.add((v * mix & mask) >> 40 & (ftrl_quality.DIMS - 1))
+    index, value = ftrl_quality.Features()("a b, b b a a ünï 12")
+    assert index.tolist() == sorted(want) and value == pytest.approx(ftrl_quality.NORM / math.sqrt(len(want)))
+
+
+def test_repeated_rows_of_a_key_count_once(spark):
+    rows = [(i, f"good clean words {i}" if i % 2 else f"bad *** !!! {i}", i % 2) for i in range(40)]
+    once = ftrl_quality.fit(spark.createDataFrame(rows, "key long, text string, label int"))
+    often = ftrl_quality.fit(spark.createDataFrame(rows + rows[:1] * 3000, "key long, text string, label int"))
+    assert (once[0] == often[0]).all() and once[1] == often[1]
