@@ -346,7 +346,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = chosen.join(docs, "doc_id").select("key", "class", "doc_id", "text")
     texts = materialize(texts.mapInArrow(lambda it: freed(sets_of(it)), "key long, class long, shingles binary"))
     drop_shuffles(spark)
-    sizes = texts.groupBy("class").agg(F.count(F.lit(1)).alias("members"))
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("members"))  # sets, however many rows hold them
     sized = texts.join(sizes, "class")
     small = sized.where(F.col("members") <= BLOCK).withColumns({"task": F.col("class"), "probe": F.lit(False)})
     # a small class is one task, whose links lead to the least key of each component already
