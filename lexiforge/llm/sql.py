@@ -108,5 +108,71 @@ FROM j
 """
 
 
+#: Words, symbols, lines and windows counted anew, each by its definition.
+QUALITY_BASE = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM t),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS dups FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+win AS (SELECT r, i, [ws[i], ws[i + 1], ws[i + 2]] AS x FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+hit AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  coalesce(dups, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM t JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN hit USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+#: Targets by filling up: after each round the sources beyond three times their size are full, and the rest share anew.
+MIX_TARGETS = r"""
+WITH RECURSIVE s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS size FROM documents GROUP BY source),
+k AS (SELECT source, size, 1.0::DOUBLE + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS weight FROM s),
+fill AS (
+  SELECT 0 AS turn, source, size, weight, false AS full_ FROM k
+  UNION ALL
+  SELECT turn + 1, source, size, weight, full_ OR weight * unit >= 3 * size FROM (
+    SELECT *, (sum(size) OVER () - 3 * coalesce(sum(size) FILTER (full_) OVER (), 0)) / sum(weight) FILTER (NOT full_) OVER () AS unit FROM fill)
+  WHERE turn < (SELECT count(*) FROM k)
+), last_ AS (SELECT * FROM fill WHERE turn = (SELECT max(turn) FROM fill))
+SELECT source, size AS source_size, round(CASE WHEN full_ THEN 3.0 * size ELSE weight * (sum(size) OVER () - 3 * coalesce(sum(size) FILTER (full_) OVER (), 0))
+  / sum(weight) FILTER (NOT full_) OVER () END, 6) AS target FROM last_
+"""
+
+
+def pii_base() -> str:
+    """Matches by kind, whose places follow from the texts between them; then the tests of each kind."""
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    place = "list_transform(string_split(reverse(d), ''), lambda c, i: CAST(c AS INTEGER) * (1 + (i + 1) % 2))"
+    good = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right('00' || ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0",
+        "card": "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(luhn, lambda x: x - 9 * CAST(x > 9 AS INTEGER))) % 10 = 0",
+        "phone": "length(d) BETWEEN 9 AND 15",
+    }
+    each = " UNION ALL ".join(
+        f"SELECT r, {k} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS gaps FROM t" for k, (kind, p) in enumerate(kinds.items())
+    )
+    tests = " ".join(f"WHEN '{kind}' THEN {test}" for kind, test in good.items())
+    luhn = f"CASE WHEN kind = 'card' AND length(d) BETWEEN 13 AND 19 THEN {place} END"
+    counts = ", ".join(f"count(kind) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+e AS ({each}),
+f AS (SELECT r, rank, kind, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS i FROM e WHERE len(ms) > 0),
+placed AS (SELECT r, rank, kind, m, {digits} AS d, sum(length(gap) + length(m)) OVER (PARTITION BY r, rank ORDER BY i) AS e_ FROM f),
+g AS (SELECT *, CAST(e_ - length(m) AS BIGINT) AS s_ FROM (SELECT *, {luhn} AS luhn FROM placed) WHERE CASE kind {tests} END),
+j AS (SELECT doc_id, r, rank, kind, s_, CAST(e_ AS BIGINT) AS e_ FROM t LEFT JOIN g USING (r))
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || s_ || ':' || e_, ',' ORDER BY rank, s_), '')) AS base_sha256 FROM j GROUP BY r, doc_id
+"""
+
+
 def oracles(shards: list[str]) -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op5_url_filter": op5(), "op8_ngram_jaccard_join": OP8, "op10_sharding": op10(shards)}
+    whole = {"op1_embedding_near_dedup": OP1, "op5_url_filter": op5(), "op8_ngram_jaccard_join": OP8, "op10_sharding": op10(shards)}
+    return whole | {"quality_base": QUALITY_BASE, "mix_targets": MIX_TARGETS, "pii_base": pii_base()}
