@@ -2,8 +2,9 @@
 
 Texts are split into pre-tokens ("words") in Spark, counted over the whole corpus, and each distinct word of the table
 is encoded once. The table's head, of bounded size and bytes, goes to every task, where ids are joined back by
-position; words beyond the head are encoded where they stand, once in a task. Decoding joins each id with its piece
-and puts the pieces' bytes together. The tokenizer's file is a parameter and is never trained or copied.
+position; words beyond the head are encoded where they stand, once in a task. Decoding joins ids with the table of
+pieces, a row for each id, and puts the pieces' bytes together; for the head's words that is one join in Spark. The
+tokenizer's file is a parameter and is never trained or copied.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -31,10 +32,10 @@ PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}
 #: Characters that every Unicode version of the last years classes alike; a text with others is split by the
 #: tokenizer's own library, whose Unicode tables may be older than Python's.
 STABLE = "\\x00-\u0557\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
-#: Bounds of the table's head: words, characters of a word, and characters of all words together.
+#: Bounds of the table's head, not of the table: words, characters of a word, and characters of all words together.
 HEAD_WORDS, HEAD_WORD_CHARS, HEAD_CHARS = 1 << 17, 48, 4_000_000
-#: Distinct words that a task counts before it hands them on, and that it remembers beyond the head.
-COUNT_FLUSH, TASK_WORDS = 200_000, 200_000
+#: Distinct words and characters of texts after which a task hands its counts on, and words it remembers beyond the head.
+COUNT_FLUSH, COUNT_CHARS, TASK_WORDS = 200_000, 1 << 28, 200_000
 #: Rows of an Arrow batch that become Python objects at a time.
 SLICE = 64
 
@@ -121,25 +122,34 @@ def count_words(docs: DataFrame, source: str) -> DataFrame:
             seen.clear()
             return out
 
+        chars = 0
+
         for _, texts in texts_of(batches):
             for t in texts:
-                seen.update(w for w in codec.words(t) if len(w) <= HEAD_WORD_CHARS)
-            if len(seen) > COUNT_FLUSH:
+                seen.update(codec.words(t))
+                chars += len(t)
+            if len(seen) > COUNT_FLUSH or chars > COUNT_CHARS:
                 yield flush()
+                chars = 0
         yield flush()
 
     return docs.select("text").mapInArrow(lambda it: freed(count(it)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def piece_table(spark: SparkSession, source: str) -> DataFrame:
+    """(id, piece): the bytes of each id of the vocabulary, whose size is fixed."""
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(Codec(source).pieces())], "id int, piece binary")
+
+
 def word_table(docs: DataFrame, source: str, most: int = HEAD_WORDS, chars: int = HEAD_CHARS) -> DataFrame:
-    """(word, n, ids) of the most frequent words, each encoded once.
+    """(word, n, ids, data) of the most frequent words: each encoded once, and data its ids' pieces, joined by id.
 
     Counts fall into 8 classes a doubling; the head is the most frequent classes that fit the bounds together. So a
     histogram of some hundred rows finds it, not a global sort.
     """
     small_batches(docs.sparkSession)
     level = F.floor(F.log2("n") * 8).cast("int")
-    counts = materialize(count_words(docs, source).withColumn("level", level))
+    counts = materialize(count_words(docs, source).withColumn("level", level)).where(F.length("word") <= HEAD_WORD_CHARS)
     least, words, length = 10**9, 0, 0
     levels = counts.groupBy("level").agg(F.count(F.lit(1)).alias("w"), F.sum(F.length("word")).alias("c")).collect()
     for r in sorted(levels, key=lambda r: -r["level"]):
@@ -155,13 +165,17 @@ def word_table(docs: DataFrame, source: str, most: int = HEAD_WORDS, chars: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     head = counts.where(F.col("level") >= least).select("word", "n")
-    return head.mapInArrow(lambda it: freed(encode(it)), "word string, n long, ids array<int>")
+    head = head.mapInArrow(lambda it: freed(encode(it)), "word string, n long, ids array<int>")
+    each = head.select("word", "n", "ids", F.posexplode("ids").alias("at", "id")).join(F.broadcast(piece_table(docs.sparkSession, source)), "id")
+    parts = each.groupBy("word", "n", "ids").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("parts"))
+    data = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x.getField("piece")))
+    return parts.select("word", "n", "ids", data.alias("data"))
 
 
-def with_ids(docs: DataFrame, source: str, fields: str, prepare: Callable, combine: Callable, table: DataFrame | None = None) -> DataFrame:
-    """docs and fields: combine(values) makes a row's fields of the values of its words in order, and
-    prepare(codec)(ids) a word's value, once for each distinct word."""
-    head = {r["word"]: list(r["ids"]) for r in (word_table(docs, source) if table is None else table).toLocalIterator()}
+def with_ids(docs: DataFrame, source: str, fields: str, value: Callable, combine: Callable, table: DataFrame | None = None) -> DataFrame:
+    """docs and fields: combine(values) makes a row's fields of the values of its words in order, and value(ids, data) is
+    a word's, made once for each distinct word of its ids and its pieces' bytes."""
+    head = {r["word"]: (list(r["ids"]), bytes(r["data"])) for r in (word_table(docs, source) if table is None else table).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(head)
     added = StructType.fromDDL(fields)
     names = added.fieldNames()
@@ -172,16 +186,17 @@ def with_ids(docs: DataFrame, source: str, fields: str, prepare: Callable, combi
 
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(source)
-        value = prepare(codec)
+        pieces = codec.pieces()
 
         class Words(dict):
             """Values by word: the head's, and those of other words from their first place in this task on."""
 
             def __missing__(self, word: str) -> object:
-                v = self[word] = value(codec.encode([word])[0])
+                ids = codec.encode([word])[0]
+                v = self[word] = value(ids, b"".join(map(pieces.__getitem__, ids)))
                 return v
 
-        table = {w: value(ids) for w, ids in shared.value.items()}
+        table = {w: value(*x) for w, x in shared.value.items()}
         known = Words(table)
         for part, texts in texts_of(batches, at):
             rows = []
@@ -201,20 +216,23 @@ def encode(docs: DataFrame, source: str, table: DataFrame | None = None) -> Data
     source: the tokenizer's JSON. A null or empty text has no ids; repeated rows get equal ids; docs without rows give
     none. An existing column ids is replaced, others are kept.
     """
-    return with_ids(docs, source, "ids array<int>", lambda _: tuple, lambda values: [[*chain.from_iterable(values)]], table)
+    return with_ids(docs, source, "ids array<int>", lambda ids, _: tuple(ids), lambda values: [[*chain.from_iterable(values)]], table)
 
 
 def decode(encoded: DataFrame, source: str) -> DataFrame:
     """encoded (ids, ...) with decoded string: the bytes of the ids' pieces, read as UTF-8.
 
-    The piece table has one row per id of the vocabulary, a fixed size. Null ids give null; ids outside the vocabulary
-    give nothing; bytes that are no UTF-8 become U+FFFD, as in the library.
+    The piece table has one row per id of the vocabulary, a fixed size, and is sent to every task, where ids are joined
+    with it in their order. Null ids give null; ids outside the vocabulary give nothing; bytes that are no UTF-8 become
+    U+FFFD, as in the library.
     """
+    small_batches(encoded.sparkSession)
+    shared = encoded.sparkSession.sparkContext.broadcast(dict(enumerate(Codec(source).pieces())))
 
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
-        pieces = Codec(source).pieces()
-        return pa.array([None if x is None else b"".join(pieces[i] for i in x if 0 <= i < len(pieces)).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+        piece = shared.value.get
+        return pa.array([None if x is None else b"".join(piece(i, b"") for i in x).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
 
     return encoded.drop("decoded").withColumn("decoded", text_of("ids"))
 
@@ -222,16 +240,15 @@ def decode(encoded: DataFrame, source: str) -> DataFrame:
 def digests(docs: DataFrame, source: str, table: DataFrame | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, made in one pass; nulls and repeats as in encode().
 
-    A word's value is the number of its ids, their decimals, and the bytes of their pieces.
+    A word's value is the decimals of its ids, and the bytes of their pieces.
     """
 
-    def prepare(codec: Codec) -> Callable[[list[int]], tuple[int, str, bytes]]:
-        pieces = codec.pieces()
-        return lambda ids: (len(ids), ",".join(map(str, ids)), b"".join(pieces[i] for i in ids))
+    def value(ids: list[int], data: bytes) -> tuple[str, bytes]:
+        return ",".join(map(str, ids)), data
 
-    def combine(values: list[tuple[int, str, bytes]]) -> list:
-        n, ids, data = zip(*values, strict=True) if values else ((), (), ())
-        text = b"".join(data).decode("utf-8", "replace").encode()
-        return [sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(text).hexdigest()]
+    def combine(values: list[tuple[str, bytes]]) -> list:
+        ids, data = zip(*values, strict=True) if values else ((), ())
+        ids, text = ",".join(ids), b"".join(data).decode("utf-8", "replace").encode()
+        return [ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text).hexdigest()]
 
-    return with_ids(docs, source, "n_tokens long, ids_sha256 string, decoded_sha256 string", prepare, combine, table)
+    return with_ids(docs, source, "n_tokens long, ids_sha256 string, decoded_sha256 string", value, combine, table)
