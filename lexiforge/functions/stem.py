@@ -54,8 +54,11 @@ STEPS: list[list[tuple[str, str, str]]] = [
 ]
 
 
+COMPILED = {name: re.compile(pattern) for name, pattern in CONDITIONS.items()}
+
+
 def stem_word(word: str) -> str | None:
-    """The stem of one word, for the few words of a query."""
+    """The stem of one word, for the words of a query and the distinct words that a task meets."""
     w = word.lower()
     if len(w) < 2 or re.fullmatch("[0-9]+", w):
         return None
@@ -63,15 +66,17 @@ def stem_word(word: str) -> str | None:
         return w
     out = "Y" + w[1:] if w[0] == "y" else w
 
+    def holds(part: str, name: str) -> bool:
+        return COMPILED[name].search(part) is not None
+
     def meets(part: str, name: str) -> bool:
-        holds = {k: bool(re.search(v, part)) for k, v in CONDITIONS.items()}
-        special = {
-            "": True,
-            "m>1 after s or t": holds["m>1"] and part[-1:] in ("s", "t"),
-            "m>1 after l": holds["m>1"] and part[-1:] == "l",
-            "m>1, or m=1 and not cvc": holds["m>1"] or (holds["m>0"] and not holds["cvc"]),
-        }
-        return (special | holds)[name]
+        if name == "m>1 after s or t":
+            return part[-1:] in ("s", "t") and holds(part, "m>1")
+        if name == "m>1 after l":
+            return part[-1:] == "l" and holds(part, "m>1")
+        if name == "m>1, or m=1 and not cvc":
+            return holds(part, "m>1") or (holds(part, "m>0") and not holds(part, "cvc"))
+        return not name or holds(part, name)
 
     for rules in STEPS:
         for suffix, name, by in rules:

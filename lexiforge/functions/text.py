@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ then once here there when where why how all any both each few more most other so
 than too very s t can will just don should now would
 """.split()
 
+STOPS, LETTERS = frozenset(STOP_WORDS), regex.compile(r"\p{L}+")
 #: Characters around a token in a snippet, and snippets kept of a posting.
 AROUND, MOST_SNIPPETS = 150, 3
 NO_PREVIEW, NO_CONTENT = "No preview available", "Relevant content not available"
@@ -37,6 +40,12 @@ def kept(text: Column) -> Column:
     return F.filter(tokens(text), lambda x: ~x.isin(STOP_WORDS) & (F.length(x) > 1))
 
 
+def kept_tokens(text: str | None) -> list[str]:
+    """kept() of one text, for Arrow batches."""
+    runs = LETTERS.findall(text or "")
+    return [t for t in (r.lower() for r in runs if r.isascii()) if t not in STOPS and len(t) > 1]
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 in lower-case hex without leading zeros."""
     return F.regexp_replace(F.sha2(text, 256), "^0+", "")
@@ -93,6 +102,14 @@ def best_three(snippets: Column) -> Column:
     return F.when(F.size(snippets) <= MOST_SNIPPETS, snippets).otherwise(ranked)
 
 
+def best_three_of(snippets: list[str]) -> list[str]:
+    """best_three() of one list."""
+    if len(snippets) <= MOST_SNIPPETS:
+        return snippets
+    keyed = ((("." not in s), -len(s), i) for i, s in enumerate(snippets))
+    return [snippets[i] for *_, i in heapq.nsmallest(MOST_SNIPPETS, keyed)]
+
+
 def first_best(items: Column, score: Callable[[Column], Column]) -> Column:
     """The item with the highest score; of equal scores the first."""
     keyed = F.transform(items, lambda s, i: F.struct((-score(s)).alias("a"), i.alias("b"), s.alias("s")))
@@ -118,6 +135,14 @@ def central_score(s: Column, term: Column) -> Column:
     return F.when(at >= 0, near + F.when(marked, 50).otherwise(0)).otherwise(0)
 
 
+def joined_snippets(snippets: Column, terms: list[str]) -> Column:
+    """Several terms' snippets in one line: for each term the one with the highest central_score (the first of equals),
+    each once, three at most. A single snippet stands alone; without any there is no preview."""
+    each = F.array_distinct(F.array(*[first_best(snippets, lambda s, t=t: central_score(s, F.lit(t))) for t in terms]))
+    out = F.array_join(F.slice(each, 1, MOST_SNIPPETS), " ... | ... ")
+    return F.when(F.coalesce(F.size(snippets), F.lit(0)) <= 0, NO_PREVIEW).otherwise(out)
+
+
 def phrase_score(s: Column, terms: list[str]) -> Column:
     """100 for the whole phrase, 50 for its terms in order, 20 for each marked term."""
     low = F.lower(s)

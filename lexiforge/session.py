@@ -26,10 +26,19 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share; only a local session may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lexiforge-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir: a cut lineage that outlives executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiforge-")
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: a cut lineage that outlives executors."""
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
