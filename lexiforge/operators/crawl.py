@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import html, urls
+from ..session import written
+from . import maintain
 
 #: The crawler's name in robots files, links admitted of a page, pages of a crawl.
 AGENT, MOST_LINKS, MOST_PAGES = "MyWebCrawler/1.0", 35, 700
@@ -21,10 +27,15 @@ def seeds(lines: DataFrame) -> DataFrame:
 
 
 def frontier_order(frontier: DataFrame) -> DataFrame:
-    """frontier (seq, url, domain) with turn and place: domains take turns in alphabetical order, each in its own order
-    of seq. place is dense over the whole frontier; it comes from a sort by range, not from one task."""
-    turn = F.row_number().over(Window.partitionBy("domain").orderBy("seq", "url"))
-    return frontier.withColumn("turn", turn).orderBy("turn", "domain")
+    """frontier (seq, url, domain) with turn: domains take turns in alphabetical order, each in its own order of seq."""
+    return maintain.number(frontier, ["seq", "url"], "turn", ["domain"]).withColumn("turn", F.col("turn").cast("int")).orderBy("turn", "domain")
+
+
+def by_priority(links: DataFrame) -> DataFrame:
+    """(url, link_score) of links (page_id, url): a target's score is the number of pages that link to it, the highest
+    come first, equals by url."""
+    scores = links.select("page_id", "url").distinct().groupBy("url").agg(F.count(F.lit(1)).alias("link_score"))
+    return scores.orderBy(F.desc("link_score"), "url")
 
 
 def out_links(pages: DataFrame) -> DataFrame:
@@ -76,16 +87,42 @@ def robots_allowed(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow", "key", "path")
 
 
+def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (domain, ms) in order, a domain's in one piece: (domain, average, successes) of each domain."""
+    now, average, count, out = None, None, 0, []
+
+    def rows() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["domain", "average", "successes"])
+
+    kind = pa.null()
+    for b in batches:
+        kind = b.column(0).type
+        for domain, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if count and domain != now:
+                out.append((now, average, count))
+                average, count = None, 0
+            now, count = domain, count + 1
+            average = int(ms) if average is None else int(average * 0.7 + ms * 0.3)
+        if len(out) > 10_000:
+            yield rows()
+    if count:
+        out.append((now, average, count))
+    if out:
+        yield rows()
+
+
 def response_averages(responses: DataFrame) -> DataFrame:
     """(domain, average, successes) of responses (domain, at, seq, ms): the first time as it is, then
     int(0.7 average + 0.3 ms), cut at each step, in the order of at and seq.
 
-    The fold needs a domain's responses in order; they are one array of small numbers per domain. Streams keep the
-    average as state instead (streaming.averages).
+    The cut makes each step depend on the one before, so a domain's responses pass one task in order, sorted and spilled
+    by Spark and one at a time; none are held. Streams keep the average as state instead (streaming.averages).
     """
-    ordered = responses.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "ms"))).alias("r"))
-    fold = F.aggregate("r", F.lit(-1), lambda avg, x: F.when(avg < 0, x.getField("ms").cast("int")).otherwise((avg * 0.7 + x.getField("ms") * 0.3).cast("int")))
-    return ordered.select("domain", fold.alias("average"), F.size("r").cast("long").alias("successes"))
+    spread = responses.select("domain", "at", "seq", "ms").where("ms is not null").repartition("domain").sortWithinPartitions("domain", "at", "seq")
+    schema = StructType([spread.schema["domain"], StructField("average", IntegerType()), StructField("successes", LongType())])
+    return spread.select("domain", F.col("ms").cast("double").alias("ms")).mapInArrow(fold, schema)
 
 
 def adaptive_delay(average: Column, successes: Column) -> Column:
@@ -95,10 +132,17 @@ def adaptive_delay(average: Column, successes: Column) -> Column:
 
 
 def access_wait(accesses: DataFrame, delay: int = DELAY) -> DataFrame:
-    """accesses (domain, at, seq) with wait: milliseconds until delay has passed since the domain's access before."""
-    before = F.lag("at").over(Window.partitionBy("domain").orderBy("at", "seq"))
-    passed = F.unix_millis(F.col("at").cast("timestamp")) - F.unix_millis(before.cast("timestamp"))
-    return accesses.withColumn("wait", F.greatest(F.lit(0), F.coalesce(delay - passed, F.lit(0))).cast("long"))
+    """accesses (domain, at, seq) with wait: milliseconds until delay has passed since the domain's access before.
+
+    Accesses are numbered by domain and each meets the one before by (domain, number), so that a busy domain is spread
+    over tasks.
+    """
+    numbered = written(maintain.number(accesses, ["at", "seq"], "turn_", ["domain"]))
+    before = numbered.select(F.col("domain").alias("domain_"), (F.col("turn_") + 1).alias("next_"), F.col("at").alias("before_"))
+    both = numbered.join(before, F.col("domain").eqNullSafe(F.col("domain_")) & (F.col("turn_") == F.col("next_")), "left")
+    passed = F.unix_millis(F.col("at").cast("timestamp")) - F.unix_millis(F.col("before_").cast("timestamp"))
+    wait = F.greatest(F.lit(0), F.coalesce(delay - passed, F.lit(0))).cast("long")
+    return both.withColumn("wait", wait).drop("turn_", "domain_", "next_", "before_")
 
 
 def outcome(allowed: Column, fetched: Column, is_html: Column, duplicate: Column) -> Column:
@@ -119,8 +163,9 @@ def latest(events: DataFrame, key: str, at: str, n: int = 10) -> DataFrame:
 
 
 def crawl_round(frontier: DataFrame, visited: DataFrame, store: DataFrame, rules: DataFrame, most_pages: int = MOST_PAGES) -> tuple[DataFrame, DataFrame]:
-    """(pages, next frontier) of one round: allowed and unvisited URLs in turn are looked up in the page store
+    """(pages, next frontier) of one round: allowed and unvisited URLs, each once, in turn are looked up in the page store
     (page_id, url, html), and their links are admitted."""
+    frontier = frontier.groupBy("url").agg(F.min("seq").alias("seq"), F.min("domain").alias("domain")).select("seq", "url", "domain")
     todo = robots_allowed(frontier.join(visited.select("url"), "url", "left_anti"), rules).where("allowed").drop("allowed")
     todo = frontier_order(todo).limit(most_pages)
     known = store.withColumn("key_", urls.normalize(F.col("url"))).where("key_ is not null")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..session import written
 from .index import dictionary
 
 
@@ -66,10 +67,22 @@ def highest(table: DataFrame, key: str) -> DataFrame:
     return table.agg(F.max(key).alias(key))
 
 
-def number(table: DataFrame, order: str, to: str = "n") -> DataFrame:
-    """Consecutive numbers from 1 in the order of a column, by range partitions and their counts, not in one task."""
-    spread = table.repartitionByRange(order).withColumn("part_", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("part_").orderBy(order))
-    counts = spread.groupBy("part_").count()
-    offset = F.coalesce(F.sum("count").over(Window.partitionBy().orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spread.withColumn(to, inside).join(F.broadcast(counts.withColumn("offset_", offset)), "part_").withColumn(to, F.col(to) + F.col("offset_")).drop("part_", "count", "offset_")
+def number(table: DataFrame, order: list[str], to: str = "n", within: list[str] | None = None) -> DataFrame:
+    """table with consecutive numbers from 1 in the order of some columns, for each group of within (or throughout).
+
+    Ranges of (within, order) are written with their numbers, so that every reader sees the same; a row's number is its
+    place in its range and the rows of its group in ranges before. So a group of any size is spread over tasks. Equal
+    rows of order get numbers of no certain order, and nulls come first.
+    """
+    group = within or []
+    spread = written(table.repartitionByRange(*group, *order).withColumn("part_", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("part_", *group).orderBy(*order))
+    counts = spread.groupBy("part_", *group).agg(F.count(F.lit(1)).alias("rows_"))
+    before = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("offset_", F.coalesce(F.sum("rows_").over(before), F.lit(0))).drop("rows_")
+    counts = counts.withColumnsRenamed({c: f"{c}_of" for c in ["part_", *group]})
+    same = F.col("part_") == F.col("part__of")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    out = spread.withColumn(to, inside).join(counts, same)
+    return out.withColumn(to, (F.col(to) + F.col("offset_")).cast("long")).drop("part_", "offset_", *[f"{c}_of" for c in ["part_", *group]])

@@ -145,3 +145,27 @@ def test_part_graph(spark):
     lineitem = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string")
     pages = graph.part_follow_pages(spark, lineitem, spark.createDataFrame([(5,), (6,), (7,)], "p_partkey long"))
     assert {r.url: r.links for r in pages.collect()} == {"5": ["6"], "6": ["5"], "7": None}
+
+
+def test_priority(spark):
+    links = [(1, "http://a/"), (1, "http://a/"), (2, "http://a/"), (2, "http://b/"), (1, "http://c/")]
+    got = crawl.by_priority(spark.createDataFrame(links, "page_id long, url string")).collect()
+    assert [(r.url, r.link_score) for r in got] == [("http://a/", 2), ("http://b/", 1), ("http://c/", 1)]
+
+
+def test_a_busy_domain_waits_and_takes_turns(spark):
+    rows = [("busy", 100 * i, i) for i in range(3000)] + [("calm", 0, 1), ("calm", 10_000, 2), (None, 5, 9)]
+    df = spark.createDataFrame(rows, "domain string, ms long, seq long").withColumn("at", F.timestamp_millis("ms"))
+    got = {(r.domain, r.seq): r.wait for r in crawl.access_wait(df).collect()}
+    assert len(got) == len(rows) and got["busy", 0] == got["calm", 1] == got["calm", 2] == got[None, 9] == 0
+    assert all(got["busy", i] == 400 for i in range(1, 3000))
+    turns = crawl.frontier_order(df.select("seq", F.col("seq").cast("string").alias("url"), "domain")).collect()
+    assert {(r.domain, r.seq): r.turn for r in turns} == {**{("busy", i): i + 1 for i in range(3000)}, ("calm", 1): 1, ("calm", 2): 2, (None, 9): 1}
+
+
+def test_a_round_fetches_a_url_once(spark):
+    store = spark.createDataFrame([(1, "http://a.com/1", "x"), (2, "http://a.com/2", "y")], "page_id long, url string, html string")
+    frontier = spark.createDataFrame([(k, f"http://a.com/{1 + k % 2}", "a.com") for k in range(10)], "seq long, url string, domain string")
+    rules = crawl.robots_rules(spark.createDataFrame([], "key string, text string"))
+    pages, _ = crawl.crawl_round(frontier, spark.createDataFrame([], "url string"), store, rules, 5)
+    assert sorted(r.page_id for r in pages.collect()) == [1, 2]
