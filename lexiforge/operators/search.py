@@ -1,7 +1,8 @@
-"""Queries over an index: bags of words, conjunctions, phrases and their combinations; ranking and paging.
+"""Queries over an index: bags of words, conjunctions, phrases and their combinations; ranking, previews and paging.
 
-A query's plan is lazy: candidates are rows (doc_id, term, tf, in_title, idf, qtf), whose weighted sum is the relevance.
-Postings are filtered by literal words, which reaches the Parquet scan.
+A query's plan is lazy: candidates are rows (doc_id, term, tf, in_title, idf, qtf, importance), whose weighted sum is the
+relevance. Postings are filtered by literal words, which reaches the Parquet scan. Snippets are read for ranked documents
+only, after the limit.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 from ..functions.stem import stem_word
-from ..plans.parser import Bag, Both, Phrase, Query, parse
+from ..plans.parser import Bag, Both, Phrase, Query, parse, words_of
 from .index import Index
 
 #: Shares of relevance and popularity in a score, the boost of a word in the title, hits of a page; fixed values.
 RELEVANCE, POPULARITY, TITLE, PAGE = 0.7, 0.3, 2.0, 10
-TERM = "doc_id, term, tf, in_title, idf, qtf".split(", ")
+TERM = "doc_id, term, tf, in_title, idf, qtf, importance".split(", ")
+#: Importance of a phrase is 1, and this for each time that it occurs; a fixed value.
+PER_PHRASE = 0.1
 
 
 def stem_words(words: tuple[str, ...], stemmed: bool = True) -> list[str]:
@@ -33,7 +37,7 @@ def term_candidates(index: Index, words: list[str]) -> DataFrame:
     qtf = F.lit(0)
     for w, n in sorted(times.items()):
         qtf = F.when(F.col("word") == w, n).otherwise(qtf)
-    hits = index.postings.where(F.col("word").isin(sorted(times))).select("word", "doc_id", "tf", "in_title")
+    hits = index.postings.where(F.col("word").isin(sorted(times))).select("word", "doc_id", "tf", "in_title", F.col("importance_score").alias("importance"))
     idf = index.dictionary.where(F.col("word").isin(sorted(times))).select("word", "idf")
     return hits.join(F.broadcast(idf), "word", "left").withColumn("qtf", qtf).withColumnRenamed("word", "term").select(TERM)
 
@@ -74,7 +78,8 @@ def phrase_candidates(index: Index, words: list[str], phrase_tf: str = "length")
     idf = F.log(F.col("n_docs") / (1 + F.col("found")))
     tf = F.lit(0.0) if phrase_tf == "zero" else F.when(F.col("length") == 0, 0.0).otherwise(F.col("count") / F.col("length"))
     out = hits.join(F.broadcast(found)).join(F.broadcast(n))
-    return out.select("doc_id", F.lit(" ".join(words)).alias("term"), tf.alias("tf"), "in_title", idf.alias("idf"), F.lit(1).alias("qtf"))
+    importance = 1 + PER_PHRASE * F.col("count")
+    return out.select("doc_id", F.lit(" ".join(words)).alias("term"), tf.alias("tf"), "in_title", idf.alias("idf"), F.lit(1).alias("qtf"), importance.alias("importance"))
 
 
 def combine(kind: str, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -90,9 +95,9 @@ def combine(kind: str, left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(0)))
     if kind == "AND":
         both = both.join(ids, "doc_id", "left_semi")
-    best = F.max_by(F.struct("tf", "in_title", "idf"), F.struct("tf", "side"))
+    best = F.max_by(F.struct("tf", "in_title", "idf", "importance"), F.struct("tf", "side"))
     merged = both.groupBy("doc_id", "term").agg(best.alias("b"), F.sum("qtf").cast("int").alias("qtf"))
-    return merged.select("doc_id", "term", "b.tf", "b.in_title", "b.idf", "qtf")
+    return merged.select("doc_id", "term", "b.tf", "b.in_title", "b.idf", "qtf", "b.importance")
 
 
 def candidates(index: Index, q: Query, stemmed: bool = True, phrase_tf: str = "length") -> DataFrame:
@@ -105,21 +110,63 @@ def candidates(index: Index, q: Query, stemmed: bool = True, phrase_tf: str = "l
 
 
 def rank(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, relevance, popularity, score, url, title), best first; equal scores by doc_id.
+    """(doc_id, relevance, popularity, score, url, title, publish_date, terms), best first; equal scores by doc_id. terms
+    are the query's terms that the document has.
 
     relevance = sum of qtf * tf * idf, doubled for words in the title; score = 0.7 relevance + 0.3 popularity.
     """
     part = F.col("qtf") * F.col("tf") * F.coalesce("idf", F.lit(0.0)) * F.when(F.col("in_title"), TITLE).otherwise(1.0)
-    relevance = found.groupBy("doc_id").agg(F.sum(part).alias("relevance"))
-    out = relevance.join(docs.select("doc_id", "url", "title", F.coalesce("popularity", F.lit(0.0)).alias("popularity")), "doc_id")
+    relevance = found.groupBy("doc_id").agg(F.sum(part).alias("relevance"), F.array_sort(F.collect_set("term")).alias("terms"))
+    date = text.publish_date(F.col("timestamp")) if "timestamp" in docs.columns else F.lit("")
+    known = docs.select("doc_id", "url", "title", F.coalesce("popularity", F.lit(0.0)).alias("popularity"), date.alias("publish_date"))
     score = RELEVANCE * F.col("relevance") + POPULARITY * F.col("popularity")
-    return out.withColumn("score", score).orderBy(F.desc("score"), "doc_id")
+    out = relevance.join(known, "doc_id").withColumn("score", score)
+    return out.select("doc_id", "relevance", "popularity", "score", "url", "title", "publish_date", "terms").orderBy(F.desc("score"), "doc_id")
 
 
-def search(index: Index, query: str, limit: int | None = None, stemmed: bool = True, phrase_tf: str = "length") -> DataFrame:
-    """Ranked documents of a query; an empty query, or one of unknown words, has none."""
-    out = rank(candidates(index, parse(query), stemmed, phrase_tf), index.docs)
-    return out if limit is None else out.limit(limit)
+def matches(q: Query, stemmed: bool) -> Column:
+    """Whether a document whose terms are known meets q."""
+    if isinstance(q, Both):
+        left, right = matches(q.left, stemmed), matches(q.right, stemmed)
+        return {"AND": left & right, "OR": left | right, "NOT": left}[q.kind]
+    words = stem_words(q.words, stemmed)
+    if isinstance(q, Phrase) and len(words) > 1:
+        return F.array_contains("terms", " ".join(words))
+    return F.exists("terms", lambda t: t.isin(words))
+
+
+def preview(q: Query, stemmed: bool) -> Column:
+    """The snippet to show, of a document's snippets by word (shown): the left side's of a combination if the document
+    meets it; the first matching word's best for a bag; one that the phrase's words share for a phrase."""
+    if isinstance(q, Both):
+        left, right = preview(q.left, stemmed), preview(q.right, stemmed)
+        return F.when(matches(q.left, stemmed), left).otherwise(right) if q.kind == "OR" else left
+    words = stem_words(q.words, stemmed)
+    if isinstance(q, Phrase) and len(words) > 1:
+        return text.phrase_snippet([F.col("shown")[w] for w in words], words)
+    out = F.lit(text.NO_PREVIEW)
+    for w in reversed(words):
+        out = F.when(F.col("shown")[w].isNotNull(), text.best_snippet(F.col("shown")[w], F.lit(w))).otherwise(out)
+    return out
+
+
+def with_previews(index: Index, ranked: DataFrame, q: Query, stemmed: bool = True) -> DataFrame:
+    """ranked with snippet, in which all of the query's words are marked as they were asked for."""
+    words = sorted(set(stem_words(words_of(q), stemmed)))
+    hits = index.postings.where(F.col("word").isin(words)).select("doc_id", "word", "snippets")
+    hits = hits.join(ranked.select("doc_id"), "doc_id", "left_semi")
+    shown = hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "snippets"))).alias("shown"))
+    snippet = text.highlight(F.coalesce(preview(q, stemmed), F.lit(text.NO_PREVIEW)), list(words_of(q)))
+    return ranked.join(shown, "doc_id", "left").withColumn("snippet", snippet).drop("shown").orderBy(F.desc("score"), "doc_id")
+
+
+def search(index: Index, query: str, limit: int | None = None, stemmed: bool = True, phrase_tf: str = "length", previews: bool = True) -> DataFrame:
+    """Ranked documents of a query; an empty query, or one of unknown words, has none. With previews (of an index that has
+    snippets) also a snippet."""
+    q = parse(query)
+    out = rank(candidates(index, q, stemmed, phrase_tf), index.docs)
+    out = out if limit is None else out.limit(limit)
+    return with_previews(index, out, q, stemmed) if previews and "snippets" in index.postings.columns else out
 
 
 def page(ranked: DataFrame, number: int, size: int = PAGE) -> DataFrame:
@@ -130,12 +177,37 @@ def page(ranked: DataFrame, number: int, size: int = PAGE) -> DataFrame:
     return ranked_top.where(F.col("rank") > (number - 1) * size).join(F.broadcast(pages))
 
 
-def query_input(index: Index, words: list[str]) -> DataFrame:
-    """One JSON row per candidate document: term_stats and metadata, and the terms' global statistics."""
-    found = term_candidates(index, words)
-    stats = F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", F.struct("tf", "in_title")))))
-    idf = F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "idf"))))
-    each = found.groupBy("doc_id").agg(stats.alias("term_stats"), idf.alias("term_idf")).join(index.docs, "doc_id")
-    meta = F.struct("popularity", "length", F.col("url").alias("URL"), "title")
-    terms = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    return each.select("doc_id", F.to_json(F.struct(terms.alias("query_terms"), "term_stats", meta.alias("metadata"), "term_idf")).alias("json"))
+def query_terms(q: Query, stemmed: bool = True) -> list[str]:
+    """The terms of a query, a phrase as one, left before right and each once."""
+    if isinstance(q, Both):
+        return list(dict.fromkeys(query_terms(q.left, stemmed) + query_terms(q.right, stemmed)))
+    words = stem_words(q.words, stemmed)
+    return [" ".join(words)] if isinstance(q, Phrase) and len(words) > 1 else list(dict.fromkeys(words))
+
+
+def query_input(index: Index, query: str, stemmed: bool = True, phrase_tf: str = "length") -> DataFrame:
+    """(doc_id, json): what ranking a candidate document takes, in the key names of the ranking service: query_terms,
+    candidate_documents (the row's one), and global_stats, the same in every row.
+
+    global_stats counts the words of the query and its phrases, whose idf and number of documents come from their hits.
+    """
+    q = parse(query)
+    found, words = candidates(index, q, stemmed, phrase_tf), sorted(set(stem_words(words_of(q), stemmed)))
+    stats = F.struct("tf", "in_title", F.col("importance").alias("importance_score"))
+    each = found.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", stats.alias("s"))))).alias("term_stats"))
+    each = each.join(index.docs, "doc_id").withColumns({"terms": F.map_keys("term_stats"), "score": F.lit(0.0)})
+    each = with_previews(index, each, q, stemmed) if "snippets" in index.postings.columns else each.withColumn("snippet", F.lit(None).cast("string"))
+    meta = F.struct("popularity", "length", text.publish_date(F.col("timestamp")).alias("publish_date"), F.col("url").alias("URL"), "title", "snippet")
+    n = index.dictionary.select("n_docs").limit(1)
+    counted = index.dictionary.where(F.col("word").isin(words)).select("word", F.col("doc_count").cast("long").alias("n"), "idf")
+    for term in query_terms(q, stemmed):
+        if " " in term:
+            hits = phrase_hits(index, term.split(" ")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n))
+            counted = counted.union(hits.select(F.lit(term), "n", F.log(F.col("n_docs") / (1 + F.col("n")))))
+    of = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", c))))
+    known = counted.agg(of("n").alias("docs_containing_term"), of("idf").alias("term_idf")).join(F.broadcast(n))
+    stats = F.struct(F.col("n_docs").alias("total_docs"), "docs_containing_term", "term_idf")
+    one = F.create_map(F.col("doc_id").cast("string"), F.struct("term_stats", meta.alias("metadata")))
+    asked = F.array(*[F.lit(t) for t in query_terms(q, stemmed)]).cast("array<string>")
+    whole = F.struct(asked.alias("query_terms"), one.alias("candidate_documents"), stats.alias("global_stats"))
+    return each.join(F.broadcast(known)).select("doc_id", F.to_json(whole).alias("json"))

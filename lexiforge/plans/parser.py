@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from ..functions.text import STOP_WORDS
+from ..functions.text import kept_tokens
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,7 @@ Query = Bag | Phrase | Both
 
 def analyse(text: str) -> tuple[str, ...]:
     """Kept tokens of a query, in order and with repeats, as documents are analysed (before stemming)."""
-    runs = re.findall(r"[^\W\d_]+", text)
-    return tuple(t for t in (r.lower() for r in runs if r.isascii()) if t not in STOP_WORDS and len(t) > 1)
+    return tuple(kept_tokens(text))
 
 
 def phrase(text: str) -> Query:

@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..operators import crawl, graph, index, maintain, search
+from ..session import shared_path, written
+from ..sources import files
 from ..sources.files import read_table
 from . import sql
 from .parser import analyse
 
 #: Iterations of the PageRank queries, whose SQL is unrolled.
 ITERATIONS = 10
+#: Iterations within which the fixture graph converges, for the unrolled SQL.
+CONVERGED = 40
 TERMS, REPEATED, TITLED, BLENDED = "tion thing thon", "tion thing tion anea", "en th la de", "small green antique"
 PHRASE, LEFT, RIGHT = '"thanedble anea"', '"de la"', '"la de"'
+SHORT, THREE, QUERY, JOINED = '"the thing"', '"de la" OR "la de" NOT "thing thon"', '"de la" OR "thing"', "tion thing"
+MARKED, CONTENT_TYPES = ["la", "de", "thing", "Tion"], ["text/html; charset=utf-8", "TEXT/HTML", " text/html", "image/png", "", "application/xhtml+xml"]
 #: Robots files; a site gets one by the length of its key.
 ROBOTS = [
     "User-agent: *\nDisallow: /en/\nAllow: /en/7\nCrawl-delay: 2\n",
@@ -55,24 +61,24 @@ def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(index.postings(index.positions(documents(spark, d))), "tf").select("doc_id", "word", "frequency", "length", "tf")
+    return rounded(index.postings(documents(spark, d)), "tf").select("doc_id", "word", "frequency", "length", "tf")
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    return index.positions(documents(spark, d)).select("doc_id", "position", "word")
+    return index.positions(index.postings(documents(spark, d)))
 
 
 def doc_frequency_idf(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(index.dictionary(index.postings(index.positions(documents(spark, d)))), "idf").select("word", "doc_count", "idf")
+    return rounded(index.dictionary(index.postings(documents(spark, d))), "idf").select("word", "doc_count", "idf")
 
 
 def forward_index(spark: SparkSession, d: str) -> DataFrame:
-    out = index.forward(index.postings(index.positions(documents(spark, d))))
+    out = index.forward(index.postings(documents(spark, d)))
     return out.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
 def weighted_postings(spark: SparkSession, d: str) -> DataFrame:
-    out = rounded(index.postings(index.positions(pages(spark, d))), "tf").drop("title_length")
+    out = rounded(index.postings(pages(spark, d)), "tf").drop("title_length")
     return positions_as_text(out)
 
 
@@ -114,21 +120,26 @@ def snippets_top3(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "word", F.sha2(F.array_join("snippets", "|"), 256).alias("snippets_sha256"), F.size("snippets").alias("n"))
 
 
+def built(spark: SparkSession, d: str) -> index.Index:
+    """An index of the documents without snippets, for queries that show none."""
+    return index.build(documents(spark, d), shown=False)
+
+
 def results(query: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: ranking(search.search(index.build(documents(spark, d)), query))
+    return lambda spark, d: ranking(search.search(built(spark, d), query))
 
 
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
-    return ranking(search.search(index.build(documents(spark, d)), TERMS, 10))
+    return ranking(search.search(built(spark, d), TERMS, 10))
 
 
 def search_conjunctive(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build(documents(spark, d))
+    ix = built(spark, d)
     return search.conjunctive(ix, search.stem_words(("tion", "thing", "anea")))
 
 
 def search_titled(spark: SparkSession, d: str) -> DataFrame:
-    return ranking(search.search(index.build(pages(spark, d)), TITLED))
+    return ranking(search.search(index.build(pages(spark, d), shown=False), TITLED))
 
 
 def part_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -138,11 +149,11 @@ def part_ranks(spark: SparkSession, d: str) -> DataFrame:
 def search_blended(spark: SparkSession, d: str) -> DataFrame:
     parts = read_table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
     popularity = part_ranks(spark, d).select(F.col("url").cast("long").alias("doc_id"), F.col("pr").alias("popularity"))
-    return ranking(search.search(index.build(index.fields_of_documents(parts), popularity), BLENDED))
+    return ranking(search.search(index.build(index.fields_of_documents(parts), popularity, shown=False), BLENDED))
 
 
 def page_results(spark: SparkSession, d: str) -> DataFrame:
-    ranked = search.search(index.build(documents(spark, d)), TERMS)
+    ranked = search.search(built(spark, d), TERMS)
     ranked = ranked.withColumn("score", F.round("score", 9))
     return search.page(ranked, 2).select("rank", "doc_id", "score", "pages")
 
@@ -164,12 +175,11 @@ def pagerank_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def index_reindex(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents have changed: their postings are replaced in a built index, and the dictionary follows."""
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    old = index.postings(index.positions(index.fields_of_documents(docs)))
+    docs, old = read_table(spark, d, "documents").select("doc_id", "text"), built(spark, d)
     labelled = read_table(spark, d, "labels").select("doc_id").distinct()
-    changed = maintain.to_clean(labelled, index.forward(old))
+    changed = written(maintain.to_clean(labelled, old.docs))
     new = docs.join(changed, "doc_id", "left_semi").withColumn("text", F.concat_ws(" ", "text", F.lit("refreshed pages")))
-    _, words = maintain.replace(old, changed, index.postings(index.positions(index.fields_of_documents(new))))
+    _, words = maintain.replace(old.postings, changed, written(index.postings(index.fields_of_documents(new))))
     return rounded(words, "idf").select("word", "doc_count", "idf")
 
 
@@ -237,16 +247,130 @@ def publish_date(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").select("event_id", text.publish_date(F.unix_millis(F.col("ts").cast("timestamp"))).alias("day"))
 
 
+def timed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, fetched a day apart from the start of 2024 on."""
+    day = F.lit(1704067200000) + F.col("doc_id") * 86_400_000
+    return index.fields_of_documents(read_table(spark, d, "documents").select("doc_id", "text", day.alias("timestamp")))
+
+
+def shown(query: str, limit: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """Results with their snippets and dates."""
+    return lambda spark, d: search.search(index.build(timed(spark, d)), query, limit).select("doc_id", F.round("score", 9).alias("score"), "snippet", "publish_date")
+
+
+def search_json(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents as JSON, read again."""
+    out = files.to_json(search.search(index.build(timed(spark, d)), TERMS, 10))
+    of = lambda k: F.get_json_object("json", f"$.{k}")
+    return out.select(of("docId").cast("long").alias("doc_id"), of("snippet").alias("snippet"), of("publishDate").alias("publish_date"))
+
+
+def search_saved(spark: SparkSession, d: str) -> DataFrame:
+    """A search on an index that was saved and loaded."""
+    path = shared_path(spark, "index")
+    built(spark, d).save(path)
+    return ranking(search.search(index.Index.load(spark, path), TERMS, 10))
+
+
+def query_input(spark: SparkSession, d: str) -> DataFrame:
+    """What ranking a phrase or a word takes, as JSON, read again."""
+    out = search.query_input(index.build(timed(spark, d)), QUERY)
+    term = "struct<tf:double,in_title:boolean,importance_score:double>"
+    doc = f"struct<term_stats:map<string,{term}>,metadata:struct<popularity:double,length:int,publish_date:string,URL:string,title:string,snippet:string>>"
+    stats = "struct<total_docs:long,docs_containing_term:map<string,long>,term_idf:map<string,double>>"
+    read = F.from_json("json", f"struct<query_terms:array<string>,candidate_documents:map<string,{doc}>,global_stats:{stats}>")
+    out = out.withColumn("j", read).withColumns({"c": F.element_at("j.candidate_documents", F.col("doc_id").cast("string")), "g": F.col("j.global_stats")})
+    out = out.select("doc_id", F.array_join("j.query_terms", "|").alias("query_terms"), "c", "g", F.explode("c.term_stats").alias("term", "t"))
+    return out.select(
+        "doc_id", "query_terms", "term", F.round("t.tf", 9).alias("tf"), "t.in_title", F.round("t.importance_score", 9).alias("importance"), "c.metadata.length",
+        "c.metadata.publish_date", "g.total_docs", F.element_at("g.docs_containing_term", F.col("term")).alias("docs"), F.round(F.element_at("g.term_idf", F.col("term")), 9).alias("idf"),
+    )
+
+
+def nested_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The export form, in figures: of each word its documents, the first and last of them, and all occurrences."""
+    ix = index.build(pages(spark, d))
+    out = index.nested(ix.postings, ix.dictionary, ix.docs)
+    p = F.col("postings")
+    return out.select(
+        "word", "doc_count", F.size(p).alias("n"), F.get(p, F.lit(0)).getField("doc_id").alias("first"), F.element_at(p, -1).getField("url").alias("last_url"),
+        F.aggregate(p, F.lit(0), lambda a, x: a + x.getField("frequency")).alias("occurrences"), F.get(F.get(p, F.lit(0)).getField("snippets"), F.lit(0)).isNotNull().alias("shown"),
+    )
+
+
+def snippets_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Two words' best snippets of each document that has both, in one line."""
+    words = search.stem_words(analyse(JOINED))
+    at = index.snippets(documents(spark, d)).where(F.col("word").isin(words)).groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("word", "snippets"))).getField("snippets")).alias("s"), F.count("*").alias("n"))
+    return at.where(F.col("n") == len(words)).select("doc_id", text.joined_snippets(F.col("s"), words).alias("joined"))
+
+
+def highlighted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with some words marked."""
+    return read_table(spark, d, "documents").select("doc_id", F.sha2(text.highlight(F.col("text"), MARKED), 256).alias("marked_sha256"))
+
+
+def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of the part-follow graph when no rank changes any more."""
+    return rounded(graph.pagerank(graph.part_follow_pages(spark, read_table(spark, d, "lineitem"), read_table(spark, d, "part"))), "pr", digits=12)
+
+
+def document_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents numbered by length, throughout and within their source."""
+    docs = read_table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return maintain.number(maintain.number(docs, ["n_chars", "doc_id"]), ["n_chars", "doc_id"], "n_source", ["source"]).select("doc_id", "n", "n_source")
+
+
+def highest_number(spark: SparkSession, d: str) -> DataFrame:
+    return maintain.highest(read_table(spark, d, "documents"), "doc_id")
+
+
+def appended_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages added to a table in two goes, and read again."""
+    path, source = shared_path(spark, "pages"), read_table(spark, d, "pages").select("page_id", "url")
+    for part in (F.col("page_id") % 2 == 0, F.col("page_id") % 2 != 0):
+        files.append_pages(source.where(part), path)
+    return spark.read.parquet(path)
+
+
+def content_types(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in CONTENT_TYPES])
+    return read_table(spark, d, "pages").select("page_id", html.is_html(F.get(kinds, (F.col("page_id") % len(CONTENT_TYPES)).cast("int"))).alias("is_html"))
+
+
+def robots_delay(spark: SparkSession, d: str) -> DataFrame:
+    """Each site's crawl delay and number of rules."""
+    rules = crawl.robots_rules(robots_files(spark, d))
+    return rules.groupBy("key").agg(F.max("delay").alias("delay"), F.count("prefix").alias("rules"))
+
+
+def frontier_priority(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.by_priority(crawl.out_links(read_table(spark, d, "pages")))
+
+
+def crawl_round(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of one round that stops at 40 pages, none of them seen before."""
+    source = read_table(spark, d, "pages")
+    seeds = crawl.seeds(source.select(F.col("page_id").alias("seq"), F.col("url").alias("value")))
+    seen = source.where("page_id % 3 = 0").select(urls.normalize(F.col("url")).alias("url"))
+    got, _ = crawl.crawl_round(seeds, seen, source, crawl.robots_rules(robots_files(spark, d)), 40)
+    return got.select("page_id", "url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         tokens_kept, stem_vocabulary, term_frequency, positions, doc_frequency_idf, forward_index, weighted_postings,
         body_text, page_title, headers, out_links, url_normalize, url_domain, url_robots_key, content_hash_dedupe,
         snippets_top3, search_terms, search_conjunctive, search_titled, search_blended, page_results, pagerank_parts,
         pagerank_pages, index_reindex, unindexed_scan, frontier_round_robin, link_admission, robots_allowed, domain_ema,
-        adaptive_delay, access_wait, crawl_summary, recent_queries, publish_date,
+        adaptive_delay, access_wait, crawl_summary, recent_queries, publish_date, search_json, search_saved, query_input,
+        nested_postings, snippets_joined, highlighted, pagerank_converged, document_numbers, highest_number, appended_pages,
+        content_types, robots_delay, frontier_priority, crawl_round,
     ]
     combined = {f"search_{k.lower()}": results(f"{LEFT} {k} {RIGHT}") for k in ("AND", "OR", "NOT")}
     more = {"search_repeat_terms": results(REPEATED), "search_phrase": results(PHRASE), **combined}
+    more |= {"search_short_phrase": results(SHORT), "search_three_operands": results(THREE), "search_unclosed": results(PHRASE.rstrip('"'))}
+    more |= {"search_snippets": shown(TERMS, 10), "search_phrase_snippets": shown(PHRASE), "search_or_snippets": shown(f"{LEFT} OR {SHORT}")}
     return {f.__name__: f for f in plain} | more
 
 
@@ -270,6 +394,14 @@ def oracle_sql() -> dict[str, str]:
     ema = """f AS (SELECT user_id AS domain, list(value * 10 ORDER BY ts, event_id) AS ms, count(*) AS successes FROM events GROUP BY user_id),
       e AS (SELECT domain, CAST(list_reduce(list_prepend(trunc(ms[1]), ms[2:]), lambda a, x: trunc(a * 0.7::DOUBLE + x * 0.3::DOUBLE)) AS INTEGER) AS average, successes FROM f)"""
     pairs = sql.snippets("SELECT u.doc_id, text AS t, lower(text) AS low, token FROM (SELECT DISTINCT doc_id, token FROM tok) u JOIN documents USING (doc_id)")
+    day = "strftime(make_timestamp(CAST((1704067200000 + doc_id * 86400000) * 1000 AS BIGINT)), '%Y-%m-%d')"
+    terms, best = words(TERMS), sql.best_snippets(words(TERMS), "cand")
+    snips = sql.snippet_lists(pairs)
+    by_term = f"""WITH {docs}, {snips}, {best}, r AS ({sql.ranked(sql.DOCUMENTS, sql.terms(terms))} ORDER BY score DESC, doc_id LIMIT 10)
+        SELECT doc_id, score, {sql.marked("snippet", analyse(TERMS))} AS snippet, {day} AS publish_date FROM r JOIN cand USING (doc_id)"""
+    two = (sql.phrase(words(LEFT), "l"), sql.terms(words(SHORT), "r"))
+    left, right = sql.phrase_snippets(words(LEFT), "pl"), sql.best_snippets(words(SHORT), "br")
+    first = (sql.phrase(words(LEFT), "x"), sql.phrase(words(RIGHT), "y"), sql.combined("OR", "x", "y", "l"), sql.phrase(words('"thing thon"'), "r"), sql.combined("NOT", "l", "r"))
     top = search.PAGE
     body = html.sql_body("html")
     return {
@@ -320,5 +452,42 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS attempted, count(*) FILTER (o = 'saved') AS saved, count(*) FILTER (o <> 'saved') AS skipped, count(*) FILTER (o = 'robots') AS robots,
               count(*) FILTER (o = 'fetch') AS fetch, count(*) FILTER (o = 'type') AS type, count(*) FILTER (o = 'duplicate') AS duplicate FROM o""",
         "recent_queries": 'SELECT event_type, max(ts) AS "last" FROM events GROUP BY event_type ORDER BY 2 DESC, 1 LIMIT 10',
+        "search_snippets": by_term,
+        "search_json": f"SELECT doc_id, snippet, publish_date FROM ({by_term})",
+        "search_phrase_snippets": f"""WITH {docs}, {snips}, {sql.phrase_snippets(words(PHRASE), "ps")}, r AS ({sql.ranked(sql.DOCUMENTS, sql.phrase(words(PHRASE)))})
+            SELECT doc_id, score, {sql.marked("snippet", analyse(PHRASE))} AS snippet, {day} AS publish_date FROM r JOIN ps USING (doc_id)""",
+        "search_or_snippets": f"""WITH {docs}, {snips}, {sql.phrase(words(LEFT), "lh")}, {left}, {right}, r AS ({sql.ranked(sql.DOCUMENTS, *two, sql.combined("OR", "l", "r"))})
+            SELECT r.doc_id, score, {sql.marked("CASE WHEN lh.doc_id IS NOT NULL THEN pl.snippet ELSE br.snippet END", analyse(LEFT) + analyse(SHORT))} AS snippet,
+              {day.replace("doc_id", "r.doc_id")} AS publish_date
+            FROM r LEFT JOIN lh ON lh.doc_id = r.doc_id LEFT JOIN pl ON pl.doc_id = r.doc_id LEFT JOIN br ON br.doc_id = r.doc_id""",
+        "search_saved": f"{sql.ranked(sql.DOCUMENTS, sql.terms(terms))} ORDER BY score DESC, doc_id LIMIT 10",
+        "search_short_phrase": sql.ranked(sql.DOCUMENTS, sql.terms(words(SHORT))),
+        "search_three_operands": sql.ranked(sql.DOCUMENTS, *first),
+        "search_unclosed": sql.ranked(sql.DOCUMENTS, sql.phrase(words(PHRASE))),
+        "query_input": f"""WITH {docs}, {", ".join(two)}, u AS (SELECT doc_id, term, tf, in_title, 1 + 0.1 * round(tf * length) AS importance, idf, n.n AS docs FROM l JOIN len_ USING (doc_id), (SELECT count(*) AS n FROM l) n
+              UNION ALL SELECT r.doc_id, term, r.tf, r.in_title, importance_score, r.idf, doc_count FROM r JOIN post ON post.doc_id = r.doc_id AND post.word = term JOIN dict ON dict.word = term)
+            SELECT doc_id, 'de la|thing' AS query_terms, term, round(tf, 9) AS tf, in_title, CAST(round(importance, 9) AS DOUBLE) AS importance, CAST(length AS INTEGER) AS length, {day} AS publish_date,
+              (SELECT n FROM n_) AS total_docs, CAST(docs AS BIGINT) AS docs, round(idf, 9) AS idf FROM u JOIN len_ USING (doc_id)""",
+        "nested_postings": f"""WITH {sql.base(sql.pages())} SELECT word, any_value(doc_count) AS doc_count, CAST(count(*) AS INTEGER) AS n, min(doc_id) AS first, arg_max(url, doc_id) AS last_url,
+            CAST(sum(frequency) AS INTEGER) AS occurrences, true AS shown FROM post JOIN dict USING (word) JOIN src USING (doc_id) GROUP BY word""",
+        "snippets_joined": f"""WITH {docs}, {snips}, w AS (SELECT doc_id, flatten(list(s ORDER BY word)) AS s FROM sn WHERE word IN ({sql.literals(words(JOINED))}) GROUP BY doc_id HAVING count(*) = 2)
+            SELECT doc_id, array_to_string(CASE WHEN {sql.central("s", words(JOINED)[0])} = {sql.central("s", words(JOINED)[1])} THEN [{sql.central("s", words(JOINED)[0])}]
+              ELSE [{sql.central("s", words(JOINED)[0])}, {sql.central("s", words(JOINED)[1])}] END, ' ... | ... ') AS joined FROM w""",
+        "highlighted": f"SELECT doc_id, sha256({sql.marked('text', [w.lower() for w in MARKED])}) AS marked_sha256 FROM documents",
+        "pagerank_converged": f"""WITH {sql.pagerank(sql.PARTS, CONVERGED)}, {", ".join(f"d{k} AS (SELECT max(abs(a.pr - b.pr)) AS d FROM r{k} a JOIN r{k - 1} b USING (url))" for k in range(1, CONVERGED + 1))},
+            turns AS ({" UNION ALL ".join(f"SELECT {k} AS k, d FROM d{k}" for k in range(1, CONVERGED + 1))}), stop AS (SELECT min(k) AS k FROM turns WHERE d <= {graph.EPSILON} OR k = {CONVERGED})
+            SELECT url, round(pr, 12) AS pr FROM ({" UNION ALL ".join(f"SELECT {k} AS k, url, pr FROM r{k}" for k in range(1, CONVERGED + 1))}) JOIN stop USING (k)""",
+        "document_numbers": "SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n_source FROM documents",
+        "highest_number": "SELECT max(doc_id) AS doc_id FROM documents",
+        "appended_pages": "SELECT page_id, url FROM pages",
+        "content_types": f"SELECT page_id, page_id % {len(CONTENT_TYPES)} < 3 AS is_html FROM pages",
+        "robots_delay": f"""WITH {sql.robots(ROBOTS)}, delays AS (SELECT key, arg_max(TRY_CAST(trim(substr(line, 13)) AS BIGINT) * 1000, n) AS delay FROM agents
+              WHERE agent IN ('*', '{crawl.AGENT}') AND starts_with(lower(line), 'crawl-delay:') GROUP BY key)
+            SELECT key, max(delay) AS delay, count(prefix) AS rules FROM rules FULL JOIN delays USING (key) GROUP BY key""",
+        "frontier_priority": f"SELECT url, count(DISTINCT page_id) AS link_score FROM ({link}) WHERE url <> '' GROUP BY url",
+        "crawl_round": f"""WITH {sql.robots(ROBOTS, normal)}, s AS (SELECT page_id, {normal} AS url FROM pages), f AS (SELECT s.*, {urls.sql_domain("s.url")} AS domain FROM s JOIN verdicts USING (page_id)
+              WHERE s.url IS NOT NULL AND allowed AND s.url NOT IN (SELECT url FROM s WHERE page_id % 3 = 0 AND url IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY s.url ORDER BY page_id) = 1),
+            t AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id, url) AS turn FROM f), k AS (SELECT url FROM t ORDER BY turn, domain LIMIT 40)
+            SELECT page_id, url FROM s JOIN k USING (url)""",
         "publish_date": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events",
     }

@@ -28,6 +28,53 @@ FROM (SELECT *, CASE WHEN first_ > 0 AND stop_ > i - {around} THEN stop_ + 2 ELS
 WHERE i >= 0"""
 
 
+def literals(words: list[str]) -> str:
+    return ", ".join(html.quoted(w) for w in words)
+
+
+def marked(column: str, words: list[str]) -> str:
+    """Whole words marked: the text in runs of word characters and of others, some of the former wrapped."""
+    runs = rf"regexp_extract_all({column}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+    return f"array_to_string(list_transform({runs}, lambda r: CASE WHEN lower(r) IN ({literals(words)}) THEN '<strong>' || r || '</strong>' ELSE r END), '')"
+
+
+def first_highest(items: str, score: str) -> str:
+    """The first of the items x with the highest score."""
+    scores = f"list_transform({items}, lambda x: {score})"
+    return f"{items}[list_position({scores}, list_max({scores}))]"
+
+
+def snippet_lists(pairs: str) -> str:
+    """CTEs sp and sn: sn has each posting's snippets (doc_id, word, s), three at most."""
+    return f"""sp AS ({pairs}), se AS (SELECT tok.doc_id, word, position, snippet FROM tok JOIN sp USING (doc_id, token) JOIN vocab USING (token)),
+sn AS (SELECT doc_id, word, CASE WHEN count(*) <= 3 THEN list(snippet ORDER BY position)
+  ELSE list(snippet ORDER BY contains(snippet, '.') DESC, length(snippet) DESC, position)[1:3] END AS s FROM se GROUP BY doc_id, word)"""
+
+
+def best_snippets(words: list[str], name: str) -> str:
+    """CTE of (doc_id, snippet): for each document with any of the words, the best of the first word that it has."""
+    score = "CASE WHEN NOT contains(lower(x), word) THEN 0 WHEN contains(lower(x), '<strong>' || word || '</strong>') THEN 3 ELSE 1 END"
+    return f"""{name} AS (SELECT doc_id, {first_highest("s", score)} AS snippet FROM sn JOIN (VALUES {", ".join(f"('{w}', {i})" for i, w in enumerate(words))}) o(w, ord) ON word = w
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) = 1)"""
+
+
+def phrase_snippets(words: list[str], name: str) -> str:
+    """CTE of (doc_id, snippet) for a phrase of two words, of every document that has both."""
+    a, b = words
+    mark = lambda w: f"20 * CAST(contains(lower(x), '<strong>{w}</strong>') AS INTEGER)"
+    order = f"instr(lower(x), '{a}') > 0 AND instr(lower(x), '{b}') >= instr(lower(x), '{a}')"
+    score = f"100 * CAST(contains(lower(x), '{a} {b}') AS INTEGER) + CASE WHEN {order} THEN 50 ELSE 0 END + {mark(a)} + {mark(b)}"
+    return f"""{name}_c AS (SELECT x.doc_id, CASE WHEN len(list_filter(x.s, lambda i: list_contains(y.s, i))) > 0 THEN list_filter(x.s, lambda i: list_contains(y.s, i)) ELSE x.s[1:1] END AS c
+  FROM sn x JOIN sn y ON x.doc_id = y.doc_id WHERE x.word = '{a}' AND y.word = '{b}'),
+{name} AS (SELECT doc_id, {first_highest("c", score)} AS snippet FROM {name}_c)"""
+
+
+def central(items: str, term: str) -> str:
+    """The item with the term nearest its middle, a marked one before others."""
+    at = f"(instr(lower(x), '{term}') - 1)"
+    return first_highest(items, f"CASE WHEN {at} < 0 THEN 0 ELSE 100 - least(100, abs({at} - length(x) // 2)) + 50 * CAST(contains(lower(x), '<strong>{term}</strong>') AS INTEGER) END")
+
+
 #: (doc_id, field, value lists) of plain documents and of pages.
 DOCUMENTS = "SELECT doc_id, '' AS url, '' AS title, 0.0::DOUBLE AS popularity, [{'field': 'body', 'value': text}] AS fields FROM documents"
 
@@ -77,13 +124,13 @@ def phrase(words: list[str], name: str = "cand") -> str:
   ln((SELECT n FROM n_) / (1 + (SELECT count(*) FROM {name}_doc))) AS idf, 1 AS qtf FROM {name}_doc d JOIN len_ USING (doc_id))"""
 
 
-def combined(kind: str, left: str, right: str) -> str:
+def combined(kind: str, left: str, right: str, name: str = "cand") -> str:
     if kind == "NOT":
-        return f"cand AS (SELECT * FROM {left} WHERE doc_id NOT IN (SELECT doc_id FROM {right}))"
+        return f"{name} AS (SELECT * FROM {left} WHERE doc_id NOT IN (SELECT doc_id FROM {right}))"
     only = f"WHERE doc_id IN (SELECT doc_id FROM {left}) AND doc_id IN (SELECT doc_id FROM {right})" if kind == "AND" else ""
-    return f"""both_ AS (SELECT *, 1 AS side FROM {left} UNION ALL SELECT *, 0 FROM {right}),
-cand AS (SELECT doc_id, term, arg_max(tf, (tf, side)) AS tf, arg_max(in_title, (tf, side)) AS in_title, arg_max(idf, (tf, side)) AS idf, sum(qtf) AS qtf
-  FROM both_ {only} GROUP BY doc_id, term)"""
+    return f"""{name}_both AS (SELECT *, 1 AS side FROM {left} UNION ALL SELECT *, 0 FROM {right}),
+{name} AS (SELECT doc_id, term, arg_max(tf, (tf, side)) AS tf, arg_max(in_title, (tf, side)) AS in_title, arg_max(idf, (tf, side)) AS idf, sum(qtf) AS qtf
+  FROM {name}_both {only} GROUP BY doc_id, term)"""
 
 
 def ranked(source: str, *parts: str) -> str:
@@ -125,7 +172,7 @@ def hrefs() -> str:
     shown = html.sql_visible("html")
     each = [f"regexp_extract_all({shown}, {html.quoted(html.HREF)}, {k})" for k in (1, 2, 3)]
     value = "concat(v[1], v[2], v[3])"
-    for entity, char in html.ENTITIES.items():
+    for entity, char in html.SQL_REFERENCES.items():
         value = f"replace({value}, '{entity}', {html.quoted(char)})"
     return f"""SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, {value} AS href, base FROM (
       SELECT page_id, url AS base, unnest(list_zip({", ".join(each)})) AS v, generate_subscripts({each[0]}, 1) AS pos FROM pages)"""
@@ -153,13 +200,15 @@ def robots_key(url: str) -> str:
     return f"CASE WHEN {scheme} <> '' AND {host} <> '' THEN {scheme} || '://' || {host} || CASE WHEN {port} = ':' THEN '' ELSE {port} END END"
 
 
-def robots(files: list[str]) -> str:
-    """CTEs rules (key, prefix, allow) and verdicts (page_id, url, allowed); a site's file goes by the length of its key."""
+def robots(files: list[str], asked: str = "url") -> str:
+    """CTEs rules (key, prefix, allow) and verdicts (page_id, url, allowed) on the urls asked for; a site's file goes by the
+    length of its key."""
     cases = " ".join(f"WHEN {i} THEN {html.quoted(f)}" for i, f in enumerate(files))
     value = lambda k: f"trim(substr(line, {len(k) + 1}))"
     return f"""
-pk AS (SELECT page_id, url, {robots_key("url")} AS key, regexp_extract(trim(url), '{urls.SPLIT}', 3) AS path FROM pages),
-files AS (SELECT key, CASE length(key) % {len(files)} {cases} END AS txt FROM (SELECT DISTINCT key FROM pk)),
+asked AS (SELECT page_id, {asked} AS url FROM pages),
+pk AS (SELECT page_id, url, {robots_key("url")} AS key, regexp_extract(trim(url), '{urls.SPLIT}', 3) AS path FROM asked),
+files AS (SELECT key, CASE length(key) % {len(files)} {cases} END AS txt FROM (SELECT DISTINCT {robots_key("url")} AS key FROM pages)),
 lines_ AS (SELECT key, n, trim(regexp_replace(line, '[\\r\\t]', ' ', 'g')) AS line FROM (
   SELECT key, unnest(string_split(txt, chr(10))) AS line, generate_subscripts(string_split(txt, chr(10)), 1) AS n FROM files)),
 agents AS (SELECT *, last_value(CASE WHEN starts_with(lower(line), 'user-agent:') THEN {value("user-agent:")} END IGNORE NULLS)

@@ -35,5 +35,8 @@ def append_pages(pages: DataFrame, path: str) -> None:
 
 def to_json(results: DataFrame) -> DataFrame:
     """(json): one object per result, with the keys of the search service's answers."""
-    keys = {"doc_id": "docId", "url": "url", "title": "title", "score": "score", "relevance": "relevance", "popularity": "popularity"}
+    keys = {
+        "doc_id": "docId", "url": "url", "title": "title", "snippet": "snippet", "publish_date": "publishDate", "score": "score",
+        "relevance": "relevance", "popularity": "popularity",
+    }
     return results.select(F.to_json(F.struct(*[F.col(c).alias(k) for c, k in keys.items() if c in results.columns])).alias("json"))

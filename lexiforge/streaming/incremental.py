@@ -22,8 +22,8 @@ def index_stream(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
     def write(batch: DataFrame, number: int) -> None:
         fields = index.fields_of_pages(batch)
-        index.postings(index.positions(fields)).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        fields.select("doc_id", "url", "title").write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
+        index.postings(fields, shown=True).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        fields.select("doc_id", "url", "title", "timestamp").write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

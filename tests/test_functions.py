@@ -1,5 +1,7 @@
 """Text, stemming, URL and HTML functions, rule by rule."""
 
+from html import unescape
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +168,24 @@ def test_html(spark):
     assert column(spark, [PAGE], html.hrefs) == [["/x", "y"]]
     assert column(spark, ["Text/HTML; charset=x", "image/png", None], html.is_html) == [True, False, False]
     assert column(spark, [None, ""], html.body_text) == [None, ""]
+
+
+def test_character_references(spark):
+    """Against the standard library, in text; in attributes only complete ones count."""
+    texts = ["It&#8217;s caf&eacute;", "a&#160;b &euro;5", "&amp;lt; &lt", "&#x41;&#X42;&notin;&nosuch; &", "&copy2 &#99999999;", "1 &lt; 2 &amp; 3"]
+    got = column(spark, texts, html.strip_tags)
+    assert got == [" ".join(unescape(t).split()) for t in texts]
+    page = '<title>caf&eacute;</title><h1>x &rarr; y</h1><a href="?a=1&copy=2&amp;b=&eacute;">z</a>'
+    assert column(spark, [page], html.title) == ["café"] and column(spark, [page], html.headings) == [["x → y"]]
+    assert column(spark, [page], html.hrefs) == [["?a=1&copy=2&b=é"]]
+
+
+def test_tokens_of_batches_equal_the_expression(spark):
+    texts = [None, "", "Café cafe x²y ½z don't", "The quick Brown-fox 3rd ﬁne", "naïve ok ok", "ÀB ab\u0301c"]
+    assert column(spark, texts, text.kept) == [text.kept_tokens(t) for t in texts]
+
+
+def test_joined_snippets(spark):
+    values = [["a <strong>new</strong> b", "c new d", "x <strong>york</strong> y"], ["new york"], [], None]
+    got = column(spark, values, lambda c: text.joined_snippets(c, ["new", "york"]), "array<string>")
+    assert got == ["a <strong>new</strong> b ... | ... x <strong>york</strong> y", "new york", text.NO_PREVIEW, text.NO_PREVIEW]

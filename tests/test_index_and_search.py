@@ -1,5 +1,6 @@
 """Index building, queries, ranking and maintenance on small hand-made documents and by brute force."""
 
+import json
 import math
 
 import pytest
@@ -57,7 +58,7 @@ def test_fields_and_weights(spark):
     fields = index.fields_of_pages(spark.createDataFrame([(1, "http://a.com", page)], "page_id long, url string, html string"))
     at = {r.position: (r.token, r.field) for r in index.occurrences(fields).collect()}
     assert [at[i] for i in range(4)] == [("java", "title"), ("first", "header"), ("second", "header"), ("java", "header")]
-    row = index.postings(index.positions(fields)).where("word = 'java'").first()
+    row = index.postings(fields).where("word = 'java'").first()
     assert (row.importance_score, row.in_title, row.frequency, row.title_length) == (3 + 2 + 1 + 1, True, 4, 1)
 
 
@@ -132,7 +133,7 @@ def test_paging_and_limit(spark, ix):
 
 
 def test_json(ix):
-    assert search.query_input(ix, ["java"]).count() == 1
+    assert search.query_input(ix, "java").count() == 1
 
 
 def test_forward_and_nested(ix):
@@ -141,6 +142,66 @@ def test_forward_and_nested(ix):
     assert index.nested(ix.postings, ix.dictionary).where("word = 'york'").first().doc_count == 3
 
 
+def test_numbers_survive_merged_partitions(spark):
+    """Many ranges, of which adaptive plans make few: every row keeps its number, whoever reads it."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    for k, v in zip(old, ("64", "1m", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        table = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("x"), (F.col("id") % 3 > 0).alias("g"), F.lit("y" * 20).alias("y"))
+        out = maintain.number(maintain.number(table, ["x"]), ["x"], "m", ["g"])
+        row = out.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n"), F.count_if(F.col("n") != F.col("x") + 1)).first()
+        assert tuple(row) == (400_000, 400_000, 1, 400_000, 0)
+        for r in out.groupBy("g").agg(F.count("*").alias("c"), F.count_distinct("m").alias("d"), F.max("m").alias("m")).collect():
+            assert r.c == r.d == r.m
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def shown(ix, q):
+    return {r.doc_id: r.snippet for r in search.search(ix, q).collect()}
+
+
+def test_previews(spark, ix):
+    assert shown(ix, "york")[2] == "The stack of plates; a new <strong><strong>york</strong></strong> minute"
+    first = shown(ix, "minute stack")  # of the first word that the document has, all words marked
+    assert first[2].count("<strong>") == 3 and "<strong><strong>minute</strong></strong>" not in first[1]
+    assert shown(ix, '"new york"')[3].startswith("<strong>")
+    either = shown(ix, '"stack plates" OR "new york"')
+    assert set(either) == {2, 3, 6} and "<strong>stack</strong>" in either[2]
+    assert shown(ix, '"new york" NOT "stack plates"').keys() == {3, 6}
+    bare = index.build(index.fields_of_documents(spark.createDataFrame(DOCS, "doc_id long, text string")), shown=False)
+    assert "snippet" not in search.search(bare, "york").columns
+
+
+def test_dates_and_metadata(spark):
+    docs = spark.createDataFrame([(1, "java stack", 1704067200000), (2, "java", None)], "doc_id long, text string, timestamp long")
+    ix = index.build(index.fields_of_documents(docs))
+    assert {r.doc_id: r.publish_date for r in search.search(ix, "java").collect()} == {1: "2024-01-01", 2: ""}
+    row = index.nested(ix.postings, ix.dictionary, ix.docs).where("word = 'java'").first()
+    assert [(p.doc_id, p.timestamp, p.popularity, p.snippets) for p in row.postings] == [(1, 1704067200000, 0.0, ["<strong>java</strong> stack"]), (2, None, 0.0, ["<strong>java</strong>"])]
+
+
+def test_query_input(ix):
+    got = {r.doc_id: json.loads(r.json) for r in search.query_input(ix, '"new york" OR "stack plates"').collect()}
+    assert set(got) == {2, 3, 6}
+    six = got[6]["candidate_documents"]["6"]["term_stats"]["new york"]
+    assert six["importance_score"] == pytest.approx(1.2) and six["tf"] == pytest.approx(2 / 6)
+    stats = got[2]["global_stats"]
+    assert got[2]["query_terms"] == ["new york", "stack plate"]
+    assert stats["total_docs"] == 4 and stats["docs_containing_term"] == {"new": 3, "york": 3, "stack": 2, "plate": 1, "new york": 3, "stack plate": 1}
+    assert stats["term_idf"]["stack plate"] == pytest.approx(math.log(4 / 2))
+
+
+def test_one_pass_equals_grouping(spark, ix):
+    """Postings of the one pass against grouped occurrences, whose stems are made by expressions."""
+    fields = index.fields_of_documents(spark.createDataFrame(DOCS, "doc_id long, text string"))
+    at = index.occurrences(fields).join(index.stems(index.occurrences(fields)), "token")
+    want = {(r.word, r.doc_id): sorted(r.p) for r in at.groupBy("word", "doc_id").agg(F.collect_list("position").alias("p")).collect()}
+    assert {(r.word, r.doc_id): r.positions for r in ix.postings.collect()} == want
+
+
 def test_save_and_load(spark, ix, tmp_path):
     ix.save(str(tmp_path / "ix"))
     again = index.Index.load(spark, str(tmp_path / "ix"))
@@ -158,10 +219,10 @@ def test_replace_equals_rebuilding(spark, ix):
     known = maintain.to_clean(changed, index.forward(ix.postings))
     assert [r.doc_id for r in known.collect()] == [2]
     assert {r.word for r in maintain.affected_words(known, index.forward(ix.postings)).collect()} == {"stack", "plate", "new", "york", "minut"}
-    new = index.postings(index.positions(index.fields_of_documents(changed)))
+    new = index.postings(index.fields_of_documents(changed), shown=True)
     _, words = maintain.replace(ix.postings, changed, new)
     docs = spark.createDataFrame([d for d in DOCS if d[0] != 2], "doc_id long, text string").union(changed)
-    rebuilt = index.dictionary(index.postings(index.positions(index.fields_of_documents(docs))))
+    rebuilt = index.dictionary(index.postings(index.fields_of_documents(docs)))
     assert sorted(map(str, words.collect())) == sorted(map(str, rebuilt.collect()))
     assert words.where("word = 'plate'").isEmpty()  # nothing uses it any more
 
@@ -183,6 +244,6 @@ def test_upsert_set_field_number(spark):
     change = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
     assert sorted((r.id, r.v) for r in maintain.upsert(table, change, "id").collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted((r.id, r.v) for r in maintain.set_field(table, change, "id", "v").collect()) == [(1, "a"), (2, "c")]
-    numbered = maintain.number(spark.range(100).withColumnRenamed("id", "x"), "x")
+    numbered = maintain.number(spark.range(100).withColumnRenamed("id", "x"), ["x"])
     assert sorted((r.x, r.n) for r in numbered.collect()) == [(i, i + 1) for i in range(100)]
     assert maintain.highest(table, "id").first().id == 2
