@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..operators import crawl, graph, index, maintain, search
-from ..session import shared_path, written
+from ..session import shared_path, spread, written
 from ..sources import files
 from ..sources.files import read_table
 from . import sql
@@ -36,11 +36,11 @@ def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return index.fields_of_documents(read_table(spark, d, "documents").select("doc_id", "text"))
+    return index.fields_of_documents(spread(read_table(spark, d, "documents").select("doc_id", "text")))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return index.fields_of_pages(read_table(spark, d, "pages"))
+    return index.fields_of_pages(spread(read_table(spark, d, "pages")))
 
 
 def ranking(df: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def positions_as_text(df: DataFrame) -> DataFrame:
 
 def tokens_kept(spark: SparkSession, d: str) -> DataFrame:
     kept = text.kept(F.col("text"))
-    return read_table(spark, d, "documents").select("doc_id", F.array_join(kept, " ").alias("tokens"), F.size(kept).alias("n"))
+    return spread(read_table(spark, d, "documents")).select("doc_id", F.array_join(kept, " ").alias("tokens"), F.size(kept).alias("n"))
 
 
 def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -175,10 +175,10 @@ def pagerank_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def index_reindex(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents have changed: their postings are replaced in a built index, and the dictionary follows."""
-    docs, old = read_table(spark, d, "documents").select("doc_id", "text"), built(spark, d)
+    docs, old = spread(read_table(spark, d, "documents").select("doc_id", "text")), built(spark, d)
     labelled = read_table(spark, d, "labels").select("doc_id").distinct()
     changed = written(maintain.to_clean(labelled, old.docs))
-    new = docs.join(changed, "doc_id", "left_semi").withColumn("text", F.concat_ws(" ", "text", F.lit("refreshed pages")))
+    new = docs.join(labelled, "doc_id", "left_semi").withColumn("text", F.concat_ws(" ", "text", F.lit("refreshed pages")))
     _, words = maintain.replace(old.postings, changed, written(index.postings(index.fields_of_documents(new))))
     return rounded(words, "idf").select("word", "doc_count", "idf")
 
@@ -250,7 +250,7 @@ def publish_date(spark: SparkSession, d: str) -> DataFrame:
 def timed(spark: SparkSession, d: str) -> DataFrame:
     """The documents, fetched a day apart from the start of 2024 on."""
     day = F.lit(1704067200000) + F.col("doc_id") * 86_400_000
-    return index.fields_of_documents(read_table(spark, d, "documents").select("doc_id", "text", day.alias("timestamp")))
+    return index.fields_of_documents(spread(read_table(spark, d, "documents").select("doc_id", "text", day.alias("timestamp"))))
 
 
 def shown(query: str, limit: int | None = None) -> Callable[[SparkSession, str], DataFrame]:

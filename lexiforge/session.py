@@ -26,6 +26,19 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
+#: Bytes up to which a table of fewer files than cores is dealt out.
+FEW_BYTES = 256 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """table, dealt out over the cores if it is small and lies in fewer files than there are cores: a file of one row
+    group is one task, however much work its rows are. Any other table is read as it lies."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = size <= FEW_BYTES and len(table.inputFiles()) < cores
+    return table.repartition(cores) if few else table
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, which all executors share; only a local session may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
