@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType, TimestampNTZType
 from pyspark.sql.window import Window
 
 from ..functions import html, urls
@@ -131,18 +131,29 @@ def adaptive_delay(average: Column, successes: Column) -> Column:
     return F.when(fast, FAST_DELAY).when(average > SLOW_ABOVE, min(LONGEST_DELAY, DELAY)).otherwise(DELAY)
 
 
+def epoch_millis(table: DataFrame, at: str) -> Column:
+    """The nearest whole milliseconds from the epoch to a moment, halves away from it; a moment without time zone is taken
+    as it stands, so that no change of the session's clocks comes between two of them."""
+    if isinstance(table.schema[at].dataType, TimestampNTZType):
+        passed = F.expr(f"cast(cast(`{at}` - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(18, 6))")
+        micros = (passed * 1_000_000).cast("long")
+    else:
+        micros = F.unix_micros(F.col(at).cast("timestamp"))
+    return F.call_function("div", F.round(micros, -3), F.lit(1000))
+
+
 def access_wait(accesses: DataFrame, delay: int = DELAY) -> DataFrame:
     """accesses (domain, at, seq) with wait: milliseconds until delay has passed since the domain's access before.
 
-    Accesses are numbered by domain and each meets the one before by (domain, number), so that a busy domain is spread
-    over tasks.
+    Accesses are numbered by domain, unknown times and numbers last, and each meets the one before by (domain, number),
+    so that a busy domain is spread over tasks.
     """
     numbered = written(maintain.number(accesses, ["at", "seq"], "turn_", ["domain"]))
-    before = numbered.select(F.col("domain").alias("domain_"), (F.col("turn_") + 1).alias("next_"), F.col("at").alias("before_"))
+    numbered = numbered.withColumn("ms_", epoch_millis(numbered, "at"))
+    before = numbered.select(F.col("domain").alias("domain_"), (F.col("turn_") + 1).alias("next_"), F.col("ms_").alias("before_"))
     both = numbered.join(before, F.col("domain").eqNullSafe(F.col("domain_")) & (F.col("turn_") == F.col("next_")), "left")
-    passed = F.unix_millis(F.col("at").cast("timestamp")) - F.unix_millis(F.col("before_").cast("timestamp"))
-    wait = F.greatest(F.lit(0), F.coalesce(delay - passed, F.lit(0))).cast("long")
-    return both.withColumn("wait", wait).drop("turn_", "domain_", "next_", "before_")
+    wait = F.greatest(F.lit(0), F.coalesce(delay - (F.col("ms_") - F.col("before_")), F.lit(0))).cast("long")
+    return both.withColumn("wait", wait).drop("turn_", "ms_", "domain_", "next_", "before_")
 
 
 def outcome(allowed: Column, fetched: Column, is_html: Column, duplicate: Column) -> Column:

@@ -72,11 +72,11 @@ def number(table: DataFrame, order: list[str], to: str = "n", within: list[str]
 
     Ranges of (within, order) are written with their numbers, so that every reader sees the same; a row's number is its
     place in its range and the rows of its group in ranges before. So a group of any size is spread over tasks. Equal
-    rows of order get numbers of no certain order, and nulls come first.
+    rows of order get numbers of no certain order, and nulls come last.
     """
-    group = within or []
-    spread = written(table.repartitionByRange(*group, *order).withColumn("part_", F.spark_partition_id()))
-    inside = F.row_number().over(Window.partitionBy("part_", *group).orderBy(*order))
+    group, ordered = within or [], [F.asc_nulls_last(c) for c in order]
+    spread = written(table.repartitionByRange(*group, *ordered).withColumn("part_", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("part_", *group).orderBy(*ordered))
     counts = spread.groupBy("part_", *group).agg(F.count(F.lit(1)).alias("rows_"))
     before = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("offset_", F.coalesce(F.sum("rows_").over(before), F.lit(0))).drop("rows_")

@@ -2,10 +2,13 @@
 
 import json
 
+import duckdb
 import pytest
+from compare import rows_of_duckdb, rows_of_spark
 from pyspark.sql import functions as F
 
 from lexiforge.operators import crawl, graph
+from lexiforge.plans import registry
 from lexiforge.sources import files
 from lexiforge.streaming import incremental
 
@@ -169,3 +172,20 @@ def test_a_round_fetches_a_url_once(spark):
     rules = crawl.robots_rules(spark.createDataFrame([], "key string, text string"))
     pages, _ = crawl.crawl_round(frontier, spark.createDataFrame([], "url string"), store, rules, 5)
     assert sorted(r.page_id for r in pages.collect()) == [1, 2]
+
+
+def test_waits_equal_the_sql_on_odd_times(spark, tmp_path):
+    """Parts of milliseconds, times before 1970, clocks put forward, and unknown times and numbers beside equal ones."""
+    times = ["1964-02-03 04:05:06.0001", "1964-02-03 04:05:06.100999", "2024-01-01 00:00:00.0005", "2024-01-01 00:00:00.1004", "2024-01-01 00:00:00.2996", "2024-03-31 02:59:59.9", "2024-03-31 03:00:00.1", "2024-05-01 00:00:00", "2024-05-01 00:00:00", None, None]
+    rows = [(7, t, None if k == 7 else k, "view", 1.0) for k, t in enumerate(times)]
+    odd = spark.createDataFrame(rows, "user_id long, ts string, event_id long, event_type string, value double")
+    odd.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        expected = rows_of_duckdb(c, registry.oracle_sql()["access_wait"])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        assert rows_of_spark(registry.queries()["access_wait"](spark, str(tmp_path))) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
