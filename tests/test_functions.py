@@ -225,3 +225,8 @@ def test_page_title_of_cut_references(spark, cut_pages):
 def test_weighted_postings_of_cut_references(spark, cut_pages):
     folder, expected = cut_pages
     assert rows_of_spark(registry.queries()["weighted_postings"](spark, folder)) == expected("weighted_postings")
+
+
+def test_nested_postings_of_cut_references(spark, cut_pages):
+    folder, expected = cut_pages
+    assert rows_of_spark(registry.queries()["nested_postings"](spark, folder)) == expected("nested_postings")
