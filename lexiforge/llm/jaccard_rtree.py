@@ -5,11 +5,14 @@ the overlap of two sets from above; in an R-tree over the points, the largest co
 beneath. Pairs that survive the bounds are verified on the sets.
 
 A tree of all sets would have to be one object, so the sets are first dealt into candidate classes that no link
-crosses: in a common order of shingles with the rarest first, two sets of Jaccard similarity t share a shingle among
-the first n - ceil(t n) + 1 of each. Sets that share one are joined to the first of them (a star, not all pairs), and
-connected stars are a class. The order only has to be common, so shingle counts may come from a sketch of fixed size;
-it keeps passages that many documents share out of the prefixes. Classes larger than a block are thinned by links to a
-few leaders; only what those leave apart is compared with the whole class, block by block.
+crosses: in a common order of shingles with the rarest first, two sets of Jaccard similarity t share l shingles among
+the first n - ceil(t n) + l of each, as long as l is no more than their least overlap. Pairs of sets that share so many
+are joined, and connected pairs are a class. One shared shingle would do (l = 1), but where the sketch is crowded too
+many sets share one by chance, and chains of them become one class of half the corpus. The sets of a shingle that many
+have are joined to the first of them instead (a star, not all pairs). The order only has to be common, so shingle counts
+may come from a sketch of fixed size; it keeps passages that many documents share out of the prefixes. Classes larger
+than a block are thinned by links to a few leaders; only what those leave apart is compared with the whole class, block
+by block.
 
 Equal sets are one set throughout (a 64-bit key of their hashes). Shingles are 64-bit hashes.
 """
@@ -21,8 +24,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,10 @@ BLOCK, LEADERS = 1024, 8
 MOST_SLOTS, RANGES = 1 << 26, 64
 #: Lower ends of the count classes that the order distinguishes.
 CLASSES = np.array([1, 2, 3, 4, 5, 6, 8, 12, 16, 32, 64, 256, 1024, 4096, 65536])
-#: Shingles that a task gathers before it hands them on.
-FLUSH = 400_000
+#: Shingles that a task gathers before it hands them on, and rows of prefixes that are compared together.
+FLUSH, LOT = 400_000, 100_000
+#: Prefix shingles that linked sets share at least; sets of a shingle up to which pairs are counted, and those of one task.
+SHARED, MOST_SETS, LOCAL = 4, 32, 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,30 +152,50 @@ def classes_of(s: np.ndarray, sketch: np.ndarray, slots: int) -> np.ndarray:
 
 # --- candidate classes ------------------------------------------------------------------------------------------
 
-PREFIX = "shingle long, key long, other long"
+PREFIX = "shingle long, key long, n int"
+#: n of a row that is a link (key, shingle ^ key), and of one that stands for a shingle of many sets.
+LINK, MANY = -1, 0
 
 
-def star(shingle: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first shingles, their least keys, least keys, other keys): one row per shingle, and links of its other keys."""
-    order = np.lexsort((key, shingle))
-    shingle, key = shingle[order], key[order]
-    first = np.ones(len(key), bool)
-    first[1:] = shingle[1:] != shingle[:-1]
+def shared_least(n: np.ndarray | int) -> np.ndarray | int:
+    """Shingles that a set of n shares with each set that it links with, among the first of each: SHARED, or fewer if the
+    least overlap is smaller."""
+    return np.minimum(SHARED, -(-OVER * n // UNDER))
+
+
+def grouped(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """(shingle, key, n, size, many) of rows sorted by shingle and key, each pair once; size is the number of a shingle's
+    rows, many whether they exceed most or stand for more."""
+    order = np.lexsort((n, key, shingle))
+    shingle, key, n = shingle[order], key[order], n[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
+    shingle, key, n = shingle[once], key[once], n[once]
+    first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.r_[first, len(key)])
+    many = (size > most) | (np.minimum.reduceat(n, first) == MANY) if len(first) else np.empty(0, bool)
+    return shingle, key, n, np.repeat(size, size), np.repeat(many, size)
+
+
+def star(shingle: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row of each shingle, least keys, other keys) of rows sorted by shingle and key: links to the least."""
+    first = np.r_[True, shingle[1:] != shingle[:-1]][: len(key)]
     least = key[first][np.cumsum(first) - 1]
-    links = np.unique(np.stack([least, key], 1)[least != key], axis=0) if len(key) else np.empty((0, 2), np.int64)
-    return shingle[first], key[first], links[:, 0], links[:, 1]
+    links = np.unique(np.stack([least, key], 1)[least != key], axis=0)
+    return first, links[:, 0], links[:, 1]
 
 
 def prefix_rows(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, slots: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shingle, least key, null) of the task's prefixes, and links (a hash, least key, other key) between sets
-    that share a prefix shingle within the task, so that a shingle leaves the task once however many sets have it."""
+    """Rows (shingle, key, n) of the task's prefixes. A shingle that more than a few sets of the task have leaves it once,
+    marked, beside links between those sets, however many have it."""
     seen, held, count = set(), [], 0
 
     def flush() -> pa.RecordBatch:
-        shingle, key = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        s, least, a, b = star(shingle, key)
-        none = pa.nulls(len(s), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([s, a ^ b])), pa.array(np.concatenate([least, a])), pa.concat_arrays([none, pa.array(b)])], ["shingle", "key", "other"])
+        shingle, key, n, _, many = grouped(*(np.concatenate([h[k] for h in held]) for k in range(3)), LOCAL)
+        first, a, b = star(shingle[many], key[many])
+        rest = ~many
+        cols = (shingle[rest], shingle[many][first], a ^ b), (key[rest], key[many][first], a), (n[rest], np.full(first.sum(), MANY), np.full(len(a), LINK))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["shingle", "key", "n"])
 
     for _, texts in texts_of(batches, 1):
         for t in texts:
@@ -178,8 +203,8 @@ def prefix_rows(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, slots: in
             if not len(s) or (k := key_of(s)) in seen:
                 continue
             seen.add(k)
-            n = prefix_length(len(s))
-            held.append((s[np.lexsort((s, classes_of(s, sketch, slots)))[:n]].astype(np.int64), np.full(n, k, np.int64)))
+            n = prefix_length(len(s)) + int(shared_least(len(s))) - 1
+            held.append((s[np.lexsort((s, classes_of(s, sketch, slots)))[:n]].astype(np.int64), np.full(n, k, np.int64), np.full(n, len(s), np.int32)))
             count += n
         if count > FLUSH:
             yield flush()
@@ -190,21 +215,68 @@ def prefix_rows(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, slots: in
         yield flush()
 
 
-def star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (PREFIX) sorted by shingle and key, a shingle's rows in one partition: links (a, b) of the stars."""
-    last, leader = None, 0
+SHARES = "a long, b long, shared long, least long"
+
+
+def shares(shingle: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows (SHARES) of whole shingles: for pairs of sets how many of the shingles they share and how many a link takes,
+    where their sizes admit one; sets of a shingle that many have are linked to the least of them whatever they share."""
+    shingle, key, n, size, many = grouped(shingle, key, n, MOST_SETS)
+    _, a, b = star(shingle[many], key[many])
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in np.unique(size[~many & (size > 1)]):
+        rows = np.flatnonzero(~many & (size == k)).reshape(-1, k)
+        x, y = np.triu_indices(k, 1)
+        left.append(rows[:, x].ravel())
+        right.append(rows[:, y].ravel())
+    left, right = np.concatenate(left), np.concatenate(right)
+    fits = UNDER * np.minimum(n[left], n[right]).astype(np.int64) >= OVER * np.maximum(n[left], n[right]).astype(np.int64)
+    left, right = left[fits], right[fits]
+    pairs = np.stack([key[left], key[right]], 1)
+    pairs, at, count = np.unique(pairs, axis=0, return_index=True, return_counts=True)
+    least = np.minimum(shared_least(n[left[at]].astype(np.int64)), shared_least(n[right[at]].astype(np.int64)))
+    cols = (a, pairs[:, 0]), (b, pairs[:, 1]), (np.full(len(a), SHARED), count), (np.ones(len(a), np.int64), least)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["a", "b", "shared", "least"])
+
+
+def shared_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (PREFIX) sorted by shingle, a shingle's rows in one partition: rows (SHARES)."""
+    held, count = [], 0
+
+    def take(last: bool) -> pa.RecordBatch:
+        """Shares of all held shingles but the last one, of which more may come."""
+        nonlocal held, count
+        shingle, key, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+        cut = len(shingle) if last else int(np.searchsorted(shingle, shingle[-1]))
+        rest = shingle[cut:], key[cut:], n[cut:]
+        done = [shingle[:cut], key[:cut], n[:cut]]
+        if len(rest[0]) > MOST_SETS:  # its sets are linked now, and the least stands for them
+            done = [np.concatenate([d, r]) for d, r in zip(done, (*rest[:2], np.full(len(rest[0]), MANY, np.int32)), strict=True)]
+            least = rest[1].argmin()
+            rest = rest[0][least : least + 1], rest[1][least : least + 1], np.full(1, MANY, np.int32)
+        held, count = [rest], len(rest[0])
+        return shares(*done)
+
     for b in batches:
-        table = pa.Table.from_batches([b])
-        linked = table.filter(pc.is_valid(table["other"]))
-        rows = table.filter(pc.is_null(table["other"]))
-        shingle, key = rows["shingle"].to_numpy(), rows["key"].to_numpy()
-        x = y = np.empty(0, np.int64)
-        if len(key):
-            if last is not None and shingle[0] == last:
-                shingle, key = np.append(last, shingle), np.append(leader, key)
-            s, least, x, y = star(shingle, key)
-            last, leader = s[-1], least[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([linked["key"].to_numpy(), x])), pa.array(np.concatenate([linked["other"].to_numpy(), y]))], ["a", "b"])
+        shingle, key, n = (c.to_numpy() for c in b.columns)
+        link = n == LINK
+        if link.any():
+            a, other = key[link], shingle[link] ^ key[link]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(other), pa.array(np.full(len(a), SHARED, np.int64)), pa.array(np.ones(len(a), np.int64))], ["a", "b", "shared", "least"])
+        held.append((shingle[~link], key[~link], n[~link]))
+        count += len(held[-1][0])
+        if count > LOT:
+            yield take(False)
+    if count:
+        yield take(True)
+
+
+def candidates(docs: DataFrame, sketch: Broadcast, slots: int) -> DataFrame:
+    """(a, b): keys of sets of docs (doc_id, text), such that links lead along these only."""
+    prefixes = docs.mapInArrow(lambda it: freed(prefix_rows(it, sketch.value, slots)), PREFIX)
+    prefixes = prefixes.repartition(n_partitions(docs.sparkSession), "shingle").sortWithinPartitions("shingle", "key")
+    shared = prefixes.mapInArrow(lambda it: freed(shared_prefixes(it)), SHARES)
+    return shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
 
 
 # --- the tree ---------------------------------------------------------------------------------------------------
@@ -327,9 +399,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         sketch[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["classes"], np.uint8)
     shared = spark.sparkContext.broadcast(sketch)
 
-    prefixes = docs.mapInArrow(lambda it: freed(prefix_rows(it, shared.value, slots)), PREFIX)
-    prefixes = prefixes.repartition(n_partitions(spark), "shingle").sortWithinPartitions("shingle", "key")
-    classes = materialize(components(prefixes.mapInArrow(lambda it: freed(star_links(it)), LINKS)))
+    classes = materialize(components(candidates(docs, shared, slots)))
     drop_shuffles(spark)
 
     # one document for each set of a class; only their texts are moved

@@ -143,3 +143,22 @@ def test_join_frequent(spark):
     right = common.materialize(spark.createDataFrame([(i, i * i) for i in range(0, 30)], "k long, w long"))
     got = sorted(map(str, common.join_frequent(left, right, "k", 10).select("k", "v", "w").collect()))
     assert got == sorted(map(str, left.join(right, "k", "left").select("k", "v", "w").collect()))
+
+
+@pytest.mark.parametrize(("most", "local", "lot"), [(32, 4, 100_000), (2, 1, 3), (3, 2, 1)])
+def test_chance_shingles_make_no_class(spark, monkeypatch, most, local, lot):
+    """Where the sketch tells nothing apart, texts that share a passage with the next one are no class, and near copies stay linked."""
+    r = np.random.default_rng(7)
+    texts = [[f"w{x}" for x in r.integers(0, 10**6, 120)] for _ in range(150)]
+    for k in range(149):
+        texts[k + 1][20:28] = texts[k][60:68]
+    texts += [[*t[:-3], "x", "y", "z"] for t in texts[:20]] + [[*texts[0][:-1], f"v{k}"] for k in range(6)] + [t[:2] for t in texts[:3]] + [t[:6] for t in texts[:3]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard_rtree, "MOST_SLOTS", 1 << 7)
+    for name, value in (("BLOCK", 40), ("MOST_SETS", most), ("LOCAL", local), ("LOT", lot)):
+        monkeypatch.setattr(jaccard_rtree, name, value)
+    called, large = [], jaccard_rtree.large_classes
+    monkeypatch.setattr(jaccard_rtree, "large_classes", lambda members: called.append(1) or large(members))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(x) for x in jaccard_rtree.groups(df).collect()), key=str) == plain_groups(rows)
+    assert most < 32 or not called
