@@ -174,8 +174,9 @@ def word_table(docs: DataFrame, source: str, most: int = HEAD_WORDS, chars: int
 
 def with_ids(docs: DataFrame, source: str, fields: str, value: Callable, combine: Callable, table: DataFrame | None = None) -> DataFrame:
     """docs and fields: combine(values) makes a row's fields of the values of its words in order, and value(ids, data) is
-    a word's, made once for each distinct word of its ids and its pieces' bytes."""
-    head = {r["word"]: (list(r["ids"]), bytes(r["data"])) for r in (word_table(docs, source) if table is None else table).toLocalIterator()}
+    a word's, made once for each distinct word of its ids and its pieces' bytes; for the head's before it is sent out, so
+    that workers hold the values only."""
+    head = {r["word"]: value(list(r["ids"]), bytes(r["data"])) for r in (word_table(docs, source) if table is None else table).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(head)
     added = StructType.fromDDL(fields)
     names = added.fieldNames()
@@ -196,7 +197,7 @@ def with_ids(docs: DataFrame, source: str, fields: str, value: Callable, combine
                 v = self[word] = value(ids, b"".join(map(pieces.__getitem__, ids)))
                 return v
 
-        table = {w: value(*x) for w, x in shared.value.items()}
+        table = shared.value
         known = Words(table)
         for part, texts in texts_of(batches, at):
             rows = []
